@@ -1 +1,18 @@
+"""Explanation operators: Shapley contributions (linear, tree, sampled),
+roll-ups, semantic groups, documents and narratives."""
 
+from __future__ import annotations
+
+
+def explainer_kind(model) -> str:
+    """I4: pick the explainer from the Spark model class."""
+    from pyspark.ml.classification import (DecisionTreeClassificationModel,
+                                           GBTClassificationModel,
+                                           LogisticRegressionModel,
+                                           RandomForestClassificationModel)
+    if isinstance(model, LogisticRegressionModel):
+        return "linear"
+    if isinstance(model, (DecisionTreeClassificationModel, RandomForestClassificationModel,
+                          GBTClassificationModel)):
+        return "tree"
+    return "sampled"
