@@ -68,11 +68,18 @@ def _x(features: str, df: DataFrame | None = None) -> Column:
     return vector_to_array(F.col(features))
 
 
+def _dot(w: list[float], x: Column) -> Column:
+    return F.aggregate(F.zip_with(F.lit(w), x, lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
+
+
 def margins(x: Column, ex: LinearExplainer) -> Column:
-    """Per-class margins b_c + W_c . x."""
-    W, b = F.lit(ex.W), F.lit(ex.b)
-    return F.transform(W, lambda w, k: b[k] + F.aggregate(F.zip_with(w, x, lambda a, c: a * c),
-                                                         F.lit(0.0), lambda s, v: s + v))
+    """Per-class margins b_c + W_c . x.
+
+    The class loop is unrolled on purpose: a lambda that captures ``x``
+    would let the optimizer inline the (expensive) feature expression into
+    it and evaluate it once per class; as separate references it is
+    computed once per row."""
+    return F.array(*[F.lit(ex.b[k]) + _dot(ex.W[k], x) for k in range(len(ex.W))])
 
 
 def argmax(arr: Column) -> Column:
@@ -110,12 +117,13 @@ def softmax(m: Column) -> Column:
 def shap_all_classes_abs_mean(df: DataFrame, ex: LinearExplainer, features: str = "features") -> DataFrame:
     """Per row: |phi| averaged over classes, one value per feature slot."""
     x = _x(features, df)
-    W, mu = F.lit(ex.W), F.lit(ex.mu)
+    mu = F.lit(ex.mu)
     k = len(ex.W)
     d = df.withColumn("_dx", F.zip_with(x, mu, lambda a, m: a - m))
-    per_class = F.transform(W, lambda w: F.zip_with(w, F.col("_dx"), lambda a, c: F.abs(a * c)))
-    summed = F.aggregate(per_class, F.array_repeat(F.lit(0.0), ex.n_features),
-                         lambda acc, arr: F.zip_with(acc, arr, lambda a, c: a + c))
+    summed = None
+    for w in ex.W:  # unrolled (see ``margins``)
+        part = F.zip_with(F.lit(w), F.col("_dx"), lambda a, c: F.abs(a * c))
+        summed = part if summed is None else F.zip_with(summed, part, lambda a, c: a + c)
     return d.withColumn("abs_phi", F.transform(summed, lambda v: v / k)).drop("_dx")
 
 
@@ -124,8 +132,8 @@ def global_importance(sample: DataFrame, ex: LinearExplainer, features: str = "f
     """Mean |phi| per feature over the sample rows and all classes,
     most important first."""
     names = F.lit([n["name"] for n in ex.names])
-    rows = shap_all_classes_abs_mean(sample, ex, features).select(
-        key, F.posexplode("abs_phi").alias("idx", "v"))
+    from ..reshape import explode_array
+    rows = explode_array(shap_all_classes_abs_mean(sample, ex, features), [key], "abs_phi", "v", "idx")
     return (rows.groupBy("idx").agg(F.avg("v").alias("importance"))
             .select(names[F.col("idx")].alias("feature"), "importance")
             .orderBy(F.desc("importance"), "feature"))

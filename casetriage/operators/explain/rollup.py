@@ -12,16 +12,23 @@ from pyspark.sql import functions as F
 from ..ranking import sort_abs_desc
 
 
-def slot_sum(phi: Column, slots: list[int]) -> Column:
-    """Sum of phi over the given 0-based slots (0.0 for none)."""
+def slot_sum(phi: Column, slots: list[int], n_slots: int | None = None) -> Column:
+    """Sum of phi over the given 0-based slots (0.0 for none), in slot order.
+
+    ``phi`` is only ever consumed whole (slice / zip with a mask literal):
+    indexing it inside a lambda would let the optimizer inline the phi
+    expression into the lambda and recompute it once per element."""
     if not slots:
         return F.lit(0.0)
     s = sorted(slots)
     if s == list(range(s[0], s[-1] + 1)):
         part = F.slice(phi, s[0] + 1, len(s))
-    else:
-        part = F.transform(F.lit(s), lambda i: F.element_at(phi, i + 1))
-    return F.aggregate(part, F.lit(0.0), lambda a, v: a + v)
+        return F.aggregate(part, F.lit(0.0), lambda a, v: a + v)
+    n = n_slots if n_slots is not None else s[-1] + 1
+    keep = set(s)
+    mask = F.lit([j in keep for j in range(n)])
+    return F.aggregate(F.zip_with(phi, mask, lambda p, m: F.when(m, p)), F.lit(0.0),
+                       lambda a, v: F.when(v.isNull(), a).otherwise(a + v))
 
 
 def tabular_contribs(phi: Column, names: list[dict], sources: list[str],
@@ -40,12 +47,13 @@ def tabular_contribs(phi: Column, names: list[dict], sources: list[str],
 def top_tokens(phi: Column, names: list[dict], k: int = 10, min_abs: float = 0.001) -> Column:
     """I7 tokens: the k text slots with the largest |phi|, then those above
     ``min_abs`` (the cut is applied after taking k, as in the reference)."""
-    text = [n for n in names if n["block"] == "text"]
+    text = [n["idx"] for n in names if n["block"] == "text"]
     if not text:
         return F.array().cast("array<struct<token:string,contribution:double>>")
-    toks = F.transform(F.lit([n["idx"] for n in text]),
-                       lambda i: F.struct(F.lit([n["name"] for n in names])[i].alias("token"),
-                                          F.element_at(phi, i + 1).alias("contribution")))
+    assert text == list(range(text[0], text[-1] + 1)), "text slots must be contiguous"
+    pairs = F.zip_with(F.lit([n["name"] for n in names]), phi,
+                       lambda nm, p: F.struct(nm.alias("token"), p.alias("contribution")))
+    toks = F.slice(pairs, text[0] + 1, len(text))
     top = F.slice(sort_abs_desc(toks), 1, k)
     return F.filter(top, lambda t: F.abs(t["contribution"]) > min_abs)
 
@@ -61,15 +69,16 @@ def group_slots(names: list[dict], token_group_rows: list[tuple[str, str]],
     return {g: sorted(set(v)) for g, v in out.items()}
 
 
-def semantic_groups(phi: Column, slots: dict[str, list[int]]) -> Column:
+def semantic_groups(phi: Column, slots: dict[str, list[int]], n_slots: int | None = None) -> Column:
     """I7 groups: map group -> summed phi (0.0 for a group with no tokens)."""
     return F.map_from_arrays(F.array(*[F.lit(g) for g in slots]),
-                             F.array(*[slot_sum(phi, s) for s in slots.values()]))
+                             F.array(*[slot_sum(phi, s, n_slots) for s in slots.values()]))
 
 
 def uncategorized(phi: Column, names: list[dict], slots: dict[str, list[int]]) -> Column:
     used = {i for s in slots.values() for i in s}
-    return slot_sum(phi, [n["idx"] for n in names if n["block"] == "text" and n["idx"] not in used])
+    return slot_sum(phi, [n["idx"] for n in names if n["block"] == "text" and n["idx"] not in used],
+                    len(names))
 
 
 def dominant_theme(groups_map: Column) -> Column:
@@ -84,13 +93,13 @@ def dominant_theme(groups_map: Column) -> Column:
 
 def top_features(phi: Column, names: list[dict], k: int = 10) -> Column:
     """The k feature slots with the largest |phi|."""
-    all_ = F.transform(F.lit([n["name"] for n in names]),
-                       lambda nm, i: F.struct(nm.alias("feature"),
-                                              F.element_at(phi, i + 1).alias("contribution")))
+    all_ = F.zip_with(F.lit([n["name"] for n in names]), phi,
+                      lambda nm, p: F.struct(nm.alias("feature"), p.alias("contribution")))
     return F.slice(sort_abs_desc(all_), 1, k)
 
 
 def contribs_long(df: DataFrame, key: str, arr: str) -> DataFrame:
     """Array of structs -> rows with 1-based rank."""
-    return df.select(key, F.posexplode(arr).alias("pos", "c")).select(
+    from ..reshape import explode_array
+    return explode_array(df, [key], arr, "c", "pos").select(
         key, (F.col("pos") + 1).alias("rank"), "c.*")

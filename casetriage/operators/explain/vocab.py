@@ -118,5 +118,5 @@ def token_groups(vocab: DataFrame, groups: dict = SEMANTIC_GROUPS, token_col: st
     kw = _kw_array(groups)
     keep = [token_col] + ([idx_col] if idx_col else [])
     hits = F.filter(kw, lambda x: F.instr(F.lower(F.col(token_col)), F.lower(x["keyword"])) > 0)
-    return (vocab.select(*keep, F.explode(F.array_distinct(F.transform(hits, lambda x: x["group"])))
-                         .alias("group")))
+    from ..reshape import explode_array
+    return explode_array(vocab, keep, F.array_distinct(F.transform(hits, lambda x: x["group"])), "group")

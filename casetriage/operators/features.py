@@ -61,7 +61,8 @@ def term_stats(df: DataFrame, key: str = "case_id", text_col: str = TEXT_COL,
     """(term, tf, df) over the corpus.  Two aggregations, both combined
     map-side: per (document, term) then per term, so frequent terms and long
     documents never concentrate in one task."""
-    grams = df.select(key, F.explode(with_ngrams(tokens(text_col), max_n)).alias("term"))
+    from .reshape import explode_array
+    grams = explode_array(df, [key], with_ngrams(tokens(text_col), max_n), "term")
     per_doc = grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"))
     return per_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
 
@@ -266,7 +267,8 @@ def feature_long(df: DataFrame, space: FeatureSpace, key: str = "case_id",
     names = F.array(*[F.lit(n["name"]) for n in space.names])
     blocks = F.array(*[F.lit(n["block"]) for n in space.names])
     srcs = F.array(*[F.lit(n["source_col"]) for n in space.names])
-    out = (df.select(key, F.posexplode(vector_to_array(F.col(features))).alias("idx", "x"))
+    from .reshape import explode_array
+    out = (explode_array(df, [key], vector_to_array(F.col(features)), "x", "idx")
            .withColumn("name", names[F.col("idx")])
            .withColumn("block", blocks[F.col("idx")])
            .withColumn("source_col", srcs[F.col("idx")]))

@@ -53,7 +53,7 @@ def explain_frame(df: DataFrame, ex: L.LinearExplainer, slots: dict[str, list[in
         "probs": probs if probs is not None else L.softmax(F.col("_m")),
         "contributions": RU.tabular_contribs(phi, ex.names, present, values),
         "top_tokens": RU.top_tokens(phi, ex.names),
-        "semantic_groups": RU.semantic_groups(phi, slots),
+        "semantic_groups": RU.semantic_groups(phi, slots, len(ex.names)),
         "uncategorized": RU.uncategorized(phi, ex.names, slots),
         "raw_features": F.create_map(*[x for s in present for x in (F.lit(s), F.col(s).cast("string"))]),
     }).drop("_m")
@@ -67,9 +67,10 @@ FROZEN_TOKENS = 20
 FROZEN_BACKGROUND = 97
 
 
-def frozen_coef(name: str, c: int) -> float:
-    """Fixture coefficients: multiples of 1/16, so margins are exact sums."""
-    return (((len(name) * 7 + 3 * c) % 11) - 5) / 16.0
+def frozen_coef(name: str, idx: int, c: int) -> float:
+    """Fixture coefficients: multiples of 1/16 (margins are exact sums),
+    different for neighbouring slots of one source."""
+    return (((len(name) * 7 + 3 * c + idx) % 11) - 5) / 16.0
 
 
 def frozen_intercept(c: int) -> float:
@@ -105,8 +106,8 @@ def frozen_model(spark: SparkSession, sf_dir: str, groups: dict = FIXTURE_GROUPS
               for k in range(len(edges) + 1)]
     for i, n in enumerate(names):
         n["idx"] = i
-    tok_arr = FE.tokens("case_summary")
-    b = FE.bin_index(FE.TENURE_COL, edges)
+    tok_arr = F.col("_toks")  # tokenised once per row
+    b = F.col("_bin")
     xs = []
     for n in names:
         if n["block"] == "text":
@@ -115,8 +116,10 @@ def frozen_model(spark: SparkSession, sf_dir: str, groups: dict = FIXTURE_GROUPS
             xs.append(F.coalesce(F.col(n["source_col"]) == n["v"], F.lit(False)))
         else:
             xs.append(F.coalesce(b == n["v"], F.lit(False)))
-    feats = cases.withColumn("x", F.array(*[x.cast("double") for x in xs]))
-    W = [[frozen_coef(n["name"], c) for n in names] for c in range(4)]
+    feats = (cases.withColumn("_toks", FE.tokens("case_summary"))
+             .withColumn("_bin", FE.bin_index(FE.TENURE_COL, edges))
+             .withColumn("x", F.array(*[x.cast("double") for x in xs])).drop("_toks", "_bin"))
+    W = [[frozen_coef(n["name"], n["idx"], c) for n in names] for c in range(4)]
     bvec = [frozen_intercept(c) for c in range(4)]
     background = R.sample_n(feats, FROZEN_BACKGROUND)
     ex = L.LinearExplainer(W, bvec, L.background_mean(background, "x"), names, PRIORITY_LEVELS)

@@ -216,3 +216,218 @@ QUERIES = {
     "urgent_top10": q_urgent_top10,
     "sample_background": q_sample_background,
 }
+
+
+# ------------------------------------------------------------------ M3 ----
+
+def q_tfidf_vocab(spark, d):
+    cases = view(spark, d, "cases")
+    n = cases.count()
+    v = FE.select_vocabulary(FE.term_stats(cases), min_df=2, max_features=500)
+    return v.select("term", "tf", "df", F.round(F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0, 9).alias("idf"))
+
+
+def q_tfidf_weights(spark, d):
+    cases = view(spark, d, "cases")
+    space = FE.fit_features(cases, cat_cols=[], tenure_col=None, min_df=2, max_features=500)
+    long = FE.feature_long(space.transform(cases), space)
+    return long.select("case_id", F.col("name").alias("term"), F.round("x", 9).alias("weight"))
+
+
+# ------------------------------------------------------------------ M4 ----
+
+def _frozen(spark, d):
+    from . import explain as X
+    return X.frozen_model(spark, d), X.frozen_explained(spark, d)
+
+
+def q_shap_linear_frozen(spark, d):
+    fz, e = _frozen(spark, d)
+    names = F.lit([n["name"] for n in fz.names])
+    from ..operators.reshape import explode_array
+    return (explode_array(e, ["case_id", "explained_class"], "phi", "phi", "idx")
+            .select("case_id", "explained_class", names[F.col("idx")].alias("feature"),
+                    F.round("phi", 9).alias("phi")))
+
+
+def q_shap_additivity(spark, d):
+    _, e = _frozen(spark, d)
+    total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
+    return e.select("case_id", "explained_class", F.round("base_value", 6).alias("base_value"),
+                    F.round("margin", 6).alias("margin"),
+                    F.round(total + F.col("base_value"), 6).alias("reconstructed"))
+
+
+def q_shap_rollup(spark, d):
+    from ..operators.explain import rollup as RU
+    _, e = _frozen(spark, d)
+    return _r(RU.contribs_long(e, "case_id", "contributions"), ["contribution"], 9)
+
+
+def q_shap_text_groups(spark, d):
+    _, e = _frozen(spark, d)
+    from ..operators.reshape import explode_map
+    g = explode_map(e, ["case_id"], "semantic_groups", "group", "contribution")
+    u = e.select("case_id", F.lit("(uncategorized)").alias("group"), F.col("uncategorized").alias("contribution"))
+    return _r(g.unionByName(u), ["contribution"], 9)
+
+
+def q_dominant_theme(spark, d):
+    _, e = _frozen(spark, d)
+    return e.select("case_id", F.col("dominant_theme.theme").alias("theme"),
+                    F.round("dominant_theme.value", 9).alias("value"))
+
+
+def q_top_features(spark, d):
+    from ..operators.explain import rollup as RU
+    fz, e = _frozen(spark, d)
+    t = e.select("case_id", RU.top_features(F.col("phi"), fz.names, 10).alias("top"))
+    return _r(RU.contribs_long(t, "case_id", "top"), ["contribution"], 9)
+
+
+def q_top_tokens(spark, d):
+    from ..operators.explain import rollup as RU
+    _, e = _frozen(spark, d)
+    return _r(RU.contribs_long(e, "case_id", "top_tokens"), ["contribution"], 9)
+
+
+def q_global_importance_frozen(spark, d):
+    from . import explain as X
+    from ..operators.explain import linear as L
+    fz, _ = _frozen(spark, d)
+    bg = R.sample_n(fz.cases, X.FROZEN_BACKGROUND)
+    return _r(L.global_importance(bg, fz.ex, "x"), ["importance"], 9)
+
+
+def _texts(spark, d):
+    from ..operators.explain import narrative as N
+    _, e = _frozen(spark, d)
+    return N.with_number_text(e)
+
+
+def q_narrative(spark, d):
+    from ..operators.explain import narrative as N
+    return _texts(spark, d).select("case_id", N.narrate().alias("narrative"))
+
+
+def q_summary_line(spark, d):
+    from ..operators.explain import narrative as N
+    return _texts(spark, d).select("case_id", N.summarise().alias("summary"))
+
+
+def q_prompt_context(spark, d):
+    from ..operators.explain import narrative as N
+    return _texts(spark, d).select("case_id", N.prompt_context().alias("context"))
+
+
+def q_factor_list(spark, d):
+    from ..operators.explain import narrative as N
+    return _texts(spark, d).select("case_id", N.factor_list().alias("factor_list"))
+
+
+def q_prompts(spark, d):
+    from ..operators.explain import narrative as N
+    t = _texts(spark, d)
+    return t.select("case_id", N.explanation_prompt(N.prompt_context()).alias("explanation_prompt"),
+                    N.summary_prompt().alias("summary_prompt"))
+
+
+def q_explained_prediction(spark, d):
+    t = _texts(spark, d)
+    pos_text = F.array_join(F.transform("positive", lambda p, i: F.concat(
+        p["feature"], F.lit("|"), F.col("_pos3")[i], F.lit("|"), p["explanation"])), ";")
+    return t.select("case_id", "priority", "confidence", F.size("positive").alias("n_positive"),
+                    F.size("negative").alias("n_negative"), pos_text.alias("positive_text"))
+
+
+def q_explanation_document(spark, d):
+    from ..operators.explain import document as D
+    _, e = _frozen(spark, d)
+    return e.select("case_id", F.to_json(D.to_document(), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def q_explanation_card(spark, d):
+    from ..operators.explain import document as D
+    _, e = _frozen(spark, d)
+    return e.select("case_id", F.to_json(D.to_card(), {"ignoreNullFields": "false"}).alias("card"))
+
+
+def q_tenure_tier_explained(spark, d):
+    from ..operators.explain import document as D
+    cases = view(spark, d, "cases")
+    srcs = ["channel", "case_type", "category", "plan_tier", "customer_tenure_months"]
+    arr = F.array(*[F.struct(F.lit(s).alias("feature"), F.col(s).cast("string").alias("value")) for s in srcs])
+    x = cases.select("case_id", F.explode(arr).alias("f"))
+    return x.select("case_id", "f.feature", "f.value",
+                    D.explanation_text(F.col("f.feature"), F.col("f.value")).alias("explanation"))
+
+
+def q_keyword_groups(spark, d):
+    from ..operators.explain.vocab import FIXTURE_GROUPS, extract_keywords
+    cases = view(spark, d, "cases")
+    from ..operators.reshape import explode_map
+    m = cases.select("case_id", extract_keywords("case_summary", FIXTURE_GROUPS).alias("m"))
+    return explode_map(m, ["case_id"], "m", "group", "kw").select(
+        "case_id", "group", F.array_join("kw", ",").alias("keywords"))
+
+
+def q_token_groups(spark, d):
+    from ..operators.explain.vocab import FIXTURE_GROUPS, token_groups
+    vocab = FE.select_vocabulary(FE.term_stats(view(spark, d, "cases")), 2, 500)
+    return token_groups(vocab, FIXTURE_GROUPS)
+
+
+GROUNDING_FEATURES = ["case_type", "category", "channel"]
+
+
+def _grounded(spark, d):
+    from ..operators.explain import narrative as N
+    g = view(spark, d, "generated_texts")
+    feats = F.array(*[F.lit(f) for f in GROUNDING_FEATURES])
+    return g.withColumn("validation", N.check_grounding(F.col("generated_text"), F.col("priority"),
+                                                        F.col("case_id").cast("string"), feats))
+
+
+def q_grounding_check(spark, d):
+    g = _grounded(spark, d)
+    return g.select("case_id", "turn", F.col("validation.is_valid").alias("is_valid"),
+                    F.size("validation.warnings").alias("n_warnings"),
+                    F.array_join("validation.warnings", " | ").alias("warnings"))
+
+
+def q_resolve_text(spark, d):
+    from ..operators.explain import narrative as N
+    g = _grounded(spark, d)
+    template = F.concat(F.lit("Classified as "), F.col("priority"),
+                        F.lit(" priority based on overall case characteristics."))
+    r = g.withColumn("r", N.resolve_text(F.col("generated_text"), F.col("validation"), template, "strict"))
+    return r.select("case_id", "turn", F.col("r.source").alias("source"),
+                    F.col("r.explanation").alias("explanation"),
+                    F.size("r.warnings").alias("n_warnings"))
+
+
+QUERIES.update({
+    "tfidf_vocab": q_tfidf_vocab,
+    "tfidf_weights": q_tfidf_weights,
+    "shap_linear_frozen": q_shap_linear_frozen,
+    "shap_additivity": q_shap_additivity,
+    "shap_rollup": q_shap_rollup,
+    "shap_text_groups": q_shap_text_groups,
+    "dominant_theme": q_dominant_theme,
+    "top_features": q_top_features,
+    "top_tokens": q_top_tokens,
+    "global_importance_frozen": q_global_importance_frozen,
+    "narrative": q_narrative,
+    "summary_line": q_summary_line,
+    "prompt_context": q_prompt_context,
+    "factor_list": q_factor_list,
+    "prompts": q_prompts,
+    "explained_prediction": q_explained_prediction,
+    "explanation_document": q_explanation_document,
+    "explanation_card": q_explanation_card,
+    "tenure_tier_explained": q_tenure_tier_explained,
+    "keyword_groups": q_keyword_groups,
+    "token_groups": q_token_groups,
+    "grounding_check": q_grounding_check,
+    "resolve_text": q_resolve_text,
+})
