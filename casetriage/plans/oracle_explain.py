@@ -300,3 +300,6 @@ w AS (SELECT p.case_id, p.term, p.c * (ln(CAST(1 + nd.n AS DOUBLE) / CAST(1 + v.
       FROM per_doc p JOIN vocab v ON v.term = p.term, nd),
 nrm AS (SELECT case_id, sqrt(sum(raw * raw)) AS norm FROM w GROUP BY case_id)""", """
 SELECT w.case_id, w.term, round(w.raw / nrm.norm, 9) AS weight FROM w JOIN nrm ON nrm.case_id = w.case_id""")
+
+ORACLE["export_roundtrip"] = _cte(("case_facts",), "", """
+SELECT case_id, status, case_type, category, priority, sla_target_hours, escalated FROM case_facts""")

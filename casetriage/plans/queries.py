@@ -431,3 +431,182 @@ QUERIES.update({
     "grounding_check": q_grounding_check,
     "resolve_text": q_resolve_text,
 })
+
+
+# ------------------------------------------------- models (rows-only) ----
+# Learned weights cannot be restated in SQL; these are checked by row
+# counts here and by properties in tests/ (probabilities sum to 1,
+# additivity, persistence round trip).
+
+def _triage(spark, d, kind="lr", **kw):
+    from .flagship import fit_triage
+    return fit_triage(spark, d, kind, **kw)
+
+
+def _scored(spark, d, kind="lr", which=("test", "new"), **kw):
+    from .flagship import PRED_COLS, scored_cases
+    return scored_cases(_triage(spark, d, kind, **kw), which).select(*PRED_COLS)
+
+
+SMALL_RF = {"num_trees": 20, "max_depth": 8}
+SMALL_DT = {"max_depth": 5}
+
+
+def q_lr_scored(spark, d):
+    return _scored(spark, d, "lr")
+
+
+def q_coefficients(spark, d):
+    from ..operators import models as M
+    t = _triage(spark, d, "lr")
+    return M.coefficients(spark, t.model, t.space)
+
+
+def q_feature_names(spark, d):
+    return _triage(spark, d, "lr").space.names_df(spark)
+
+
+def q_no_text_ablation(spark, d):
+    from .flagship import scored_cases
+    t = _triage(spark, d, "lr", text=False)
+    return E.summary_metrics(scored_cases(t, ("test",)).withColumnRenamed(
+        "priority_encoded", "actual_priority"))
+
+
+def q_dt_scored(spark, d):
+    return _scored(spark, d, "dt", **SMALL_DT)
+
+
+def q_rf_scored(spark, d):
+    return _scored(spark, d, "rf", **SMALL_RF)
+
+
+def q_tree_importance(spark, d):
+    from ..operators import models as M
+    t = _triage(spark, d, "rf", **SMALL_RF)
+    return M.tree_importance(spark, t.model, t.space, 20)
+
+
+def q_score_all(spark, d):
+    from ..operators import models as M
+    lr = _triage(spark, d, "lr")
+    models = {"Logistic Regression": lr.model,
+              "Decision Tree": _triage(spark, d, "dt", **SMALL_DT).model,
+              "Random Forest": _triage(spark, d, "rf", **SMALL_RF).model}
+    test = lr.data.filter(F.col("split") == "test")
+    return M.score_all(models, test, lr.space, keep=("case_id", "priority_encoded"))
+
+
+def q_model_comparison_trained(spark, d):
+    s = q_score_all(spark, d).withColumnRenamed("priority_encoded", "actual_priority")
+    return E.compare_models(s, dp=3)
+
+
+def q_tune_dt(spark, d):
+    from ..operators import tuning as T
+    t = _triage(spark, d, "lr")
+    folds = SP.stratified_folds(t.train, k=3)
+    _, trials = T.tune(folds, "dt", n_trials=3, k=3, parallelism=3)
+    rows = [(i, str(sorted(p.items())), float(s)) for i, (p, s) in enumerate(trials)]
+    return spark.createDataFrame(rows, "trial int, params string, mean_macro_f1 double")
+
+
+def q_explain_batch_lr(spark, d):
+    from ..operators.explain import narrative as N
+    from .explain import explain_batch_lr
+    e = N.with_number_text(explain_batch_lr(spark, d))
+    total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
+    return e.select("case_id", "priority", "confidence", "base_value", "margin",
+                    (total + F.col("base_value")).alias("reconstructed"),
+                    F.col("dominant_theme.theme").alias("theme"), N.narrate().alias("narrative"),
+                    N.summarise().alias("summary"))
+
+
+def q_explain_case(spark, d):
+    """I8: one case (the lowest test id) -> document, card, narrative."""
+    from ..operators.explain import document as D
+    from ..operators.explain import narrative as N
+    from .explain import explain_batch_lr
+    e = explain_batch_lr(spark, d, which=("test",))
+    first = e.agg(F.min("case_id")).first()[0]
+    one = N.with_number_text(e.filter(F.col("case_id") == first))
+    return one.select("case_id", F.to_json(D.to_document(), {"ignoreNullFields": "false"}).alias("document"),
+                      F.to_json(D.to_card(), {"ignoreNullFields": "false"}).alias("card"),
+                      N.narrate().alias("narrative"), N.factor_list().alias("factor_list"),
+                      N.prompt_context().alias("context"))
+
+
+def q_model_roundtrip(spark, d):
+    """Persist pipeline + classifier with the ML writer, load, rescore."""
+    from ..operators import models as M
+    from ..session import scratch_path
+    from .flagship import scored_cases
+    t = _triage(spark, d, "lr")
+    base = scratch_path(spark, "model-roundtrip")
+    M.save_model(t.space.pipeline, f"{base}/features")
+    M.save_model(t.model, f"{base}/lr")
+    feats, lr = M.load_model(f"{base}/features", "pipeline"), M.load_model(f"{base}/lr", "lr")
+    rows = t.data.filter(F.col("split") == "test")
+    again = M.with_probs(lr.transform(feats.transform(rows))).select(
+        "case_id", F.col("predicted_priority").alias("reloaded_priority"),
+        F.col("confidence").alias("reloaded_confidence"))
+    first = scored_cases(t, ("test",)).select("case_id", "predicted_priority", "confidence")
+    return first.join(again, "case_id").withColumn(
+        "same", (F.col("predicted_priority") == F.col("reloaded_priority"))
+        & (F.abs(F.col("confidence") - F.col("reloaded_confidence")) < 1e-12))
+
+
+QUERIES.update({
+    "lr_scored": q_lr_scored,
+    "coefficients": q_coefficients,
+    "feature_names": q_feature_names,
+    "no_text_ablation": q_no_text_ablation,
+    "dt_scored": q_dt_scored,
+    "rf_scored": q_rf_scored,
+    "tree_importance": q_tree_importance,
+    "score_all": q_score_all,
+    "model_comparison_trained": q_model_comparison_trained,
+    "tune_dt": q_tune_dt,
+    "explain_batch_lr": q_explain_batch_lr,
+    "explain_case": q_explain_case,
+    "model_roundtrip": q_model_roundtrip,
+})
+
+
+# ------------------------------------------------------------ streaming ----
+
+def q_stream_scored(spark, d):
+    """J1 + J2: the unlabelled cases arrive as small files (plus a later
+    re-send of some of them); the stream scores and explains them and the
+    read side keeps the latest version of every case."""
+    from ..session import scratch_path
+    from ..streaming.scoring import latest_scores, score_stream
+    from .explain import lr_explainer
+    from .flagship import FEATURE_COLS
+    t, ex, slots = lr_explainer(spark, d)
+    base = scratch_path(spark, "stream")
+    new = view(spark, d, "cases").filter(F.col("priority").isNull()).select(*FEATURE_COLS)
+    new.withColumn("version", F.lit(1)).repartition(4).write.parquet(f"{base}/in")
+    resent = new.filter(F.col("case_id") % 10 == 0).withColumn("version", F.lit(2))
+    resent.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    schema = new.withColumn("version", F.lit(1)).schema
+    score_stream(spark, f"{base}/in", schema, t.space, t.model, ex, slots,
+                 f"{base}/out", f"{base}/ckpt", max_files_per_trigger=2)
+    return latest_scores(spark, f"{base}/out")
+
+
+def q_export_roundtrip(spark, d):
+    """Write a case table with the sink and read it back."""
+    from ..session import scratch_path
+    from ..sources.readers import read_cases, write_table
+    path = scratch_path(spark, "export")
+    cf = view(spark, d, "case_facts").select("case_id", "status", "case_type", "category", "priority",
+                                              "sla_target_hours", "escalated")
+    write_table(cf, path, "parquet")
+    return read_cases(spark, path, "parquet")
+
+
+QUERIES.update({
+    "stream_scored": q_stream_scored,
+    "export_roundtrip": q_export_roundtrip,
+})

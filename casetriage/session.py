@@ -85,5 +85,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
+    import uuid
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{abs(hash(name)) % 10**8}"
+    return f"{base}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
