@@ -133,3 +133,12 @@ def validation_reasons(channel="channel", case_type="case_type", plan_tier="plan
         F.when(F.coalesce(trim_ws(summary), F.lit("")) == "", F.lit("empty summary")),
     ]
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+
+def round_keep_sign(c, dp: int = 3) -> Column:
+    """Round to ``dp`` decimals keeping the sign of a value that rounds to
+    zero (-0.0003 -> -0.0, as the reference's rounding does); Spark's
+    ``round`` returns +0.0 there, which prints differently."""
+    x = _c(c)
+    r = F.round(x, dp)
+    return F.when((r == 0) & (x < 0), F.lit(-0.0)).otherwise(r)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import formatting as FMT
+from ...functions.scalar import round_keep_sign
 from ...functions.scalar import PRIORITY_LEVELS, tenure_tier
 from .vocab import FEATURE_EXPLANATIONS
 
@@ -48,7 +49,7 @@ def enrich(contribs: Column, dictionary: dict = FEATURE_EXPLANATIONS) -> Column:
     """Value + rounded contribution + explanation per contribution."""
     return F.transform(contribs, lambda c: F.struct(
         c["feature"].alias("feature"), c["value"].alias("value"),
-        F.round(c["contribution"], 3).alias("contribution"),
+        round_keep_sign(c["contribution"], 3).alias("contribution"),
         explanation_text(c["feature"], c["value"], dictionary).alias("explanation")))
 
 
@@ -69,7 +70,7 @@ def with_document_parts(df: DataFrame, probs: str = "probs", cls: str = "explain
     return df.withColumns({
         "priority": lab[F.col(cls)],
         "confidence": F.round(F.col(probs)[F.col(cls)], 3),
-        "probabilities": F.map_from_arrays(lab, F.transform(F.col(probs), lambda p: F.round(p, 3))),
+        "probabilities": F.map_from_arrays(lab, F.transform(F.col(probs), lambda p: round_keep_sign(p, 3))),
         "positive": pos,
         "negative": neg,
     })
@@ -86,7 +87,7 @@ def to_document(key: str = "case_id", raw_features: str | None = "raw_features")
         F.struct(F.col("positive").alias("positive"), F.col("negative").alias("negative"))
         .alias("feature_contributions"),
         F.struct(F.col("top_tokens").alias("top_tokens"),
-                 F.transform_values("semantic_groups", lambda k, v: F.round(v, 3)).alias("semantic_groups"))
+                 F.transform_values("semantic_groups", lambda k, v: round_keep_sign(v, 3)).alias("semantic_groups"))
         .alias("text_analysis"),
         F.struct(*meta, F.col("uncategorized").alias("uncategorized")).alias("metadata"),
     )
@@ -106,7 +107,7 @@ def to_card(key: str = "case_id", n_pos: int = 3, n_neg: int = 2) -> Column:
         F.transform(F.slice("positive", 1, n_pos), _factor).alias("top_positive_factors"),
         F.transform(F.slice("negative", 1, n_neg), _factor).alias("top_negative_factors"),
         F.struct(F.col("top_tokens").alias("top_tokens"),
-                 F.transform_values("semantic_groups", lambda k, v: F.round(v, 3)).alias("semantic_groups"))
+                 F.transform_values("semantic_groups", lambda k, v: round_keep_sign(v, 3)).alias("semantic_groups"))
         .alias("text_insights"),
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import formatting as FMT
+from ...functions.scalar import round_keep_sign
 from ...functions.scalar import humanise, spaced, trim_ws
 from .vocab import SPECULATIVE_PHRASES
 
@@ -76,7 +77,7 @@ def with_number_text(df: DataFrame) -> DataFrame:
         "_neg2": FMT.fixed_array(contrib("negative"), 2),
         "_tok3": FMT.fixed_array(contrib("top_tokens"), 3),
         "_grp3": FMT.fixed_array(F.map_values(F.transform_values(
-            "semantic_groups", lambda k, v: F.round(v, 3))), 3),
+            "semantic_groups", lambda k, v: round_keep_sign(v, 3))), 3),
     })
 
 
@@ -93,7 +94,7 @@ def narrate() -> Column:
     factors = F.when(has_pos, F.concat(F.lit("The main contributing factors are: "),
                                        F.array_join(parts, ", "), F.lit(".")))
     top = F.when(has_pos, F.concat(F.col("positive")[0]["explanation"], F.lit(".")))
-    rounded = F.transform_values("semantic_groups", lambda k, v: F.round(v, 3))
+    rounded = F.transform_values("semantic_groups", lambda k, v: round_keep_sign(v, 3))
     themes = F.filter(F.map_entries(rounded), lambda e: e["value"] > 0.05)
     theme = F.when(F.size(themes) > 0, F.concat(F.lit("The case text shows "),
                                                 spaced(themes[0]["key"]), F.lit(" patterns.")))
@@ -133,7 +134,7 @@ def prompt_context(key: str = "case_id") -> Column:
     toks = F.transform(F.slice("top_tokens", 1, 5), lambda t, i: F.concat(
         F.lit('  - "'), t["token"], F.lit('": '),
         F.when(t["contribution"] > 0, F.lit("+")).otherwise(F.lit("")), F.col("_tok3")[i]))
-    rounded = F.map_entries(F.transform_values("semantic_groups", lambda k, v: F.round(v, 3)))
+    rounded = F.map_entries(F.transform_values("semantic_groups", lambda k, v: round_keep_sign(v, 3)))
     grp = F.filter(F.transform(rounded, lambda e, i: F.when(
         F.abs(e["value"]) > 0.01,
         F.concat(F.lit("  - "), e["key"], F.lit(": "),

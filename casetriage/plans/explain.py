@@ -64,7 +64,7 @@ def explain_frame(df: DataFrame, ex: L.LinearExplainer, slots: dict[str, list[in
 # ------------------------------------------------------------ frozen ----
 
 FROZEN_TOKENS = 20
-FROZEN_BACKGROUND = 97
+FROZEN_BACKGROUND = 64  # power of two: every phi and sum is exact, engine-independent
 
 
 def frozen_coef(name: str, idx: int, c: int) -> float:

@@ -1,7 +1,7 @@
 """Oracle SQL (DuckDB) for the explanation queries over the frozen model.
 
 The frozen model is restated from scratch in SQL: top-20 tokens, category
-and tenure-bin slots, a 97-row hashed background, coefficients
+and tenure-bin slots, a 64-row hashed background, coefficients
 (((len(name)*7 + 3c + slot) mod 11) - 5)/16 and intercepts (c - 1.5)/8.
 """
 
@@ -81,7 +81,7 @@ xv AS (SELECT cb.case_id, s.idx, s.name, s.block, s.source_col,
        WHEN s.source_col = 'plan_tier' THEN (CASE WHEN cb.plan_tier = s.v THEN 1.0E0 ELSE 0.0E0 END)
        ELSE (CASE WHEN cb.bin = CAST(s.v AS BIGINT) THEN 1.0E0 ELSE 0.0E0 END) END AS x
   FROM cb, slots s),
-bg AS (SELECT case_id FROM cases ORDER BY {HASH.format(k='case_id')}, case_id LIMIT 97),
+bg AS (SELECT case_id FROM cases ORDER BY {HASH.format(k='case_id')}, case_id LIMIT 64),
 mu AS (SELECT x.idx, avg(x.x) AS mu FROM xv x JOIN bg ON bg.case_id = x.case_id GROUP BY x.idx),
 cls AS (SELECT unnest(range(0, 4)) AS c),
 wt AS (SELECT s.idx, cls.c, (((length(s.name) * 7 + 3 * cls.c + s.idx) % 11) - 5) / 16.0E0 AS w FROM slots s, cls),

@@ -25,7 +25,7 @@ GENDER_POSITION = 20
 
 
 def _csv(spark: SparkSession, schema: StructType | None = None):
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    r = (spark.read.format("csv").option("header", True).option("multiLine", True).option("escape", '"')
          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
          .option("nullValue", _MISSING).option("emptyValue", ""))
     return r.schema(schema) if schema is not None else r
