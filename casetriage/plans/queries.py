@@ -610,3 +610,25 @@ QUERIES.update({
     "stream_scored": q_stream_scored,
     "export_roundtrip": q_export_roundtrip,
 })
+
+
+def q_shap_tree(spark, d):
+    """Tree SHAP of the forest for the predicted class of every test
+    case, with the model's own probability next to base + sum(phi)."""
+    from ..operators.explain import rollup as RU
+    from ..operators.explain.tree import shap_tree
+    from ..session import scratch_path
+    from .flagship import scored_cases
+    t = _triage(spark, d, "rf", **SMALL_RF)
+    scored = scored_cases(t, ("test",))
+    s = shap_tree(spark, scored, t.model, scratch_path(spark, "rf-model"))
+    total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
+    probs = scored.select("case_id", "confidence")
+    top = RU.top_features(F.col("phi"), t.space.names, 5)
+    return (s.join(probs, "case_id")
+            .select("case_id", "explained_class", "base_value", F.col("confidence").alias("model_prob"),
+                    "fx", (F.col("base_value") + total).alias("reconstructed"),
+                    F.array_join(F.transform(top, lambda c: c["feature"]), ",").alias("top_features")))
+
+
+QUERIES["shap_tree"] = q_shap_tree
