@@ -153,3 +153,33 @@ def explain_batch_lr(spark: SparkSession, sf_dir: str, which=("test", "new"),
     scored = scored_cases(t, which)
     return explain_frame(scored, ex, slots, features="features", pred_col="predicted_priority",
                          probs=vector_to_array(F.col("probability")))
+
+
+def explain_any(spark: SparkSession, t, rows: DataFrame, scratch: str) -> DataFrame:
+    """I4: pick the explainer from the model class -- linear Shapley for
+    LR, Tree SHAP for trees / forests, sampled Shapley otherwise -- and
+    return (case_id, explainer, phi-sum check columns)."""
+    from ..operators import models as M
+    from ..operators.explain import explainer_kind
+    from ..operators.explain.sampled import shap_sampled
+    from ..operators.explain.tree import shap_tree
+    kind = explainer_kind(t.model)
+    scored = M.score(t.model, rows, t.space)
+    if kind == "linear":
+        bg = R.sample_n(t.train, 100)
+        ex = L.from_lr(t.model, t.space.names, bg)
+        e = L.shap_linear(scored, ex, "features", "predicted_priority")
+        total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
+        return e.select("case_id", F.lit(kind).alias("explainer"), "base_value",
+                        (F.col("base_value") + total).alias("reconstructed"), F.col("margin").alias("fx"))
+    if kind == "tree":
+        s = shap_tree(spark, scored, t.model, scratch)
+        total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
+        return s.select("case_id", F.lit(kind).alias("explainer"), "base_value",
+                        (F.col("base_value") + total).alias("reconstructed"), "fx")
+    bg = R.sample_n(t.data.filter(F.col("split") == "train"), 32)
+    s = shap_sampled(scored, bg, lambda df: t.model.transform(t.space.transform(df)))
+    return (s.groupBy("case_id").agg(F.first("base_value").alias("base_value"),
+                                     (F.first("base_value") + F.sum("phi")).alias("reconstructed"),
+                                     F.first("fx").alias("fx"))
+            .withColumn("explainer", F.lit(kind)))

@@ -303,3 +303,11 @@ SELECT w.case_id, w.term, round(w.raw / nrm.norm, 9) AS weight FROM w JOIN nrm O
 
 ORACLE["export_roundtrip"] = _cte(("case_facts",), "", """
 SELECT case_id, status, case_type, category, priority, sla_target_hours, escalated FROM case_facts""")
+
+ORACLE["head_cases"] = _cte(("cases",), "", """
+SELECT case_id, channel, case_type, plan_tier FROM cases ORDER BY case_id LIMIT 10""")
+ORACLE["probs_long"] = _cte(("predictions_fixture",), "", """
+SELECT case_id, 'Low' AS class, prob_Low AS probability FROM predictions_fixture
+UNION ALL SELECT case_id, 'Medium', prob_Medium FROM predictions_fixture
+UNION ALL SELECT case_id, 'High', prob_High FROM predictions_fixture
+UNION ALL SELECT case_id, 'Urgent', prob_Urgent FROM predictions_fixture""")

@@ -632,3 +632,67 @@ def q_shap_tree(spark, d):
 
 
 QUERIES["shap_tree"] = q_shap_tree
+
+
+def q_shap_sampled(spark, d):
+    """Sampled Shapley values of the LR triage model over the six
+    source features for every test case (model used as a black box)."""
+    from ..operators import models as M
+    from ..operators.explain.sampled import shap_sampled
+    from .flagship import scored_cases
+    t = _triage(spark, d, "lr")
+    test = scored_cases(t, ("test",)).select("case_id", "predicted_priority", *SOURCE_FEATURES)
+    bg = R.sample_n(t.data.filter(F.col("split") == "train"), 32).select(*SOURCE_FEATURES)
+    return shap_sampled(test, bg, lambda df: t.model.transform(t.space.transform(df)), n_perm=6)
+
+
+SOURCE_FEATURES = ["case_summary", "channel", "case_type", "category", "plan_tier", "customer_tenure_months"]
+QUERIES["shap_sampled"] = q_shap_sampled
+
+
+def q_head_cases(spark, d):
+    """First rows in key order (preview / first-n background)."""
+    return R.head(view(spark, d, "cases"), 10).select("case_id", "channel", "case_type", "plan_tier")
+
+
+def q_probs_long(spark, d):
+    """Labels zipped with probabilities into a map, one row per class."""
+    p = view(spark, d, "predictions_fixture")
+    return R.probs_long(p, ["Low", "Medium", "High", "Urgent"],
+                        ["prob_Low", "prob_Medium", "prob_High", "prob_Urgent"])
+
+
+def q_explain_dispatch(spark, d):
+    """I4: the same call explains LR, tree and forest models."""
+    from ..session import scratch_path
+    from .explain import explain_any
+    out = None
+    for kind, kw in (("lr", {}), ("dt", SMALL_DT), ("rf", SMALL_RF)):
+        t = _triage(spark, d, kind, **kw)
+        rows = t.data.filter(F.col("split") == "test")
+        e = explain_any(spark, t, rows, scratch_path(spark, f"dispatch-{kind}")).withColumn("model", F.lit(kind))
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+def q_importance_fallback(spark, d):
+    """Cases whose explanation has no positive factor get the forest's
+    global top features instead."""
+    from ..operators import models as M
+    from ..operators.explain import document as D
+    from .explain import explain_batch_lr
+    rf = _triage(spark, d, "rf", **SMALL_RF)
+    top = [(r.feature, r.importance) for r in M.tree_importance(spark, rf.model, rf.space, 10).collect()]
+    e = D.with_importance_fallback(explain_batch_lr(spark, d), top)
+    return e.select("case_id", F.size("positive").alias("n_positive"),
+                    F.transform(F.coalesce("fallback_factors", F.array().cast(
+                        "array<struct<feature:string,importance:double>>")), lambda f: f["feature"])
+                    .alias("fallback_features"))
+
+
+QUERIES.update({
+    "head_cases": q_head_cases,
+    "probs_long": q_probs_long,
+    "explain_dispatch": q_explain_dispatch,
+    "importance_fallback": q_importance_fallback,
+})

@@ -30,3 +30,16 @@ def test_depth_one_tree_by_hand(spark, tmp_path):
     tree_shap_row(x, t, 1, phi)
     # root P(class 1) = 2/5; the right leaf (x0 = 1) has 2/3
     assert abs(phi[0] - (2 / 3 - 2 / 5)) < 1e-12 and phi[1] == 0.0
+
+
+def test_sampled_shapley_is_efficient(spark):
+    """sum(phi) = f(x) - base for every case (telescoping permutations)."""
+    import __spark_entry__ as E
+    from pyspark.sql import functions as F
+    s = E.queries()["shap_sampled"](spark, SF_SMALL)
+    per = s.groupBy("case_id").agg(F.sum("phi").alias("t"), F.first("base_value").alias("b"),
+                                   F.first("fx").alias("fx"), F.count("*").alias("k")).collect()
+    assert per
+    for r in per:
+        assert r.k == 6
+        assert abs(r.t - (r.fx - r.b)) < 1e-9
