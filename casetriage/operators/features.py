@@ -58,13 +58,19 @@ GRAMS_SQL = (
 
 def term_stats(df: DataFrame, key: str = "case_id", text_col: str = TEXT_COL,
                max_n: int = 2) -> DataFrame:
-    """(term, tf, df) over the corpus.  Two aggregations, both combined
-    map-side: per (document, term) then per term, so frequent terms and long
-    documents never concentrate in one task."""
+    """(term, tf, df) over the corpus in one aggregation keyed by term only:
+    every occurrence adds to tf, every distinct term of a document adds to
+    df.  Both inputs combine map-side (a partition sends one row per
+    distinct term), so neither frequent terms nor long documents
+    concentrate in one task, and no (document, term) pairs are shuffled.
+    ``key`` is kept for API compatibility (documents need no id)."""
     from .reshape import explode_array
-    grams = explode_array(df, [key], with_ngrams(tokens(text_col), max_n), "term")
-    per_doc = grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"))
-    return per_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
+    g = df.select(with_ngrams(tokens(text_col), max_n).alias("_g"))
+    occ = explode_array(g, [], "_g", "term").select("term", F.lit(1).alias("_tf"), F.lit(0).alias("_df"))
+    per_doc = explode_array(g, [], F.array_distinct("_g"), "term").select(
+        "term", F.lit(0).alias("_tf"), F.lit(1).alias("_df"))
+    return occ.unionByName(per_doc).groupBy("term").agg(
+        F.sum("_tf").cast("long").alias("tf"), F.sum("_df").cast("long").alias("df"))
 
 
 def select_vocabulary(stats: DataFrame, min_df: int = 2,
