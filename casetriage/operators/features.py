@@ -110,10 +110,26 @@ class TabularModel:
     tenure_edges: list[float]  # inner bin edges
 
 
-def fit_modes_and_categories(df: DataFrame, cols: list[str]) -> tuple[dict, dict]:
+# Size checks for fitted state whose buffers grow with distinct values.
+MAX_CATEGORIES = 10_000             # one-hot / mode: beyond this, hash or cap the column first
+EXACT_QUANTILE_MAX_DISTINCT = 1_000_000
+
+
+def approx_distinct(df: DataFrame, cols: list[str]) -> dict:
+    """HyperLogLog distinct counts of several columns in one pass (fixed
+    memory per column whatever the data size)."""
+    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    return {c: int(row[c]) for c in cols}
+
+
+def fit_modes_and_categories(df: DataFrame, cols: list[str],
+                             max_categories: int = MAX_CATEGORIES) -> tuple[dict, dict]:
     """E2 + E4 fit in one pass: most frequent value (ties -> smallest) and
-    the sorted category set of every column.  Both are bounded by the
-    number of distinct categories."""
+    the sorted category set of every column.  Both buffers are bounded by
+    the number of distinct categories, which is checked first."""
+    too_many = {c: n for c, n in approx_distinct(df, cols).items() if n > max_categories}
+    if too_many:
+        raise ValueError(f"too many categories to one-hot {too_many}; cap or hash these columns")
     aggs = []
     for c in cols:
         aggs += [F.mode(c, deterministic=True).alias(f"m_{c}"),
@@ -137,10 +153,14 @@ def impute_mode(df: DataFrame, cols: list[str], modes: dict | None = None) -> Da
     return df.fillna({c: v for c, v in modes.items() if v is not None})
 
 
-def impute_median(df: DataFrame, cols: list[str], relative_error: float = 0.0) -> DataFrame:
+def impute_median(df: DataFrame, cols: list[str], relative_error: float | None = None) -> DataFrame:
     """Fill nulls with the median.  ``relative_error=0`` is exact (its
-    buffer grows with the number of distinct values); set e.g. 1e-4 for
-    high-cardinality columns at scale (Greenwald-Khanna sketch)."""
+    buffer grows with the number of distinct values); > 0 uses the
+    Greenwald-Khanna sketch.  ``None`` decides per call: exact when every
+    column has at most ``EXACT_QUANTILE_MAX_DISTINCT`` distinct values."""
+    if relative_error is None:
+        big = max(approx_distinct(df, cols).values(), default=0) > EXACT_QUANTILE_MAX_DISTINCT
+        relative_error = 1e-4 if big else 0.0
     if relative_error > 0:
         aggs = [F.percentile_approx(c, 0.5, int(1 / relative_error)).alias(c) for c in cols]
     else:
@@ -152,9 +172,14 @@ def impute_median(df: DataFrame, cols: list[str], relative_error: float = 0.0) -
 # ------------------------------------------------------------ tenure bins ----
 
 def quantile_edges(df: DataFrame, col: str = TENURE_COL, n_bins: int = 5,
-                   exact: bool = True) -> list[float]:
+                   exact: bool | None = None) -> list[float]:
     """E5 fit: quantile edges with near-duplicates removed; returns the
-    inner edges (a value's bin = number of inner edges <= value)."""
+    inner edges (a value's bin = number of inner edges <= value).  Exact
+    percentiles (linear interpolation) unless the column has more than
+    ``EXACT_QUANTILE_MAX_DISTINCT`` distinct values (checked by HLL), then
+    the approximate sketch."""
+    if exact is None:
+        exact = approx_distinct(df, [col])[col] <= EXACT_QUANTILE_MAX_DISTINCT
     ps = [i / n_bins for i in range(1, n_bins)]
     q = F.percentile(col, F.array(*[F.lit(p) for p in ps])) if exact else \
         F.percentile_approx(col, F.array(*[F.lit(p) for p in ps]), 10000)
@@ -228,9 +253,11 @@ def fit_features(train: DataFrame, key: str = "case_id", text_col: str | None =
         fill = ", ".join(
             f"coalesce({c}, {_sql_lit(modes[c])}) AS _imp_{c}" for c in cat_cols)
         stages.append(SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"))
+        # one indexer for all columns: a single pass over the training rows
+        stages.append(StringIndexer(inputCols=[f"_imp_{c}" for c in cat_cols],
+                                    outputCols=[f"_ix_{c}" for c in cat_cols],
+                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
         for c in cat_cols:
-            stages.append(StringIndexer(inputCol=f"_imp_{c}", outputCol=f"_ix_{c}",
-                                        stringOrderType="alphabetAsc", handleInvalid="keep"))
             names += [{"block": "cat", "source_col": c, "name": f"{c}_{v}"} for v in cats[c]]
         stages.append(OneHotEncoder(inputCols=[f"_ix_{c}" for c in cat_cols],
                                     outputCols=[f"_oh_{c}" for c in cat_cols], dropLast=True))

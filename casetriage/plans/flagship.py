@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +61,10 @@ def fit_triage(spark: SparkSession, sf_dir: str, kind: str = "lr", text: bool =
     key = (id(spark), sf_dir, kind, text, max_features, tuple(sorted(train_kw.items())))
     if key in _FITTED:
         return _FITTED[key]
-    data = labelled_split(view(spark, sf_dir, "cases"))
+    # every fitting step (quotas, weights, vocabulary, categories, bins,
+    # indexers, the optimiser) re-reads the split cases: keep them once,
+    # spilling to disk; lost blocks are recomputed from lineage
+    data = labelled_split(view(spark, sf_dir, "cases")).persist(StorageLevel.MEMORY_AND_DISK)
     train_rows = SP.with_class_weights(data.filter(F.col("split") == "train"))
     space = FE.fit_features(train_rows, text_col=FE.TEXT_COL if text else None,
                             max_features=max_features)
