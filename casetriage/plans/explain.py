@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +94,9 @@ def frozen_model(spark: SparkSession, sf_dir: str, groups: dict = FIXTURE_GROUPS
     key = (id(spark), sf_dir, tuple(groups))
     if key in _FROZEN:
         return _FROZEN[key]
-    cases = view(spark, sf_dir, "cases")
+    # several fitting passes (tokens, categories, bins, background) re-read
+    # the joined cases: keep them once (spills to disk, recomputed on loss)
+    cases = view(spark, sf_dir, "cases").persist(StorageLevel.MEMORY_AND_DISK)
     stats = FE.term_stats(cases, "case_id", "case_summary", max_n=1)
     toks = [r["term"] for r in stats.orderBy(F.desc("tf"), "term").limit(FROZEN_TOKENS).collect()]
     toks = sorted(toks)
@@ -116,12 +120,15 @@ def frozen_model(spark: SparkSession, sf_dir: str, groups: dict = FIXTURE_GROUPS
             xs.append(F.coalesce(F.col(n["source_col"]) == n["v"], F.lit(False)))
         else:
             xs.append(F.coalesce(b == n["v"], F.lit(False)))
-    feats = (cases.withColumn("_toks", FE.tokens("case_summary"))
-             .withColumn("_bin", FE.bin_index(FE.TENURE_COL, edges))
-             .withColumn("x", F.array(*[x.cast("double") for x in xs])).drop("_toks", "_bin"))
+    def featurise(df: DataFrame) -> DataFrame:
+        return (df.withColumn("_toks", FE.tokens("case_summary"))
+                .withColumn("_bin", FE.bin_index(FE.TENURE_COL, edges))
+                .withColumn("x", F.array(*[x.cast("double") for x in xs])).drop("_toks", "_bin"))
+    feats = featurise(cases)
     W = [[frozen_coef(n["name"], n["idx"], c) for n in names] for c in range(4)]
     bvec = [frozen_intercept(c) for c in range(4)]
-    background = R.sample_n(feats, FROZEN_BACKGROUND)
+    # choose the background rows first, then featurise only those
+    background = featurise(R.sample_n(cases, FROZEN_BACKGROUND))
     ex = L.LinearExplainer(W, bvec, L.background_mean(background, "x"), names, PRIORITY_LEVELS)
     slots = group_slot_map(spark, names, groups)
     fz = Frozen(feats, ex, slots, names)
