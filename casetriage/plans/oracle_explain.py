@@ -311,3 +311,14 @@ SELECT case_id, 'Low' AS class, prob_Low AS probability FROM predictions_fixture
 UNION ALL SELECT case_id, 'Medium', prob_Medium FROM predictions_fixture
 UNION ALL SELECT case_id, 'High', prob_High FROM predictions_fixture
 UNION ALL SELECT case_id, 'Urgent', prob_Urgent FROM predictions_fixture""")
+
+ORACLE["explanation_card_fields"] = frozen_sql("""
+SELECT d.case_id, d.priority, printf('%.0f', d.confidence * 100) || '%' AS confidence_pct,
+  coalesce((SELECT string_agg(p.feature, ',' ORDER BY p.k) FROM pos p WHERE p.case_id = d.case_id AND p.k <= 3), '') AS top_positive,
+  coalesce((SELECT string_agg(n.feature, ',' ORDER BY n.k) FROM neg n WHERE n.case_id = d.case_id AND n.k <= 2), '') AS top_negative,
+  coalesce((SELECT string_agg(x.t, ',' ORDER BY x.o) FROM (
+      SELECT printf('%.3f', p.contribution) AS t, p.k AS o FROM pos p WHERE p.case_id = d.case_id AND p.k <= 3
+      UNION ALL SELECT printf('%.3f', n.contribution), 10 + n.k FROM neg n WHERE n.case_id = d.case_id AND n.k <= 2) x), '') AS impacts,
+  (SELECT round(pr.p, 3) FROM probs pr WHERE pr.case_id = d.case_id AND pr.c = 3) AS prob_urgent,
+  CAST((SELECT count(*) FROM toks_top t WHERE t.case_id = d.case_id) AS INTEGER) AS n_tokens
+FROM doc d""")

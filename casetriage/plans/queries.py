@@ -696,3 +696,27 @@ QUERIES.update({
     "explain_dispatch": q_explain_dispatch,
     "importance_fallback": q_importance_fallback,
 })
+
+
+def q_explanation_card_fields(spark, d):
+    """H10/H11 field by field: the card's header, factor names, impacts
+    and the document's probability map and top tokens, flattened."""
+    from ..functions import formatting as FMT
+    from ..operators.explain import document as D
+    _, e = _frozen(spark, d)
+    c = e.select("case_id", D.to_card().alias("card"), "top_tokens", "probabilities")
+    c = c.withColumn("_imp", FMT.fixed_array(F.concat(
+        F.transform("card.top_positive_factors", lambda f: f["impact"]),
+        F.transform("card.top_negative_factors", lambda f: f["impact"])), 3))
+    names = lambda arr: F.array_join(F.transform(arr, lambda f: f["name"]), ",")
+    return c.select(
+        "case_id", F.col("card.header.priority").alias("priority"),
+        F.col("card.header.confidence_pct").alias("confidence_pct"),
+        names("card.top_positive_factors").alias("top_positive"),
+        names("card.top_negative_factors").alias("top_negative"),
+        F.array_join("_imp", ",").alias("impacts"),
+        F.col("probabilities")["Urgent"].alias("prob_urgent"),
+        F.size("top_tokens").alias("n_tokens"))
+
+
+QUERIES["explanation_card_fields"] = q_explanation_card_fields

@@ -91,3 +91,10 @@ def test_write_and_export(spark):
     RD.export_predictions(df, df.select("id"), d)
     back = RD.read_cases(spark, os.path.join(d, "predictions"), "csv")
     assert back.count() == 5 and set(back.columns) == {"id", "x"}
+
+
+def test_union_months_by_name(spark):
+    a = spark.createDataFrame([("ND-1", "x")], "case_id string, gender string")
+    b = spark.createDataFrame([("ND-2",)], "case_id string")
+    u = C.union_months([a, b])
+    assert {(r.case_id, r.gender) for r in u.collect()} == {("ND-1", "x"), ("ND-2", None)}
