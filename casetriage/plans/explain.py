@@ -85,6 +85,7 @@ class Frozen:
     ex: L.LinearExplainer
     slots: dict
     names: list[dict]
+    source: DataFrame | None = None   # persisted joined cases
 
 
 _FROZEN: dict = {}
@@ -131,7 +132,7 @@ def frozen_model(spark: SparkSession, sf_dir: str, groups: dict = FIXTURE_GROUPS
     background = featurise(R.sample_n(cases, FROZEN_BACKGROUND))
     ex = L.LinearExplainer(W, bvec, L.background_mean(background, "x"), names, PRIORITY_LEVELS)
     slots = group_slot_map(spark, names, groups)
-    fz = Frozen(feats, ex, slots, names)
+    fz = Frozen(feats, ex, slots, names, cases)
     _FROZEN[key] = fz
     return fz
 

@@ -97,3 +97,16 @@ def flagship(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     the n most urgent not-yet-trained-on cases."""
     t = fit_triage(spark, sf_dir, "lr")
     return R.urgent_contacts(scored_cases(t).select(*PRED_COLS), n)
+
+
+def release_fitted() -> None:
+    """Unpersist and forget every memoised fit (long-running drivers)."""
+    from . import explain as X
+    for t in list(_FITTED.values()):
+        t.train.unpersist()
+        t.data.unpersist()
+    _FITTED.clear()
+    for fz in list(X._FROZEN.values()):
+        if fz.source is not None:
+            fz.source.unpersist()
+    X._FROZEN.clear()
