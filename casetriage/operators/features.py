@@ -123,7 +123,8 @@ def approx_distinct(df: DataFrame, cols: list[str]) -> dict:
 
 
 def fit_modes_and_categories(df: DataFrame, cols: list[str],
-                             max_categories: int = MAX_CATEGORIES) -> tuple[dict, dict]:
+                             max_categories: int = MAX_CATEGORIES,
+                             impute: bool = True) -> tuple[dict, dict]:
     """E2 + E4 fit in one pass: most frequent value (ties -> smallest) and
     the sorted category set of every column.  Both buffers are bounded by
     the number of distinct categories, which is checked first."""
@@ -140,8 +141,8 @@ def fit_modes_and_categories(df: DataFrame, cols: list[str],
     cats = {}
     for c in cols:
         vals = set(row[f"s_{c}"] or [])
-        if modes[c] is not None and row[f"z_{c}"]:
-            vals.add(modes[c])
+        if impute and modes[c] is not None and row[f"z_{c}"]:
+            vals.add(modes[c])   # imputed nulls become this category
         cats[c] = sorted(vals)
     return modes, cats
 
@@ -228,14 +229,30 @@ def _fmt_bin(i: int) -> str:
     return f"{float(i)}"
 
 
+CALENDAR_SQL = ("SELECT *, CAST(hour({ts}) AS STRING) AS hour, "
+                "date_format({ts}, 'EEEE') AS day_of_week FROM __THIS__")
+
+
 def fit_features(train: DataFrame, key: str = "case_id", text_col: str | None = TEXT_COL,
                  cat_cols: list[str] = CATEGORICAL_COLUMNS, tenure_col: str | None = TENURE_COL,
                  min_df: int = 2, max_features: int | None = 500, n_bins: int = 5,
-                 output_col: str = "features") -> FeatureSpace:
+                 output_col: str = "features", calendar: bool = False, impute: bool = True,
+                 ts_col: str = "created_at", variant: str | None = None) -> FeatureSpace:
     """Fit the column-block transformer on the training rows only.
 
-    ``text_col=None`` drops the text block (E10 ablation)."""
+    ``text_col=None`` drops the text block (E10 ablation).  ``variant="B"``
+    is the reference's second preprocessor: 5000 terms without a minimum
+    document frequency, hour and day-name one-hot columns (B17) and no
+    categorical imputation (a missing value encodes as all zeros)."""
+    if variant == "B":
+        max_features, min_df, calendar, impute = 5000, 1, True, False
     stages, blocks, names = [], [], []
+    fit_rows = train
+    if calendar:
+        cal = SQLTransformer(statement=CALENDAR_SQL.format(ts=ts_col))
+        stages.append(cal)
+        fit_rows = cal.transform(train)
+        cat_cols = list(cat_cols) + ["day_of_week", "hour"]
     text = None
     if text_col:
         text = fit_text(train, key, text_col, min_df, max_features)
@@ -248,7 +265,9 @@ def fit_features(train: DataFrame, key: str = "case_id", text_col: str | None =
         blocks.append("_tfidf")
         names += [{"block": "text", "source_col": text_col, "name": t} for t in text.vocabulary]
 
-    modes, cats = fit_modes_and_categories(train, cat_cols) if cat_cols else ({}, {})
+    modes, cats = fit_modes_and_categories(fit_rows, cat_cols, impute=impute) if cat_cols else ({}, {})
+    if not impute:
+        modes = {c: None for c in cat_cols}
     if cat_cols:
         fill = ", ".join(
             f"coalesce({c}, {_sql_lit(modes[c])}) AS _imp_{c}" for c in cat_cols)
@@ -265,7 +284,7 @@ def fit_features(train: DataFrame, key: str = "case_id", text_col: str | None =
 
     edges: list[float] = []
     if tenure_col:
-        edges = quantile_edges(train, tenure_col, n_bins)
+        edges = quantile_edges(fit_rows, tenure_col, n_bins)
         splits = [-math.inf] + edges + [math.inf]
         stages += [
             SQLTransformer(statement=f"SELECT *, coalesce(CAST({tenure_col} AS DOUBLE), "

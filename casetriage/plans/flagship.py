@@ -57,8 +57,8 @@ _FITTED: dict = {}
 
 
 def fit_triage(spark: SparkSession, sf_dir: str, kind: str = "lr", text: bool = True,
-               max_features: int = 500, **train_kw) -> Triage:
-    key = (id(spark), sf_dir, kind, text, max_features, tuple(sorted(train_kw.items())))
+               max_features: int = 500, variant: str | None = None, **train_kw) -> Triage:
+    key = (id(spark), sf_dir, kind, text, max_features, variant, tuple(sorted(train_kw.items())))
     if key in _FITTED:
         return _FITTED[key]
     # every fitting step (quotas, weights, vocabulary, categories, bins,
@@ -67,7 +67,7 @@ def fit_triage(spark: SparkSession, sf_dir: str, kind: str = "lr", text: bool =
     data = labelled_split(view(spark, sf_dir, "cases")).persist(StorageLevel.MEMORY_AND_DISK)
     train_rows = SP.with_class_weights(data.filter(F.col("split") == "train"))
     space = FE.fit_features(train_rows, text_col=FE.TEXT_COL if text else None,
-                            max_features=max_features)
+                            max_features=max_features, variant=variant)
     n_train = train_rows.count()
     train = M.persist_training(
         space.transform(train_rows).select("case_id", "features", "priority_encoded", "weight"),

@@ -720,3 +720,15 @@ def q_explanation_card_fields(spark, d):
 
 
 QUERIES["explanation_card_fields"] = q_explanation_card_fields
+
+
+def q_variant_b_scored(spark, d):
+    """Q2 variant B preprocessor (5000 terms, no min_df, hour and day-name
+    one-hot, no categorical imputation) feeding the same LR."""
+    from .flagship import PRED_COLS, scored_cases
+    t = _triage(spark, d, "lr", variant="B")
+    n_feat = len(t.space.names)
+    return scored_cases(t, ("test",)).select(*PRED_COLS).withColumn("n_features", F.lit(n_feat))
+
+
+QUERIES["variant_b_scored"] = q_variant_b_scored
