@@ -322,3 +322,35 @@ SELECT d.case_id, d.priority, printf('%.0f', d.confidence * 100) || '%' AS confi
   (SELECT round(pr.p, 3) FROM probs pr WHERE pr.case_id = d.case_id AND pr.c = 3) AS prob_urgent,
   CAST((SELECT count(*) FROM toks_top t WHERE t.case_id = d.case_id) AS INTEGER) AS n_tokens
 FROM doc d""")
+
+# E9 end to end: split -> training rows -> vocabulary, imputed categories,
+# quantile bins -> slot order (text, channel, case_type, category, plan_tier, bins).
+_CATS = ["channel", "case_type", "category", "plan_tier"]
+
+
+def _feature_names_sql() -> str:
+    from .oracle import _split_sql
+    longv = " UNION ALL ".join(f"SELECT case_id, '{c}' AS source_col, {i + 1} AS so, {c} AS v FROM tr"
+                               for i, c in enumerate(_CATS))
+    return _cte(("cases",), _split_sql() + f""",
+tr AS (SELECT c.* FROM cases c JOIN split s ON s.case_id = c.case_id WHERE s.split = 'train'),
+tk AS (SELECT case_id, regexp_extract_all(lower(coalesce(case_summary, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM tr),
+grams AS (SELECT case_id, t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) AS g FROM tk),
+per_doc AS (SELECT case_id, term, count(*) AS c FROM (SELECT case_id, unnest(g) AS term FROM grams) u GROUP BY case_id, term),
+st AS (SELECT term, sum(c) AS tf, count(*) AS df FROM per_doc GROUP BY term),
+vocab AS (SELECT term FROM st WHERE df >= 2 ORDER BY tf DESC, term ASC LIMIT 500),
+longv AS ({longv}),
+modes AS (SELECT source_col, v AS mode_v FROM (
+  SELECT source_col, v, row_number() OVER (PARTITION BY source_col ORDER BY count(*) DESC, v ASC) AS rn
+  FROM longv WHERE v IS NOT NULL GROUP BY source_col, v) t WHERE rn = 1),
+cats AS (SELECT DISTINCT l.source_col, l.so, coalesce(l.v, m.mode_v) AS v FROM longv l JOIN modes m ON m.source_col = l.source_col),
+""" + _tenure_edges_cte("tr").strip() + """,
+names0 AS (
+  SELECT 0 AS bo, 'text' AS block, 'case_summary' AS source_col, term AS name, term AS sk FROM vocab
+  UNION ALL SELECT so, 'cat', source_col, source_col || '_' || v, v FROM cats
+  UNION ALL SELECT 9, 'tenure', 'customer_tenure_months', 'customer_tenure_months_' || CAST(k AS VARCHAR) || '.0',
+    lpad(CAST(k AS VARCHAR), 4, '0') FROM (SELECT unnest(range(0, (SELECT count(*) + 1 FROM inner_e))) AS k) r)""", """
+SELECT CAST(row_number() OVER (ORDER BY bo, sk) - 1 AS INTEGER) AS idx, block, source_col, name FROM names0""")
+
+
+ORACLE["feature_names"] = _feature_names_sql()
