@@ -63,14 +63,20 @@ def term_stats(df: DataFrame, key: str = "case_id", text_col: str = TEXT_COL,
     df.  Both inputs combine map-side (a partition sends one row per
     distinct term), so neither frequent terms nor long documents
     concentrate in one task, and no (document, term) pairs are shuffled.
-    ``key`` is kept for API compatibility (documents need no id)."""
+    ``key`` is kept for API compatibility (documents need no id).
+
+    The text is tokenised once per document: the token array is its own
+    projection (referenced three times by the n-gram expression, so the
+    optimizer keeps it instead of inlining the regex), and one generator
+    pair emits both the occurrence list (_k = 0) and the distinct list
+    (_k = 1) instead of a union that would re-run the scan and tokeniser
+    for each branch."""
     from .reshape import explode_array
-    g = df.select(with_ngrams(tokens(text_col), max_n).alias("_g"))
-    occ = explode_array(g, [], "_g", "term").select("term", F.lit(1).alias("_tf"), F.lit(0).alias("_df"))
-    per_doc = explode_array(g, [], F.array_distinct("_g"), "term").select(
-        "term", F.lit(0).alias("_tf"), F.lit(1).alias("_df"))
-    return occ.unionByName(per_doc).groupBy("term").agg(
-        F.sum("_tf").cast("long").alias("tf"), F.sum("_df").cast("long").alias("df"))
+    t = df.select(tokens(text_col).alias("_t"))
+    g = t.select(with_ngrams(F.col("_t"), max_n).alias("_g"))
+    both = explode_array(g, [], F.array(F.col("_g"), F.array_distinct("_g")), "_a", "_k")
+    return explode_array(both, ["_k"], "_a", "term").groupBy("term").agg(
+        F.sum(1 - F.col("_k")).cast("long").alias("tf"), F.sum("_k").cast("long").alias("df"))
 
 
 def select_vocabulary(stats: DataFrame, min_df: int = 2,

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
+from .readers import spread
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -129,9 +130,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Tables whose rows carry long text (tokenising and n-grams per row are
+# CPU-bound) and the key they are spread on when the scan is under-split.
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id"}
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names) -> None:
     for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
+        df = table(spark, sf_dir, n)
+        if n in TEXT_TABLES:
+            df = spread(spark, df, TEXT_TABLES[n])
+        df.createOrReplaceTempView(n)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -136,3 +136,19 @@ def cases_from_rows(spark: SparkSession, rows: list[dict], schema: StructType =
     """Case rows from form values (strings; typed by the cleaning step)."""
     return spark.createDataFrame([tuple(None if r.get(f.name) is None else str(r.get(f.name))
                                         for f in schema.fields) for r in rows], schema)
+
+
+def spread(spark: SparkSession, df: DataFrame, key: str, per_core: int = 2) -> DataFrame:
+    """Hash-partition a scan that has fewer splits than the cluster has
+    cores, so CPU-bound per-row work (tokenising long texts) runs on every
+    core instead of the one task that owns a large row group.
+
+    The shuffle is bounded: a scan with fewer splits than cores holds at
+    most ``cores x spark.sql.files.maxPartitionBytes``.  A large table
+    already has more splits than cores, and then nothing changes (no
+    shuffle).  Hashing on ``key`` keeps the placement deterministic, so a
+    retried task reads the same rows."""
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * per_core, key)
