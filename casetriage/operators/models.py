@@ -31,11 +31,15 @@ def persist_training(df: DataFrame, n_rows: int | None = None) -> DataFrame:
     Every optimiser iteration is one job with a task per partition, so the
     matrix is sized to ~100k rows per partition (never more partitions than
     it already has): small training sets do not pay per-task overhead
-    hundreds of times, large ones keep full parallelism."""
+    hundreds of times, large ones keep full parallelism.
+
+    The reduction is a shuffle of the finished (sparse) feature rows, not a
+    ``coalesce``: a coalesce would pull the upstream tokenising and
+    featurising into the same few tasks."""
     if n_rows is not None:
         want = max(1, -(-n_rows // ROWS_PER_TRAINING_PARTITION))
         if want < df.rdd.getNumPartitions():
-            df = df.coalesce(want)
+            df = df.repartition(want)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
