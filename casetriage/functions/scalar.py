@@ -31,6 +31,36 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _sql_const(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        if v != v or v in (float("inf"), float("-inf")):
+            return f"double('{v}')"
+        return f"{v!r}D"  # shortest round-trip text: parses back to the same double
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(_sql_const(x) for x in v) + ")"
+    if hasattr(v, "item"):  # numpy scalar
+        return _sql_const(v.item())
+    raise TypeError(f"no SQL constant for {type(v).__name__}")
+
+
+def const_array(values) -> Column:
+    """A (nested) constant array as one expression.
+
+    ``F.lit(list)`` builds the array element by element, one JVM call each;
+    model-sized constants (coefficient matrices, slot names) then cost
+    seconds of driver time per plan.  One parsed expression costs one
+    call.  Same values and types as ``F.lit``."""
+    return F.expr(_sql_const(list(values)))
+
+
 def trim_ws(c) -> Column:
     """Strip leading/trailing whitespace of any kind (pandas ``str.strip``);
     Spark's ``trim`` strips spaces only."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ...functions import formatting as FMT
 from ...functions.scalar import round_keep_sign
-from ...functions.scalar import PRIORITY_LEVELS, tenure_tier
+from ...functions.scalar import PRIORITY_LEVELS, const_array, tenure_tier
 from .vocab import FEATURE_EXPLANATIONS
 
 TENURE = "customer_tenure_months"
@@ -33,7 +33,7 @@ def explanation_text(feature: Column, value: Column, dictionary: dict = FEATURE_
     feature -> 'f = v'; unknown feature -> 'f value: v'; tenure -> tier
     sentence."""
     v = F.coalesce(value, F.lit("None"))
-    known = F.lit([f for f in dictionary])
+    known = const_array([f for f in dictionary])
     by_value = _dict_map(dictionary)[F.concat(feature, F.lit(SEP), F.lower(value))]
     tiers = dictionary.get(TENURE, {})
     tier_map = F.create_map(*[x for k, t in tiers.items() for x in (F.lit(k), F.lit(t))])

@@ -19,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.scalar import PRIORITY_LEVELS
+from ...functions.scalar import PRIORITY_LEVELS, const_array
 
 # A model this large would be explained through the long (exploded) form;
 # below it the constant is a few MB at most.
@@ -69,7 +69,7 @@ def _x(features: str, df: DataFrame | None = None) -> Column:
 
 
 def _dot(w: list[float], x: Column) -> Column:
-    return F.aggregate(F.zip_with(F.lit(w), x, lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(F.zip_with(const_array(w), x, lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
 
 
 def margins(x: Column, ex: LinearExplainer) -> Column:
@@ -96,7 +96,7 @@ def shap_linear(df: DataFrame, ex: LinearExplainer, features: str = "features",
     d = df.withColumn("_x", x).withColumn("_m", margins(F.col("_x"), ex))
     cls = F.col(pred_col).cast("int") if pred_col else argmax(F.col("_m"))
     d = d.withColumn("explained_class", cls)
-    W, b, mu = F.lit(ex.W), F.lit(ex.b), F.lit(ex.mu)
+    W, b, mu = const_array(ex.W), const_array(ex.b), const_array(ex.mu)
     wc = W[F.col("explained_class")]
     phi = F.zip_with(F.zip_with(F.col("_x"), mu, lambda a, m: a - m), wc, lambda d_, w: d_ * w)
     base = b[F.col("explained_class")] + F.aggregate(F.zip_with(wc, mu, lambda w, m: w * m),
@@ -117,12 +117,12 @@ def softmax(m: Column) -> Column:
 def shap_all_classes_abs_mean(df: DataFrame, ex: LinearExplainer, features: str = "features") -> DataFrame:
     """Per row: |phi| averaged over classes, one value per feature slot."""
     x = _x(features, df)
-    mu = F.lit(ex.mu)
+    mu = const_array(ex.mu)
     k = len(ex.W)
     d = df.withColumn("_dx", F.zip_with(x, mu, lambda a, m: a - m))
     summed = None
     for w in ex.W:  # unrolled (see ``margins``)
-        part = F.zip_with(F.lit(w), F.col("_dx"), lambda a, c: F.abs(a * c))
+        part = F.zip_with(const_array(w), F.col("_dx"), lambda a, c: F.abs(a * c))
         summed = part if summed is None else F.zip_with(summed, part, lambda a, c: a + c)
     return d.withColumn("abs_phi", F.transform(summed, lambda v: v / k)).drop("_dx")
 
@@ -131,7 +131,7 @@ def global_importance(sample: DataFrame, ex: LinearExplainer, features: str = "f
                       key: str = "case_id") -> DataFrame:
     """Mean |phi| per feature over the sample rows and all classes,
     most important first."""
-    names = F.lit([n["name"] for n in ex.names])
+    names = const_array([n["name"] for n in ex.names])
     from ..reshape import explode_array
     rows = explode_array(shap_all_classes_abs_mean(sample, ex, features), [key], "abs_phi", "v", "idx")
     return (rows.groupBy("idx").agg(F.avg("v").alias("importance"))

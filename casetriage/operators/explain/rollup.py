@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.scalar import const_array
 from ..ranking import sort_abs_desc
 
 
@@ -26,7 +27,7 @@ def slot_sum(phi: Column, slots: list[int], n_slots: int | None = None) -> Colum
         return F.aggregate(part, F.lit(0.0), lambda a, v: a + v)
     n = n_slots if n_slots is not None else s[-1] + 1
     keep = set(s)
-    mask = F.lit([j in keep for j in range(n)])
+    mask = const_array([j in keep for j in range(n)])
     return F.aggregate(F.zip_with(phi, mask, lambda p, m: F.when(m, p)), F.lit(0.0),
                        lambda a, v: F.when(v.isNull(), a).otherwise(a + v))
 
@@ -51,7 +52,7 @@ def top_tokens(phi: Column, names: list[dict], k: int = 10, min_abs: float = 0.0
     if not text:
         return F.array().cast("array<struct<token:string,contribution:double>>")
     assert text == list(range(text[0], text[-1] + 1)), "text slots must be contiguous"
-    pairs = F.zip_with(F.lit([n["name"] for n in names]), phi,
+    pairs = F.zip_with(const_array([n["name"] for n in names]), phi,
                        lambda nm, p: F.struct(nm.alias("token"), p.alias("contribution")))
     toks = F.slice(pairs, text[0] + 1, len(text))
     top = F.slice(sort_abs_desc(toks), 1, k)
@@ -93,7 +94,7 @@ def dominant_theme(groups_map: Column) -> Column:
 
 def top_features(phi: Column, names: list[dict], k: int = 10) -> Column:
     """The k feature slots with the largest |phi|."""
-    all_ = F.zip_with(F.lit([n["name"] for n in names]), phi,
+    all_ = F.zip_with(const_array([n["name"] for n in names]), phi,
                       lambda nm, p: F.struct(nm.alias("feature"), p.alias("contribution")))
     return F.slice(sort_abs_desc(all_), 1, k)
 

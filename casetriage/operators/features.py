@@ -22,6 +22,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import const_array
 from .cleaning import CATEGORICAL_COLUMNS
 
 # Token rule = two or more letters, digits or underscores
@@ -322,9 +323,9 @@ def feature_long(df: DataFrame, space: FeatureSpace, key: str = "case_id",
                  features: str = "features", nonzero_only: bool = True) -> DataFrame:
     """E9 applied: (key, idx, block, source_col, name, x) rows of the vector."""
     from pyspark.ml.functions import vector_to_array
-    names = F.array(*[F.lit(n["name"]) for n in space.names])
-    blocks = F.array(*[F.lit(n["block"]) for n in space.names])
-    srcs = F.array(*[F.lit(n["source_col"]) for n in space.names])
+    names = const_array([n["name"] for n in space.names])
+    blocks = const_array([n["block"] for n in space.names])
+    srcs = const_array([n["source_col"] for n in space.names])
     from .reshape import explode_array
     out = (explode_array(df, [key], vector_to_array(F.col(features)), "x", "idx")
            .withColumn("name", names[F.col("idx")])

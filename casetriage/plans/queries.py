@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.scalar import const_array
 from ..operators import cleaning as C
 from ..operators import evaluation as E
 from ..operators import features as FE
@@ -243,7 +244,7 @@ def _frozen(spark, d):
 
 def q_shap_linear_frozen(spark, d):
     fz, e = _frozen(spark, d)
-    names = F.lit([n["name"] for n in fz.names])
+    names = const_array([n["name"] for n in fz.names])
     from ..operators.reshape import explode_array
     return (explode_array(e, ["case_id", "explained_class"], "phi", "phi", "idx")
             .select("case_id", "explained_class", names[F.col("idx")].alias("feature"),
