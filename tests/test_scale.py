@@ -8,6 +8,8 @@ from casetriage.operators import features as FE
 from casetriage.operators import splits as SP
 from casetriage.operators.joins import join_small
 
+SF_MID_DIR = "/root/testdata/sf0.01"
+
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -68,3 +70,33 @@ def test_term_stats_shuffle_is_keyed_by_term_only(spark):
     got = {r.term: (r.tf, r.df) for r in st.collect()}
     assert got["aa"] == (3, 2) and got["cc"] == (3, 2) and got["bb"] == (1, 1)
     assert got["cc cc"] == (1, 1) and got["aa bb"] == (1, 1)
+
+
+def test_spread_only_reshuffles_an_under_split_scan(spark):
+    from casetriage.sources.fixtures import table
+    from casetriage.sources.readers import spread
+    docs = table(spark, SF_MID_DIR, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    out = spread(spark, docs, "doc_id")
+    if docs.rdd.getNumPartitions() < cores:
+        assert "Exchange hashpartitioning(doc_id" in _plan(out)
+    # every row kept, nothing duplicated
+    assert out.count() == docs.count() == out.select("doc_id").distinct().count()
+    many = spark.range(0, 1000, 1, numPartitions=cores * 2)
+    assert spread(spark, many, "id") is many     # enough splits: unchanged plan, no shuffle
+
+
+def test_const_array_equals_lit(spark):
+    import math
+    from casetriage.functions.scalar import const_array
+    vals = [0.1, -0.0, 1e-300, 5e-324, 6.427706291585914e-05, -12345.678, float("nan"), float("inf")]
+    W = [vals[:4], vals[4:]]
+    strs = ["it's", "back\\slash", "x y", "ünï", "", None]
+    r = spark.range(1).select(const_array(vals).alias("a"), F.lit(vals).alias("b"),
+                              const_array(W).alias("c"), F.lit(W).alias("d"),
+                              const_array(strs).alias("e"), F.lit(strs).alias("f"),
+                              const_array([True, False]).alias("g"), const_array([1, 3000000000]).alias("i")).first()
+    same = lambda x, y: (math.isnan(x) and math.isnan(y)) or (x == y and math.copysign(1, x) == math.copysign(1, y))
+    assert all(same(x, y) for x, y in zip(r.a, r.b)) and len(r.a) == len(r.b)
+    assert all(same(x, y) for u, v in zip(r.c, r.d) for x, y in zip(u, v))
+    assert r.e == r.f and r.g == [True, False] and r.i == [1, 3000000000]
