@@ -28,25 +28,28 @@ OUT_COLS = ["case_id", "version", "is_valid", "reasons", "predicted_priority", "
 
 
 def score_batch(df: DataFrame, space, model, explainer, slots, version: str = "version") -> DataFrame:
-    """The per-batch plan (also usable on a static DataFrame)."""
+    """The per-batch plan (also usable on a static DataFrame).
+
+    One branch for valid and invalid rows: every pipeline stage keeps
+    invalid values (unknown category, unparsable tenure), so all rows are
+    scored and the model outputs are nulled where validation failed.  A
+    union of two filtered branches would read the batch twice and lose the
+    input partitioning the keep-latest aggregation can reuse."""
     from ..plans.explain import explain_frame
     from ..plans.flagship import normalise_cases
     d = C.validate_cases(normalise_cases(df))
-    valid = d.filter(F.col("is_valid"))
-    scored = M.score(model, valid, space)
+    scored = M.score(model, d, space)
     e = explain_frame(scored, explainer, slots, features="features", pred_col="predicted_priority",
                       probs=vector_to_array(F.col("probability")))
     e = N.with_number_text(e)
-    ok = e.select("case_id", version, "is_valid", F.array_join("reasons", "; ").alias("reasons"),
-                  "predicted_priority", "priority", "confidence",
-                  N.narrate().alias("narrative"), N.summarise().alias("summary"),
-                  F.to_json(D.to_document(), {"ignoreNullFields": "false"}).alias("document"))
-    bad = d.filter(~F.col("is_valid")).select(
+    ok = F.col("is_valid")
+    return e.select(
         "case_id", version, "is_valid", F.array_join("reasons", "; ").alias("reasons"),
-        F.lit(None).cast("int").alias("predicted_priority"), F.lit(None).cast("string").alias("priority"),
-        F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("narrative"),
-        F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("document"))
-    return ok.unionByName(bad)
+        F.when(ok, F.col("predicted_priority")).alias("predicted_priority"),
+        F.when(ok, F.col("priority")).alias("priority"),
+        F.when(ok, F.col("confidence")).alias("confidence"),
+        F.when(ok, N.narrate()).alias("narrative"), F.when(ok, N.summarise()).alias("summary"),
+        F.when(ok, F.to_json(D.to_document(), {"ignoreNullFields": "false"})).alias("document"))
 
 
 def score_stream(spark: SparkSession, in_dir: str, schema: StructType, space, model, explainer,
@@ -56,6 +59,14 @@ def score_stream(spark: SparkSession, in_dir: str, schema: StructType, space, mo
     then stop) and wait for it.  Returns the finished StreamingQuery."""
     src = (spark.readStream.format(fmt).schema(schema)
            .option("maxFilesPerTrigger", max_files_per_trigger).load(in_dir))
+    cores = spark.sparkContext.defaultParallelism
+    if max_files_per_trigger < cores:
+        # A trigger admits fewer files than there are cores, so scoring would
+        # run in a few tasks: spread the batch round-robin (bounded by the
+        # trigger size; not by case, so a case re-sent many times cannot
+        # pile up in one task; the sink's keep-latest still combines
+        # map-side before its shuffle).
+        src = src.repartition(cores * 2)
     out = score_batch(src, space, model, explainer, slots, version)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
