@@ -66,13 +66,41 @@ def largest_remainder_quotas(counts: dict, test_frac: float) -> dict:
 
 def stratified_split(df: DataFrame, label: str = "priority_encoded", key: str = "case_id",
                      test_frac: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``split`` in {'train', 'test'}."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
-    quotas = largest_remainder_quotas(counts, test_frac)
+    """Add ``split`` in {'train', 'test'}.
+
+    A row is in the test share iff its (hash, key) is at or below its
+    class's cut point, the quota-th row of the class in hash order.  The cut
+    points come from small jobs over the (label, hash) projection: per-class
+    counts, the (label, bucket) histogram (at most #classes x 16^4 rows)
+    locates the bucket holding each cut, and a rank over that one bucket per
+    class (~1/65,536 of the class) gives the exact row.  The split itself is
+    a row-local comparison, so no case row is shuffled."""
+    h, b = "_h", "_bucket"
+    keyed = df.withColumn(h, hash_order(key, seed))
+    narrow = keyed.select(label, key, h, F.substring(F.col(h), 1, BUCKET_HEX_DIGITS).alias(b))
+    counts = {r[0]: r[1] for r in narrow.groupBy(label).count().collect()}  # one row per class
+    quotas = {k: v for k, v in largest_remainder_quotas(counts, test_frac).items() if v > 0}
+    if not quotas:
+        return keyed.withColumn("split", F.lit("train")).drop(h)
     qmap = F.create_map(*[x for k, v in sorted(quotas.items()) for x in (F.lit(k), F.lit(v))])
-    ranked = rank_within_class(df, label, key, seed)
-    return (ranked.withColumn("split", F.when(F.col("class_rank") <= qmap[F.col(label)], "test")
-                              .otherwise("train")).drop("class_rank"))
+    hist = narrow.filter(qmap[F.col(label)].isNotNull()).groupBy(label, b).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(label).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    off = hist.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    cuts = off.filter((F.col("_off") < qmap[F.col(label)]) & (F.col("_off") + F.col("_n") >= qmap[F.col(label)])) \
+        .select(label, b, (qmap[F.col(label)] - F.col("_off")).alias("_need")).collect()  # one row per class
+    in_cut = None
+    for r in cuts:
+        c = (F.col(label) == F.lit(r[0])) & (F.col(b) == F.lit(r[1]))
+        in_cut = c if in_cut is None else in_cut | c
+    need = F.create_map(*[x for r in cuts for x in (F.lit(r[0]), F.lit(r[2]))])
+    inner = Window.partitionBy(label).orderBy(h, key)
+    thr = (narrow.filter(in_cut).withColumn("_r", F.row_number().over(inner))
+           .filter(F.col("_r") == need[F.col(label)]).select(label, h, key).collect())  # one row per class
+    th = F.create_map(*[x for r in thr for x in (F.lit(r[0]), F.lit(r[1]))])
+    tk = F.create_map(*[x for r in thr for x in (F.lit(r[0]), F.lit(r[2]))])
+    cut_h, cut_k = th[F.col(label)], tk[F.col(label)]
+    is_test = (F.col(h) < cut_h) | ((F.col(h) == cut_h) & (F.col(key) <= cut_k))
+    return keyed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop(h)
 
 
 def stratified_folds(df: DataFrame, k: int = 5, label: str = "priority_encoded",
