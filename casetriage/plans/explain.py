@@ -102,7 +102,8 @@ def frozen_model(spark: SparkSession, sf_dir: str, groups: dict = FIXTURE_GROUPS
     toks = [r["term"] for r in stats.orderBy(F.desc("tf"), "term").limit(FROZEN_TOKENS).collect()]
     toks = sorted(toks)
     cat_cols = ["channel", "case_type", "category", "plan_tier"]
-    cats_row = cases.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cat_cols]).first()
+    # category sets are size-checked (HyperLogLog) before they are collected
+    _, cats_row = FE.fit_modes_and_categories(cases, cat_cols, impute=False)
     edges = FE.quantile_edges(cases, FE.TENURE_COL, 5)
     names = [{"block": "text", "source_col": "case_summary", "name": t} for t in toks]
     for c in cat_cols:
