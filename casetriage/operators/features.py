@@ -327,8 +327,16 @@ def feature_long(df: DataFrame, space: FeatureSpace, key: str = "case_id",
     blocks = const_array([n["block"] for n in space.names])
     srcs = const_array([n["source_col"] for n in space.names])
     from .reshape import explode_array
-    out = (explode_array(df, [key], vector_to_array(F.col(features)), "x", "idx")
-           .withColumn("name", names[F.col("idx")])
-           .withColumn("block", blocks[F.col("idx")])
-           .withColumn("source_col", srcs[F.col("idx")]))
-    return out.filter(F.col("x") != 0) if nonzero_only else out
+    if nonzero_only:
+        # drop zeros inside the array, so the generator emits only the
+        # stored entries (a tf-idf row has a few dozen of max_features slots)
+        arr = df.select(key, vector_to_array(F.col(features)).alias("_a"))
+        slots = F.zip_with(F.sequence(F.lit(0), F.greatest(F.size("_a") - 1, F.lit(0))), F.col("_a"),
+                           lambda i, v: F.struct(i.alias("idx"), v.alias("x")))
+        out = (explode_array(arr, [key], F.filter(slots, lambda e: e["x"] != 0), "_e")
+               .select(key, F.col("_e.x").alias("x"), F.col("_e.idx").alias("idx")))
+    else:
+        out = explode_array(df, [key], vector_to_array(F.col(features)), "x", "idx")
+    return (out.withColumn("name", names[F.col("idx")])
+            .withColumn("block", blocks[F.col("idx")])
+            .withColumn("source_col", srcs[F.col("idx")]))
