@@ -145,13 +145,23 @@ def frozen_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ LR ----
 
+_LR_EXPLAINERS: dict = {}
+
+
 def lr_explainer(spark: SparkSession, sf_dir: str, background_n: int = 100,
                  groups: dict = SEMANTIC_GROUPS):
+    """The fitted LR with its explainer (background mean over a hash-chosen
+    sample of the training rows) and semantic slot map; memoised with the
+    fit, since both are small driver-side constants."""
     from .flagship import fit_triage
     t = fit_triage(spark, sf_dir, "lr")
-    bg = R.sample_n(t.train, background_n)
-    ex = L.from_lr(t.model, t.space.names, bg)
-    return t, ex, group_slot_map(spark, t.space.names, groups)
+    key = (id(t), background_n, tuple((g, tuple(v)) for g, v in groups.items()))
+    if key not in _LR_EXPLAINERS:
+        bg = R.sample_n(t.train, background_n)
+        ex = L.from_lr(t.model, t.space.names, bg)
+        _LR_EXPLAINERS[key] = (ex, group_slot_map(spark, t.space.names, groups))
+    ex, slots = _LR_EXPLAINERS[key]
+    return t, ex, slots
 
 
 def explain_batch_lr(spark: SparkSession, sf_dir: str, which=("test", "new"),

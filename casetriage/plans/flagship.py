@@ -110,3 +110,4 @@ def release_fitted() -> None:
         if fz.source is not None:
             fz.source.unpersist()
     X._FROZEN.clear()
+    X._LR_EXPLAINERS.clear()
