@@ -55,14 +55,14 @@ def utf8_parts(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def text_slices(arr: pa.Array, limit: int = PIECE_BYTES):
-    """(first row, one past the last row) runs of rows holding about ``limit`` bytes each."""
+def text_slices(arr: pa.Array, limit: int = PIECE_BYTES, rows: int = 8192):
+    """(first row, one past the last row) runs of at most ``rows`` rows holding about ``limit`` bytes each."""
     if len(arr) == 0:
         return
     _, off = utf8_parts(arr)
     lo = 0
     while lo < len(arr):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1), lo + rows, len(arr))
         yield lo, hi
         lo = hi
 
