@@ -1,0 +1,7 @@
+import os
+import sys
+
+# the workers import the package by its path
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+sys.path.insert(0, os.path.join(ROOT, "tests"))
