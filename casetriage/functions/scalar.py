@@ -22,6 +22,8 @@ GENDER_NONBINARY = ["nb", "non-binary", "nonbinary", "non binary"]
 VALID_OPTIONS = {
     "channel": ["email", "phone", "webchat", "mobile_app"],
     "case_type": ["incident", "service_request", "question", "problem"],
+    "category": ["billing_payments", "account_admin", "technical_support", "product_feedback",
+                 "feature_request", "general_enquiry"],
     "plan_tier": ["free", "standard", "pro", "enterprise"],
 }
 TENURE_MIN, TENURE_MAX = 0, 240

@@ -49,10 +49,13 @@ def filter_priority(df: DataFrame, values: list[str] | None, col: str = "priorit
     return df.filter(F.col(col).isin(list(values))) if values else df
 
 
-def order_by_priority(df: DataFrame, col: str = "priority", descending: bool = False) -> DataFrame:
-    """Order by the custom ordinal Low..Urgent, unknown last."""
+def order_by_priority(df: DataFrame, col: str = "priority", descending: bool = False,
+                      key: str = "case_id") -> DataFrame:
+    """Order by the custom ordinal Low..Urgent, unknown last; ties by
+    ``key``, which also lets the range partitioning split a priority that
+    holds most rows."""
     k = S.priority_rank(col)
-    return df.orderBy(k.desc() if descending else k.asc())
+    return df.orderBy(k.desc() if descending else k.asc(), *([key] if key in df.columns else []))
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
@@ -121,7 +124,7 @@ def validate_cases(df: DataFrame) -> DataFrame:
     columns that are present."""
     checks = []
     t = None
-    for c in ("channel", "case_type", "plan_tier"):
+    for c in S.VALID_OPTIONS:
         if c in df.columns:
             ok = F.coalesce(S.norm_lower(c).isin(S.VALID_OPTIONS[c]), F.lit(False))
             checks.append(F.when(~ok, F.lit(f"invalid {c}")))

@@ -7,12 +7,11 @@ from __future__ import annotations
 def explainer_kind(model) -> str:
     """I4: pick the explainer from the Spark model class."""
     from pyspark.ml.classification import (DecisionTreeClassificationModel,
-                                           GBTClassificationModel,
                                            LogisticRegressionModel,
                                            RandomForestClassificationModel)
     if isinstance(model, LogisticRegressionModel):
         return "linear"
-    if isinstance(model, (DecisionTreeClassificationModel, RandomForestClassificationModel,
-                          GBTClassificationModel)):
+    if isinstance(model, (DecisionTreeClassificationModel, RandomForestClassificationModel)):
         return "tree"
+    # boosted trees add up weighted margins, not class shares: the tree walk doesn't hold for them
     return "sampled"

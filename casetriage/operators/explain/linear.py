@@ -21,11 +21,6 @@ from pyspark.sql import functions as F
 
 from ...functions.scalar import PRIORITY_LEVELS, const_array
 
-# A model this large would be explained through the long (exploded) form;
-# below it the constant is a few MB at most.
-MAX_INLINE_COEFFICIENTS = 2_000_000
-
-
 @dataclass
 class LinearExplainer:
     W: list[list[float]]
@@ -55,8 +50,6 @@ def from_lr(model, names: list[dict], background: DataFrame, features: str = "fe
             labels: list[str] = PRIORITY_LEVELS) -> LinearExplainer:
     W = model.coefficientMatrix.toArray().tolist()
     b = model.interceptVector.toArray().tolist()
-    if len(W) * len(W[0]) > MAX_INLINE_COEFFICIENTS:
-        raise ValueError("coefficient matrix too large to inline; use the long form")
     return LinearExplainer(W, b, background_mean(background, features), names, labels)
 
 

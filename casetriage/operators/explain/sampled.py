@@ -30,14 +30,15 @@ SOURCES = ["case_summary", "channel", "case_type", "category", "plan_tier", "cus
 def shap_sampled(cases: DataFrame, background: DataFrame, predict: Callable[[DataFrame], DataFrame],
                  n_perm: int = 8, seed: int = 42, key: str = "case_id",
                  pred_col: str = "predicted_priority", sources: list[str] = SOURCES,
-                 max_background: int = 1000) -> DataFrame:
-    """Returns (key, feature, phi, base_value, fx) rows."""
+                 max_background: int | None = None) -> DataFrame:
+    """Returns (key, feature, phi, base_value, fx) rows; ``background`` is a
+    sample whose size the caller chose."""
     k = len(sources)
+    n_bg = background.count()
+    if n_bg == 0 or max_background is not None and n_bg > max_background:
+        raise ValueError(f"background must hold 1..{max_background} rows, has {n_bg}")
     bg = background.select(*sources).withColumn("_h", F.md5(F.to_json(F.struct(*sources))))
     bg = bg.withColumn("_z", F.row_number().over(Window.orderBy("_h", *sources)) - 1).drop("_h")
-    n_bg = bg.count()
-    if n_bg == 0 or n_bg > max_background:
-        raise ValueError(f"background must hold 1..{max_background} rows, has {n_bg}")
     zcols = [F.col(s).alias(f"_z_{s}") for s in sources]
     bgz = bg.select("_z", *zcols)
 

@@ -21,8 +21,10 @@ from pyspark.ml.feature import (Bucketizer, CountVectorizerModel, ElementwisePro
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalar import const_array
+from ..session import scratch_path
 from .cleaning import CATEGORICAL_COLUMNS
 
 # Token rule = two or more letters, digits or underscores
@@ -117,40 +119,26 @@ class TabularModel:
     tenure_edges: list[float]  # inner bin edges
 
 
-# Size checks for fitted state whose buffers grow with distinct values.
-MAX_CATEGORIES = 10_000             # one-hot / mode: beyond this, hash or cap the column first
-EXACT_QUANTILE_MAX_DISTINCT = 1_000_000
-
-
-def approx_distinct(df: DataFrame, cols: list[str]) -> dict:
-    """HyperLogLog distinct counts of several columns in one pass (fixed
-    memory per column whatever the data size)."""
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    return {c: int(row[c]) for c in cols}
-
-
 def fit_modes_and_categories(df: DataFrame, cols: list[str],
-                             max_categories: int = MAX_CATEGORIES,
+                             max_categories: int | None = None,
                              impute: bool = True) -> tuple[dict, dict]:
-    """E2 + E4 fit in one pass: most frequent value (ties -> smallest) and
-    the sorted category set of every column.  Both buffers are bounded by
-    the number of distinct categories, which is checked first."""
-    too_many = {c: n for c, n in approx_distinct(df, cols).items() if n > max_categories}
-    if too_many:
-        raise ValueError(f"too many categories to one-hot {too_many}; cap or hash these columns")
-    aggs = []
+    """E2 + E4 fit: most frequent value (ties -> smallest) and the sorted
+    category set of every column, from one count of (column, value) with
+    map-side combine.  The result is as large as the model it names; a limit
+    on it is the caller's (``max_categories``)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value"))
+                                for c in cols]))
+    counts = df.select(pairs.alias("e")).groupBy("e.col", "e.value").agg(F.count("*").alias("n"))
+    found: dict = {c: {} for c in cols}
+    for r in counts.collect():
+        found[r["col"]][r["value"]] = r["n"]
+    modes, cats = {}, {}
     for c in cols:
-        aggs += [F.mode(c, deterministic=True).alias(f"m_{c}"),
-                 F.array_sort(F.collect_set(c)).alias(f"s_{c}"),
-                 F.count_if(F.col(c).isNull()).alias(f"z_{c}")]
-    row = df.agg(*aggs).first()
-    modes = {c: row[f"m_{c}"] for c in cols}
-    cats = {}
-    for c in cols:
-        vals = set(row[f"s_{c}"] or [])
-        if impute and modes[c] is not None and row[f"z_{c}"]:
-            vals.add(modes[c])   # imputed nulls become this category
-        cats[c] = sorted(vals)
+        seen = {v: n for v, n in found[c].items() if v is not None}
+        if max_categories is not None and len(seen) > max_categories:
+            raise ValueError(f"{c} has {len(seen)} categories, more than {max_categories}")
+        modes[c] = min(seen, key=lambda v: (-seen[v], v)) if seen else None
+        cats[c] = sorted(seen)   # imputed nulls become the mode, which is among them
     return modes, cats
 
 
@@ -161,40 +149,71 @@ def impute_mode(df: DataFrame, cols: list[str], modes: dict | None = None) -> Da
     return df.fillna({c: v for c, v in modes.items() if v is not None})
 
 
+def exact_quantiles(df: DataFrame, col: str, ps: list[float]) -> list[float] | None:
+    """Exact percentiles with linear interpolation, for any number of
+    distinct values: counts by value (map-side combine), range-partitioned
+    and written once; the counts of the partitions tell in which of them the
+    wanted ranks lie, and only those are ranked.  ``None`` without values."""
+    spark = df.sparkSession
+    counts = (df.select(F.col(col).cast("double").alias("v")).where("v is not null")
+              .groupBy("v").agg(F.count("*").alias("n")))
+    parts = (counts.repartitionByRange("v")
+             .select("v", "n", F.spark_partition_id().alias("part")))
+    path = scratch_path(spark, "value-counts")
+    parts.write.parquet(path)
+    parts = spark.read.schema(parts.schema).parquet(path)
+    sizes = sorted((r["lo"], r["part"], r["n"]) for r in
+                   parts.groupBy("part").agg(F.sum("n").alias("n"), F.min("v").alias("lo")).collect())
+    total = sum(n for _, _, n in sizes)
+    if not total:
+        return None
+    start, starts = 0, {}
+    for _, part, n in sizes:
+        starts[part] = (start, start + n)
+        start += n
+    at = [p * (total - 1) for p in ps]
+    ranks = sorted({r for x in at for r in (math.floor(x), math.ceil(x))})
+    values: dict = {}
+    for part, (lo, hi) in starts.items():
+        wanted = [r for r in ranks if lo <= r < hi]
+        if not wanted:
+            continue
+        run = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + lo
+        ranked = parts.where(F.col("part") == part).withColumn("last", run)
+        hit = F.filter(F.array(*[F.lit(r) for r in wanted]),
+                       lambda r: (r >= F.col("last") - F.col("n")) & (r < F.col("last")))
+        for r in ranked.select("v", hit.alias("r")).where(F.size("r") > 0).collect():
+            values.update(dict.fromkeys(r["r"], r["v"]))
+    return [values[math.floor(x)] if x == math.floor(x) else
+            (math.ceil(x) - x) * values[math.floor(x)] + (x - math.floor(x)) * values[math.ceil(x)] for x in at]
+
+
 def impute_median(df: DataFrame, cols: list[str], relative_error: float | None = None) -> DataFrame:
-    """Fill nulls with the median.  ``relative_error=0`` is exact (its
-    buffer grows with the number of distinct values); > 0 uses the
-    Greenwald-Khanna sketch.  ``None`` decides per call: exact when every
-    column has at most ``EXACT_QUANTILE_MAX_DISTINCT`` distinct values."""
-    if relative_error is None:
-        big = max(approx_distinct(df, cols).values(), default=0) > EXACT_QUANTILE_MAX_DISTINCT
-        relative_error = 1e-4 if big else 0.0
-    if relative_error > 0:
-        aggs = [F.percentile_approx(c, 0.5, int(1 / relative_error)).alias(c) for c in cols]
+    """Fill nulls with the median: exact, or by a sketch when the caller
+    names a ``relative_error``."""
+    if relative_error:
+        med = df.agg(*[F.percentile_approx(c, 0.5, int(1 / relative_error)).alias(c) for c in cols]).first().asDict()
     else:
-        aggs = [F.median(c).alias(c) for c in cols]
-    med = df.agg(*aggs).first().asDict()
+        med = {c: (exact_quantiles(df, c, [0.5]) or [None])[0] for c in cols}
     return df.fillna({c: float(v) for c, v in med.items() if v is not None})
 
 
 # ------------------------------------------------------------ tenure bins ----
 
 def quantile_edges(df: DataFrame, col: str = TENURE_COL, n_bins: int = 5,
-                   exact: bool | None = None) -> list[float]:
+                   relative_error: float | None = None) -> list[float]:
     """E5 fit: quantile edges with near-duplicates removed; returns the
     inner edges (a value's bin = number of inner edges <= value).  Exact
-    percentiles (linear interpolation) unless the column has more than
-    ``EXACT_QUANTILE_MAX_DISTINCT`` distinct values (checked by HLL), then
-    the approximate sketch."""
-    if exact is None:
-        exact = approx_distinct(df, [col])[col] <= EXACT_QUANTILE_MAX_DISTINCT
-    ps = [i / n_bins for i in range(1, n_bins)]
-    q = F.percentile(col, F.array(*[F.lit(p) for p in ps])) if exact else \
-        F.percentile_approx(col, F.array(*[F.lit(p) for p in ps]), 10000)
-    row = df.agg(F.min(col).alias("lo"), q.alias("q"), F.max(col).alias("hi")).first()
-    if row["lo"] is None:
+    percentiles (linear interpolation), or by a sketch when the caller names
+    a ``relative_error``."""
+    ps = [i / n_bins for i in range(n_bins + 1)]
+    if relative_error:
+        q = df.agg(F.percentile_approx(col, F.array(*[F.lit(p) for p in ps]), int(1 / relative_error)).alias("q")).first()["q"]
+    else:
+        q = exact_quantiles(df, col, ps)
+    if not q:
         return []
-    edges = [float(row["lo"])] + [float(x) for x in row["q"]] + [float(row["hi"])]
+    edges = [float(x) for x in q]
     kept = [edges[0]] + [e for prev, e in zip(edges, edges[1:]) if e - prev > 1e-8]
     return kept[1:-1]
 

@@ -193,14 +193,21 @@ FROM case_facts WHERE priority IN ('High', 'Urgent')""", "case_facts")
 ORACLE["case_validation"] = with_views(f"""
 SELECT case_id, row_seq, n_reasons = 0 AS is_valid, n_reasons, reasons FROM (
  SELECT case_id, row_seq,
-  CAST((CASE WHEN ch_bad THEN 1 ELSE 0 END) + (CASE WHEN t_bad THEN 1 ELSE 0 END) AS INTEGER) AS n_reasons,
-  concat_ws('; ', CASE WHEN ch_bad THEN 'invalid channel' END, CASE WHEN t_bad THEN 'tenure out of range' END) AS reasons
+  CAST((CASE WHEN ch_bad THEN 1 ELSE 0 END) + (CASE WHEN ca_bad THEN 1 ELSE 0 END) + (CASE WHEN t_bad THEN 1 ELSE 0 END) AS INTEGER) AS n_reasons,
+  concat_ws('; ', CASE WHEN ch_bad THEN 'invalid channel' END, CASE WHEN ca_bad THEN 'invalid category' END, CASE WHEN t_bad THEN 'tenure out of range' END) AS reasons
  FROM (SELECT case_id, row_seq,
    NOT coalesce(lower({trim('channel')}) IN ('email', 'phone', 'webchat', 'mobile_app'), false) AS ch_bad,
+   row_seq % 4 IN (2, 3) AS ca_bad,
    (TRY_CAST(customer_tenure_months AS DOUBLE) IS NULL OR TRY_CAST(customer_tenure_months AS DOUBLE) < 0
     OR TRY_CAST(customer_tenure_months AS DOUBLE) > 240) AS t_bad
   FROM raw_cases) a) b""", "raw_cases")
 
+ORACLE["monthly_load"] = with_views("""
+SELECT case_id, CAST(row_seq AS BIGINT) AS file_row, CASE WHEN file_seq % 3 <> 2 THEN priority END AS priority,
+ channel, CASE WHEN file_seq % 3 <> 2 THEN gender END AS gender,
+ CASE WHEN file_seq % 3 = 1 THEN concat('x,', CAST(row_seq AS STRING)) END AS extra, CAST(file_seq % 3 AS INTEGER) AS month, 'ok' AS record_status
+FROM raw_cases""", "raw_cases")
+
 ORACLE["drop_leakage"] = with_views(
     "SELECT case_id, created_at, status, case_type, category, priority, sla_target_hours, csat_score FROM case_facts",
     "case_facts")

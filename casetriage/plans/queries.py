@@ -80,12 +80,40 @@ def q_priority_filter_ordered(spark, d):
         "priority_rank", S.priority_rank("priority"))
 
 
+# a category for form rows: known in other dress, known, unknown, missing
+FORM_CATEGORY = ("CASE row_seq % 4 WHEN 0 THEN ' Billing_Payments ' WHEN 1 THEN 'technical_support' "
+                 "WHEN 2 THEN 'nonsense' END")
+
+
 def q_case_validation(spark, d):
-    v = C.validate_cases(view(spark, d, "raw_cases"))
+    v = C.validate_cases(view(spark, d, "raw_cases").withColumn("category", F.expr(FORM_CATEGORY)))
     return v.select("case_id", "row_seq", "is_valid", F.size("reasons").alias("n_reasons"),
                     F.array_join("reasons", "; ").alias("reasons"))
 
 
+MONTH_COLUMNS = {0: ["case_id", "file_row", "priority", "channel", "gender"],
+                 1: ["gender", "channel", "extra", "case_id", "priority", "file_row"],
+                 2: ["file_row", "case_id", "channel"]}
+
+
+def q_monthly_load(spark, d):
+    """A1/A3: all case rows written as monthly CSV files with permuted, extra
+    and missing columns, and read back by each file's own header."""
+    from ..session import scratch_path
+    from ..sources import readers as RD
+    raw = view(spark, d, "raw_cases").withColumn("extra", F.concat(F.lit("x,"), F.col("row_seq").cast("string"))).withColumnRenamed(
+        "row_seq", "file_row")
+    base, paths = scratch_path(spark, "months"), []
+    for m, cols in MONTH_COLUMNS.items():
+        folder = f"{base}/month={m}"
+        (raw.where(F.col("file_seq") % 3 == m).select(*cols).write.option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder))
+        paths += RD.list_csv(spark, folder)
+    df = RD.read_monthly(spark, paths, repair_at=None)
+    return df.select("case_id", F.col("file_row").cast("long"), "priority", "channel", "gender", "extra",
+                     F.regexp_extract("source_path", "month=([0-9])", 1).cast("int").alias("month"), "record_status")
+
+
 def q_drop_leakage(spark, d):
     return C.drop_leakage(view(spark, d, "case_facts"))
 
@@ -198,6 +226,7 @@ QUERIES = {
     "calendar_features": q_calendar_features,
     "priority_filter_ordered": q_priority_filter_ordered,
     "case_validation": q_case_validation,
+    "monthly_load": q_monthly_load,
     "drop_leakage": q_drop_leakage,
     "select_existing": q_select_existing,
     "impute_mode_onehot": q_impute_mode_onehot,

@@ -9,6 +9,7 @@ memory) always wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -64,8 +65,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local runs, tests) a private temporary folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session.  Only on a local master
+    (tests, one machine) an unset one becomes a private temporary folder;
+    elsewhere executors can't share such a folder, so an unset one is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -77,6 +79,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = None
     if not d:
         d = sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="casetriage-ckpt-")
     sc.setCheckpointDir(d)

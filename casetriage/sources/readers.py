@@ -1,25 +1,25 @@
 """Sources and sinks.
 
-Monthly case extracts are CSV files whose list order is recency order.
-They are read in one scan (all columns as strings, quoted newlines allowed)
-with the file's position attached from ``_metadata.file_name`` and the row
-order inside the file from ``monotonically_increasing_id`` (a multi-line CSV
-file is not split, so ids rise in file order).  Rows one field short get the
-reference's repair: an empty value inserted at position 20, later values
-shifted right.
+Monthly case extracts are CSV files whose list order is recency order.  Every
+file is read by its own header (all columns as strings, quoted newlines
+allowed): files with equal headers in one scan, the scans stacked by name.  A
+file's position comes from its full path, the row order inside the file from
+``monotonically_increasing_id`` (a multi-line CSV file is not split, so ids
+rise in file order).  Rows one field short get the reference's repair: an
+empty value inserted at position 20, later values shifted right; any other row
+of a wrong width is kept and named in ``record_status``.
 """
 
 from __future__ import annotations
 
-import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 CORRUPT = "_corrupt_record"
-# Missing trailing fields must be distinguishable from empty ones while
-# parsing: empty fields read as "", missing ones as null.
+# Quoted empty fields read as "", unquoted empty and missing ones as null.
 _MISSING = "\u0000<missing>\u0000"
 GENDER_POSITION = 20
 
@@ -36,41 +36,64 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def repair_shift(df: DataFrame, cols: list[str], at: int = GENDER_POSITION) -> DataFrame:
+def repair_shift(df: DataFrame, cols: list[str], at: int | None = GENDER_POSITION) -> DataFrame:
     """A2: a record that is exactly one field short gets an empty value at
-    ``at``; the values from there on move one column to the right."""
+    ``at``; the values from there on move one column to the right.
+
+    Adds ``was_repaired`` and ``record_status``: ok, repaired, short (fields
+    are missing, the last columns are null) or long (more fields than the
+    header has; the raw record is in ``record_text``)."""
     n = len(cols)
-    if n < 2 or at >= n:
-        return df
-    short = F.col(CORRUPT).isNotNull() & F.col(cols[n - 1]).isNull() & F.col(cols[n - 2]).isNotNull()
+    bad = F.col(CORRUPT).isNotNull()
+    short = F.lit(False)
+    if at is not None and 2 <= n and at < n:
+        short = bad & F.col(cols[n - 1]).isNull() & F.col(cols[n - 2]).isNotNull()
     fixed = []
     for i, c in enumerate(cols):
-        if i < at:
-            fixed.append(F.col(c))
-        elif i == at:
-            fixed.append(F.when(short, F.lit("")).otherwise(F.col(c)).alias(c))
-        else:
-            fixed.append(F.when(short, F.col(cols[i - 1])).otherwise(F.col(c)).alias(c))
+        x = F.col(c)
+        if at is not None and i == at < n:
+            x = F.when(short, F.lit("")).otherwise(x).alias(c)
+        elif at is not None and i > at:
+            x = F.when(short, F.col(cols[i - 1])).otherwise(x).alias(c)
+        fixed.append(x)
+    status = (F.when(~bad, "ok").when(short, "repaired")
+              .when(F.col(cols[n - 1]).isNull(), "short").otherwise("long"))
     rest = [c for c in df.columns if c not in cols and c != CORRUPT]
-    return df.select(*fixed, *rest, short.alias("was_repaired"))
+    return df.select(*fixed, *rest, short.alias("was_repaired"), status.alias("record_status"),
+                     F.when(bad & ~short, F.col(CORRUPT)).alias("record_text"))
+
+
+_SLASHES = "^([A-Za-z0-9+.-]+):/+"  # schemes are written with one slash or three
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    """The path as ``_metadata.file_path`` writes it, with one slash after the scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(_SLASHES, r"\1:/", fs.makeQualified(p).toUri().toString())
 
 
 def read_monthly(spark: SparkSession, paths: list[str], repair_at: int | None = GENDER_POSITION) -> DataFrame:
-    """A1 (+A2): ordered multi-file load; adds ``file_seq`` (1-based position
-    in ``paths``) and ``row_seq`` (order inside the file)."""
+    """A1 (+A2): ordered multi-file load, each file by its own header,
+    stacked by name (a column that a file lacks is null); adds ``file_seq``
+    (1-based position in ``paths``), ``row_seq`` (order inside the file),
+    ``source_path`` and the status columns of ``repair_shift``."""
     if not paths:
         raise FileNotFoundError("no input files")
-    cols = header_of(spark, paths[0])
-    schema = StructType([StructField(c, StringType()) for c in cols] + [StructField(CORRUPT, StringType())])
-    seq = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(os.path.basename(p)), F.lit(i + 1))])
-    df = (_csv(spark, schema).load(paths)
-          .withColumn("file_seq", seq[F.col("_metadata.file_name")])
-          .withColumn("row_seq", F.monotonically_increasing_id()))
-    if repair_at is not None:
-        df = repair_shift(df, cols, repair_at)
-    elif CORRUPT in df.columns:
-        df = df.drop(CORRUPT)
-    return df
+    by_header: dict[tuple, list[tuple[int, str]]] = {}
+    for i, p in enumerate(paths):
+        by_header.setdefault(tuple(header_of(spark, p)), []).append((i + 1, p))
+    out = None
+    for cols, files in by_header.items():
+        schema = StructType([StructField(c, StringType()) for c in (*cols, CORRUPT)])
+        # the list of files is the caller's, one small row each
+        seq = spark.createDataFrame([(_uri(spark, p), i) for i, p in files], "source_path string, file_seq int")
+        df = (_csv(spark, schema).load([p for _, p in files])
+              .withColumn("source_path", F.regexp_replace(F.col("_metadata.file_path"), _SLASHES, "$1:/"))
+              .withColumn("row_seq", F.monotonically_increasing_id()))
+        df = repair_shift(df.join(F.broadcast(seq), "source_path").select(*df.columns, "file_seq"), list(cols), repair_at)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def list_csv(spark: SparkSession, directory: str) -> list[str]:
@@ -95,6 +118,9 @@ def read_glob(spark: SparkSession, directory: str, repair_at: int | None = None)
 
 def with_source_file(df: DataFrame) -> DataFrame:
     """A4: lineage column with the source file name."""
+    if "source_path" in df.columns:
+        name = F.element_at(F.split("source_path", "/"), -1)
+        return df.withColumn("source_file", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))
     return df.withColumn("source_file", F.col("_metadata.file_name"))
 
 

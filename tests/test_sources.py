@@ -58,6 +58,27 @@ def test_ordered_load_repair_and_keep_last(spark):
     assert {r.channel for r in clean.collect()} == {"email"}
 
 
+def test_files_with_other_headers_stack_by_name(spark):
+    """Each file by its own header; equal base names in two folders; short and long rows are named."""
+    d = tempfile.mkdtemp(prefix="ct-months-")
+    texts = {"2024/Q1 Jan+.csv": "case_id,a,b\nC1,1,2\n", "2025/Q1 Jan+.csv": "case_id,b,a,extra\nC2,20,10,x\nC1,5,6,y\n",
+             "2025/bad.csv": "case_id,a,b\nC3,1\nC4\nC5,1,2,3\nC6,7,8\n"}
+    for name, text in texts.items():
+        os.makedirs(os.path.dirname(os.path.join(d, name)), exist_ok=True)
+        with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+            f.write(text)
+    df = RD.read_monthly(spark, [os.path.join(d, n) for n in texts], repair_at=1)
+    got = {(r.case_id, r.file_seq): (r.a, r.b, r.extra, r.record_status) for r in df.collect()}
+    assert got == {("C1", 1): ("1", "2", None, "ok"), ("C2", 2): ("10", "20", "x", "ok"), ("C1", 2): ("6", "5", "y", "ok"),
+                   ("C3", 3): ("", "1", None, "repaired"), ("C4", 3): (None, None, None, "short"),
+                   ("C5", 3): ("1", "2", None, "long"), ("C6", 3): ("7", "8", None, "ok")}
+    assert {r.record_text for r in df.where("record_status in ('short', 'long')").collect()} == {"C4", "C5,1,2,3"}
+    assert {r.source_file for r in RD.with_source_file(df).collect()} == {"Q1 Jan+.csv", "bad.csv"}
+    assert {r.a for r in C.dedup_latest(df).where("case_id = 'C1'").collect()} == {"6"}
+    narrow = RD.read_monthly(spark, [os.path.join(d, "2024/Q1 Jan+.csv")])
+    assert {"was_repaired", "record_status"} <= set(narrow.columns) and RD.CORRUPT not in narrow.columns
+
+
 def test_glob_lineage_and_errors(spark):
     d = _files()
     g = RD.read_glob(spark, d)
@@ -77,12 +98,12 @@ def test_form_rows_and_validation(spark):
         {"case_id": "NEW-1", "case_summary": " Site DOWN ", "channel": "phone", "case_type": "incident",
          "category": "technical_support", "plan_tier": "pro", "customer_tenure_months": 7},
         {"case_id": "NEW-2", "case_summary": "", "channel": "fax", "case_type": "incident",
-         "category": "x", "plan_tier": "gold", "customer_tenure_months": 999}])
+         "category": "nonsense", "plan_tier": "gold", "customer_tenure_months": 999}])
     v = {r.case_id: r for r in C.validate_cases(df).collect()}
     assert v["NEW-1"].is_valid and v["NEW-1"].reasons == []
     assert not v["NEW-2"].is_valid
-    assert set(v["NEW-2"].reasons) == {"invalid channel", "invalid plan_tier", "tenure out of range",
-                                       "empty summary"}
+    assert set(v["NEW-2"].reasons) == {"invalid channel", "invalid category", "invalid plan_tier",
+                                       "tenure out of range", "empty summary"}
 
 
 def test_write_and_export(spark):
