@@ -1,5 +1,15 @@
 """Documents with nulls, empty and very long texts, repeated rows and extra columns."""
 
+import os
+import sys
+
+# the workers import the package by its path
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+sys.path.insert(0, os.path.join(ROOT, "tests"))
+
+SF_SMALL, SF_MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
 LONG = ("word another third fourth. " * 40_000) + "end"
 
 ROWS = [(1, "The quick brown fox jumps over the lazy dog and runs away from here", "en", 5),
