@@ -119,14 +119,14 @@ def with_calendar(df: DataFrame, ts: str = "created_at") -> DataFrame:
     return df.withColumns(S.with_calendar_cols(ts))
 
 
-def validate_cases(df: DataFrame) -> DataFrame:
+def validate_cases(df: DataFrame, options: dict[str, list[str]] = S.VALID_OPTIONS) -> DataFrame:
     """``is_valid`` and ``reasons`` for incoming cases; checks only the
-    columns that are present."""
+    columns that are present.  ``options`` lists the accepted values."""
     checks = []
     t = None
-    for c in S.VALID_OPTIONS:
+    for c in options:
         if c in df.columns:
-            ok = F.coalesce(S.norm_lower(c).isin(S.VALID_OPTIONS[c]), F.lit(False))
+            ok = F.coalesce(S.norm_lower(c).isin(options[c]), F.lit(False))
             checks.append(F.when(~ok, F.lit(f"invalid {c}")))
     if "customer_tenure_months" in df.columns:
         t = F.col("customer_tenure_months").try_cast("double")

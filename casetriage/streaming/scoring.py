@@ -36,8 +36,12 @@ def score_batch(df: DataFrame, space, model, explainer, slots, version: str = "v
     union of two filtered branches would read the batch twice and lose the
     input partitioning the keep-latest aggregation can reuse."""
     from ..plans.explain import explain_frame
+    from ..functions.scalar import VALID_OPTIONS
     from ..plans.flagship import normalise_cases
-    d = C.validate_cases(normalise_cases(df))
+    # the categories in use are the deployment's: accept those the model was fitted on
+    known = space.tabular.categories.get("category") if space.tabular else None
+    options = {**VALID_OPTIONS, "category": known} if known else VALID_OPTIONS
+    d = C.validate_cases(normalise_cases(df), options)
     scored = M.score(model, d, space)
     e = explain_frame(scored, explainer, slots, features="features", pred_col="predicted_priority",
                       probs=vector_to_array(F.col("probability")))
