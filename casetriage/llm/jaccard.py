@@ -27,6 +27,10 @@ CELLS = 3
 BAND = 1.3
 #: 64-bit words of the parity sketch that bounds the difference of two sets from below.
 SKETCH = 8
+#: Members of a signature group that are compared with each other at a time.
+BLOCK = 1024
+#: Rows of alike groups that go to one task, about.
+DEAL_ROWS = 1 << 16
 #: Rows of one signature group held in a task's memory; larger groups go on in pieces with the same leader.
 RUN_ROWS = 1 << 19
 
@@ -210,6 +214,69 @@ def _with_nodes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs
 
 
+def _close_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of ``members(gid, lo, deal, key, root, m)`` in one group, of different roots, that sizes and sketches allow.
+
+    A group of m members is cut into blocks by hash, and every pair of blocks
+    is a unit of work of bounded size; only close pairs leave it, and a task
+    names a pair once.
+    """
+    info = nodes.select("key", "n", *[f"x{j}" for j in range(SKETCH)])
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = members.join(info, "key").withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("lo", "deal", "gid", F.least("own", "other").alias("b1"),
+                       F.greatest("own", "other").alias("b2"), "own", "key", "root", "n", *[f"x{j}" for j in range(SKETCH)])
+    rows = rows.repartition("lo", "deal").sortWithinPartitions("lo", "deal", "gid", "b1", "b2")
+
+    def pairs_of(own, key, root, n, x):
+        left, right = (own == own[0], own != own[0])
+        across = right.any()
+        a, b = (np.flatnonzero(left), np.flatnonzero(right)) if across else (np.arange(len(key)), np.arange(len(key)))
+        for lo in range(0, len(a), 64):
+            i = a[lo:lo + 64]
+            both = n[i][:, None] + n[b][None]
+            ok = (root[i][:, None] != root[b][None]) & (np.minimum(n[i][:, None], n[b][None]) * den >= np.maximum(n[i][:, None], n[b][None]) * num)
+            if not across:
+                ok &= i[:, None] < b[None]
+            r, c = np.nonzero(ok)
+            apart = np.bitwise_count((x[i[r]] ^ x[b[c]]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            close = apart * (num + den) <= both[r, c] * (den - num)
+            yield key[i[r[close]]], key[b[c[close]]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = None, set()
+
+        def out(cols):
+            unit = cols[:, 2:5]
+            edge = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(axis=1), True])
+            a, b = [], []
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                if hi - lo > 1 and (cols[lo:hi, 7] != cols[lo, 7]).any():
+                    for x, y in pairs_of(cols[lo:hi, 5], cols[lo:hi, 6], cols[lo:hi, 7], cols[lo:hi, 8], cols[lo:hi, 9:]):
+                        for pair in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()):
+                            if pair not in seen:
+                                seen.add(pair)
+                                a.append(pair[0])
+                                b.append(pair[1])
+            if len(seen) > 500_000:
+                seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            cols = np.column_stack([c.to_numpy() for c in batch.columns])
+            cols = cols if held is None else np.concatenate([held, cols])
+            last = (cols[:, 2:5] == cols[-1, 2:5]).all(axis=1)
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if cut:
+                yield out(cols[:cut])
+            held = cols[cut:]
+        if held is not None:
+            yield out(held)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def _member_test(bits: np.ndarray, shift: int):
     def test(keys: np.ndarray) -> np.ndarray:
         at = keys >> np.uint64(shift)
@@ -291,13 +358,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Then what that left apart: members of one group in different components.
     named = (groups.select("gid", "leader", "key").join(comp.withColumnRenamed("node", "key"), "key", "left")
              .withColumn("root", F.coalesce("root", "key")))
-    split = named.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid")
-    apart = written(spark, named.join(split, "gid").distinct(), "apart")
-    left = apart.select("gid", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("leader").alias("la"))
-    right = apart.select("gid", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("leader").alias("lb"))
-    rest = (_with_nodes(left.join(right, "gid").where("ra < rb and a <> lb and b <> la").select("a", "b").distinct(), nodes)
-            .where(_close(num, den)).select("a", "b"))
-    more = written(spark, _verified(spark, docs, rest, words, num, den), "links")
+    split = named.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    # groups that hold one component are much alike: a few tasks see them, as many as their rows need
+    alike = split.groupBy("lo").agg(F.ceil(F.sum(F.col("m") * F.ceil(F.col("m") / BLOCK)) / DEAL_ROWS).alias("deals"))
+    dealt = split.join(alike, "lo").select("gid", "m", "lo", F.pmod(F.xxhash64("gid"), F.col("deals")).alias("deal"))
+    apart = named.join(dealt, "gid").where("key <> leader")
+    rest = _verified(spark, docs, _close_pairs(apart, nodes, num, den), words, num, den)
+    more = written(spark, rest, "links")
     if more.limit(1).count():
         comp = connected_components(spark, links.union(more))
 
