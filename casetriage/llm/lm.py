@@ -25,11 +25,13 @@ from .common import lookup, mix, text_slices, word_hashes, written
 
 #: Parameters of the model: frequent words, tail classes, vector length, context words.
 WORDS, TAILS, DIM, CONTEXT = 2048, 512, 16, 4
-#: Words whose exact counts go to every task (a fixed number; counts of all other words are joined).
+#: Most words whose exact counts go to every task (a fixed number; counts of all other words are joined).
 NEAR_COUNTS = 1 << 16
 #: Shares of the training texts by round (of 16): every text is in one round.
 ROUNDS = ((0,), (1, 2, 3), tuple(range(4, 16)))
-BATCH, NOISE, RATE = 4096, 8, 0.15
+BATCH, NOISE, RATE = 4096, 8, 0.1
+#: Squared gradients that every parameter starts with: early steps are small.
+CALM = 100.0
 #: Parameters are averaged as integers of this scale, so sums don't depend on the order.
 FIXED = 1 << 20
 
@@ -141,7 +143,7 @@ class Trainer:
 
     def __init__(self, params: Params, counts: np.ndarray, seed: int):
         self.p = params.copy()
-        self.sq = {k: np.full(s, 1e-2, np.float32) for k, s in Params.SHAPES.items()}
+        self.sq = {k: np.full(s, CALM, np.float32) for k, s in Params.SHAPES.items()}
         self.rng = np.random.default_rng(seed)
         mass = np.zeros(SIDE * SIDE)
         mass[:SYMBOLS] = counts + 0.5
@@ -151,52 +153,62 @@ class Trainer:
         self.slot_cum = np.cumsum(self.slot_share, axis=1)
         self.steps = 0
 
-    def _apply(self, key, grad, rows=slice(None)):
+    def _apply(self, key, grad):
         sq = self.sq[key]
-        sq[rows] += grad * grad
-        getattr(self.p, key)[rows] += RATE * grad / np.sqrt(sq[rows])
-
-    def _contrast(self, q, own, target_row, rows, noise, share):
-        """Gradients of NCE for one output table: data against ``noise`` rows drawn from ``share``."""
-        k = len(noise)
-        with np.errstate(over="ignore"):
-            good = 1 - _sigmoid((q * rows[target_row]).sum(1) - np.log(k * share[target_row]).astype(np.float32))
-            bad = _sigmoid(q @ rows[noise].T - np.log(k * share[noise]).astype(np.float32))
-        dq = good[:, None] * rows[target_row] - bad @ rows[noise]
-        grad = np.zeros_like(rows)
-        hot = np.zeros((len(q), len(rows)), np.float32)
-        hot[own, target_row] = good
-        grad += hot.T @ q
-        np.add.at(grad, noise, -(bad.T @ q))
-        return dq, grad / len(q)
+        sq += grad * grad
+        getattr(self.p, key)[...] += RATE * grad / np.sqrt(sq)
 
     def step(self, ctx, target):
+        """One step on a batch: data tokens against NOISE classes, and against NOISE slots of the token's class."""
         p, n = self.p, len(target)
-        q = p.predicted(ctx)
-        cls, slot = target % SIDE, target // SIDE
+        place = ((target % SIDE) * SIDE + target // SIDE).astype(np.int16)
+        order = np.argsort(place, kind="stable")  # by class, then by slot
+        place, ctx = place[order].astype(np.int64), ctx[order]
+        cls, slot = place // SIDE, place % SIDE
+        seen = p.context[ctx]
+        q = np.ones((n, DIM + 1), np.float32)
+        q[:, :DIM] = np.einsum("ncd,cd->nd", seen, p.place)
+        edge = np.searchsorted(cls, np.arange(SIDE + 1))
+        held = np.flatnonzero(np.diff(edge))
+
         noise = self.rng.choice(SIDE, NOISE, p=self.class_share)
-        dq, grad = self._contrast(q, np.arange(n), cls, p.classes, noise, self.class_share)
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(SIDE + 1))
+        own, other = p.classes[cls], p.classes[noise]
+        good = 1 - _sigmoid((q * own).sum(1) - np.log(NOISE * self.class_share[cls]).astype(np.float32))
+        bad = _sigmoid(q @ other.T - np.log(NOISE * self.class_share[noise]).astype(np.float32))
+        class_grad = np.zeros_like(p.classes)
+        class_grad[held] = np.add.reduceat(good[:, None] * q, edge[held], axis=0)
+        np.subtract.at(class_grad, noise, bad.T @ q)
+        dq = good[:, None] * own - bad @ other
+
         draws = self.rng.random((SIDE, NOISE))
+        noise = np.minimum((self.slot_cum[:, None, :] < draws[:, :, None]).sum(axis=2), SIDE - 1)
+        own = p.slots[cls, slot]
+        other = np.take_along_axis(p.slots, noise[:, :, None], axis=1)
+        good = 1 - _sigmoid((q * own).sum(1) - np.log(NOISE * self.slot_share[cls, slot]).astype(np.float32))
+        bad = np.empty((n, NOISE), np.float32)
+        for c in held:
+            bad[edge[c]:edge[c + 1]] = q[edge[c]:edge[c + 1]] @ other[c].T
+        shift = np.log(NOISE * np.take_along_axis(self.slot_share, noise, axis=1)).astype(np.float32)
+        bad = _sigmoid(bad - shift[cls])
+        dq += good[:, None] * own
         slot_grad = np.zeros_like(p.slots)
-        for c in range(SIDE):
-            at = order[edge[c]:edge[c + 1]]
-            if len(at):
-                noise = np.minimum(np.searchsorted(self.slot_cum[c], draws[c]), SIDE - 1)
-                d, slot_grad[c] = self._contrast(q[at], np.arange(len(at)), slot[at], p.slots[c], noise, self.slot_share[c])
-                dq[at] += d
-        dq = dq[:, :DIM] / n
+        flat = slot_grad.reshape(SIDE * SIDE, DIM + 1)
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        flat[place[first]] = np.add.reduceat(good[:, None] * q, first, axis=0)
+        for c in held:
+            part = slice(edge[c], edge[c + 1])
+            dq[part] -= bad[part] @ other[c]
+            np.subtract.at(flat, c * SIDE + noise[c], bad[part].T @ q[part])
+
+        dq = dq[:, :DIM]
+        place_grad = np.einsum("nd,ncd->cd", dq, seen)
+        sym = ctx.ravel()
+        order = np.argsort(sym.astype(np.int16), kind="stable")
+        first = np.flatnonzero(np.r_[True, sym[order][1:] != sym[order][:-1]])
         context_grad = np.zeros_like(p.context)
-        place_grad = np.empty_like(p.place)
-        order = np.argsort(ctx.T.ravel(), kind="stable")
-        sym = ctx.T.ravel()[order]
-        first = np.flatnonzero(np.r_[True, sym[1:] != sym[:-1]])
-        parts = np.concatenate([dq * p.place[j] for j in range(CONTEXT)])
-        context_grad[sym[first]] = np.add.reduceat(parts[order], first, axis=0)
-        for j in range(CONTEXT):
-            place_grad[j] = (dq * p.context[ctx[:, j]]).sum(0)
-        for key, g in (("classes", grad), ("slots", slot_grad), ("context", context_grad), ("place", place_grad)):
+        parts = (dq[:, None, :] * p.place).reshape(-1, DIM)
+        context_grad[sym[order][first]] = np.add.reduceat(parts[order], first, axis=0)
+        for key, g in (("classes", class_grad), ("slots", slot_grad), ("context", context_grad), ("place", place_grad)):
             self._apply(key, g)
         self.steps += 1
 
@@ -241,8 +253,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
-    """Totals of all counts, and the most frequent words with theirs."""
-    top = counts.orderBy(F.desc("c"), "word").limit(NEAR_COUNTS).toPandas()
+    """Totals of all counts, and the most frequent words with theirs: all above the count where they stay below NEAR_COUNTS."""
+    level = F.floor(F.log2("c") * 64)
+    steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    lowest, held = 1 << 20, 0
+    for r in steps:
+        held += r.n
+        if held > NEAR_COUNTS:
+            break
+        lowest = r.level
+    top = counts.where(level >= lowest).toPandas().sort_values(["c", "word"], ascending=[False, True])
     tot = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tails = {r.tail: r for r in counts.groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     n = np.array([tails[t].n if t in tails else 0 for t in range(TAILS)], np.int64)
