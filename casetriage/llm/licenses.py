@@ -76,10 +76,11 @@ def with_canonical(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, license): the canonical digests of the known texts."""
+    """(digest, license, size): the canonical digests of the known texts and their lengths."""
     rows = [(k, t) for k, texts in (known or KNOWN).items() for t in texts]
     texts = with_canonical(spark.createDataFrame(rows, "license string, text string"), "text")
-    return texts.groupBy(F.sha2("canonical", 256).alias("digest")).agg(F.min("license").alias("license"))
+    return texts.groupBy(F.sha2("canonical", 256).alias("digest")).agg(F.min("license").alias("license"),
+                                                                           F.first(F.length("canonical")).alias("size"))
 
 
 def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,16 +95,17 @@ def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None, id
     """
     spark = docs.sparkSession
     known_df = known_digests(spark, known)
+    sizes = [r["size"] for r in known_df.select("size").distinct().collect()]  # of the fixed list
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
-    canon = with_canonical(docs, "text").select("doc_id", "th", "lines", "canonical")
-    whole = canon.select("doc_id", "th", F.when(F.col("canonical") != "", F.sha2("canonical", 256)).alias("digest"))
-    whole = whole.join(F.broadcast(known_df), "digest", "left").select("doc_id", "th", "license")
-    lines = canon.select("doc_id", "th", F.posexplode("lines").alias("i", "line"))
-    found = lines.withColumn("digest", F.sha2("line", 256)).join(F.broadcast(known_df), "digest").select(
-        F.col("doc_id").alias("d"), F.col("th").alias("t"), "i", F.col("license").alias("found")).distinct()
-    found = found.groupBy("d", "t").agg(F.count("*").alias("n"), F.collect_set("found").alias("found"))
-    out = whole.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")), "left")
-    names = F.array_union(F.coalesce("found", F.array().cast("array<string>")),
-                          F.when(F.col("license").isNotNull(), F.array("license")).otherwise(F.array().cast("array<string>")))
-    return out.select("doc_id", "license", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"),
-                      F.array_join(F.sort_array(names), ",").alias("licenses"))
+    # one unit for the whole text, and one for each line as long as a known text (others can't be one)
+    lines = F.filter("lines", lambda x: F.length(x).isin(sizes))
+    units = with_canonical(docs, "text").select("doc_id", "th", F.posexplode(F.concat(F.array("canonical"), lines)).alias("i", "unit"))
+    units = units.withColumn("digest", F.when(F.length("unit").isin(sizes), F.sha2("unit", 256)))
+    found = units.join(F.broadcast(known_df.select("digest", "license")), "digest", "left").where("i = 0 or license is not null")
+    whole = F.col("i") == 0
+    per = found.groupBy("doc_id", "th").agg(
+        F.count_if(whole).alias("rows"), F.max(F.when(whole, F.col("license"))).alias("license"), F.count_if(~whole).alias("n"),
+        F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"))
+    # equal rows were counted together
+    return per.select("doc_id", "license", (F.col("n") / F.col("rows")).cast("long").alias("n_lines"), "licenses",
+                      F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("row")).drop("row")
