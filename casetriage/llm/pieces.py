@@ -25,6 +25,9 @@ MARK = "▁"
 CACHE, CHUNK = 300_000, 1 << 20
 
 
+_NONE = float("-inf")  # score of two symbols that don't merge
+
+
 class PieceCodec:
     """Encoder and decoder of one vocabulary file (the library only reads the file's pieces and scores)."""
 
@@ -54,52 +57,54 @@ class PieceCodec:
 
     def merged(self, text: str) -> list[str]:
         """The merge rule itself, for pairs of pieces: the best-scored neighbours join first, the leftmost on ties."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        score, parts = self.score.get, list(text)
+        pairs = [score(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) != _NONE:
+            i = pairs.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], _NONE)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], _NONE)
+        return parts
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether merging both texts again gives these two pieces (``left`` empty: the first piece)."""
         key = (left, right)
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) >= 4 * CACHE:
+            if len(self.pairs) >= CACHE:
                 self.pairs.clear()
             got = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return got
 
     def pieces(self, segment: str) -> list[str]:
-        lengths: list[list[int]] = [[] for _ in segment]
+        end, ids, known = len(segment), self.ids, self.pairs
+        longest = [1] * end  # a character outside the vocabulary is a symbol of its own
         for last, n in self.finder.iter(segment):
-            lengths[last - n + 1].append(n)  # by rising length
-        for i, x in enumerate(lengths):
-            if not x or x[0] != 1:
-                x.insert(0, 1)  # a character outside the vocabulary is a symbol of its own
-        open_ = bytearray(b"\x01" * (len(segment) + 1))
+            longest[last - n + 1] = n  # the matches of one start come by rising length
+        open_ = bytearray(b"\x01" * (end + 1))
         out: list[str] = []
-        rank: list[int] = []  # which of its lengths each piece has
-        pos, k = 0, len(lengths[0]) - 1
-        while pos < len(segment):
-            if k >= 0:
-                n = lengths[pos][k]
-                if open_[pos + n] and self.compatible(out[-1] if out else "", segment[pos:pos + n]):
-                    out.append(segment[pos:pos + n])
-                    rank.append(k)
-                    pos += n
-                    k = len(lengths[pos]) - 1 if pos < len(segment) else -1
-                else:
-                    k -= 1
+        left, pos, n = "", 0, longest[0]
+        while pos < end:
+            if n:
+                piece = segment[pos:pos + n]
+                if open_[pos + n]:
+                    fits = known.get((left, piece))
+                    if self.compatible(left, piece) if fits is None else fits:
+                        out.append(piece)
+                        left, pos = piece, pos + n
+                        n = longest[pos] if pos < end else 0
+                        continue
             else:  # nothing leads on from here: give back the last piece and try a shorter one
                 open_[pos] = 0
-                pos -= len(out.pop())
-                k = rank.pop() - 1
+                n = len(out.pop())
+                pos -= n
+                left = out[-1] if out else ""
+            n -= 1
+            while n > 1 and segment[pos:pos + n] not in ids:
+                n -= 1
         return out
 
     def encode_segment(self, segment: str) -> list[int]:
