@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Words of the unigram model, and hashed features of the naive Bayes model (fixed model sizes).
 WORDS, FEATURES = 50_000, 1 << 16
 #: Longest word looked for; names whose splits a task keeps.
@@ -128,11 +130,18 @@ class Bayes:
 
 
 def word_model(pages: DataFrame, html_col: str, words: int = WORDS) -> Segmenter:
-    """Unigram counts of the words in all pages' text outside of tags; the ``words`` most frequent."""
+    """Unigram counts of the words in all pages' text outside of tags; at most ``words`` of the most frequent."""
     text = F.translate(F.regexp_replace(F.col(html_col), "<[^>]*>", " "), UPPER, LOWER)
     found = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), 0)).alias("w")).where(F.length("w") <= LONGEST)
-    top = found.groupBy("w").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").limit(words)
-    counts = {r.w: r.c for r in top.collect()}
+    found = written(pages.sparkSession, found.groupBy("w").agg(F.count("*").alias("c")), "page-words")
+    # all words above the count where they stay below ``words``: no task sends a list of its own
+    level, held, lowest = F.floor(F.log2("c") * 64), 0, 1 << 20
+    for r in found.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        held += r.n
+        if held > words:
+            break
+        lowest = r.level
+    counts = {r.w: r.c for r in found.where(level >= lowest).collect()}
     return Segmenter(counts | {w: max(counts.get(w, 0), SEEN) for w in BLOCK_WORDS})
 
 
