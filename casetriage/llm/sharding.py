@@ -8,6 +8,8 @@ each shard.  So the packing itself handles a bounded list, whatever the input.
 
 from __future__ import annotations
 
+from heapq import heapify, heapreplace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,11 +100,43 @@ def best_fit_decreasing(items: list[tuple[int, object]], capacity: int, most: in
     return out
 
 
+def least_full_first(items: list[tuple[int, object]], bins: int) -> dict:
+    """item -> bin: by falling size, each into the bin that holds least."""
+    loads, out = [(0, i) for i in range(bins)], {}
+    heapify(loads)
+    for size, item in sorted(items, key=lambda x: (-x[0], str(x[1]))):
+        held, out[item] = loads[0]
+        heapreplace(loads, (held + size, out[item]))
+    return out
+
+
 def packed(items: list[tuple[int, object]], bins: int) -> dict:
-    """Packing into at most ``bins`` bins of the smallest fixed capacity found by bisection."""
+    """Packing into at most ``bins`` bins of near equal size.
+
+    Best fit with the smallest fixed capacity found by bisection, where an
+    item above the capacity has a bin alone and the others share the rest; or,
+    if items are so large that best fit leaves bins emptier, least full first.
+    """
+    def loads(place: dict) -> list[int]:
+        out = [0] * bins
+        for size, item in items:
+            out[place[item]] += size
+        return out
+
+    best, even = _best_fit_of_smallest(items, bins), least_full_first(items, bins)
+    b, e = loads(best), loads(even)
+    return even if 100 * min(e) > 102 * min(b) and max(e) <= max(b) else best
+
+
+def _best_fit_of_smallest(items: list[tuple[int, object]], bins: int) -> dict:
     total = sum(s for s, _ in items)
-    low, high, best = max(-(-total // bins), 1), max(total, 1), None
-    low = max(low, max((s for s, _ in items), default=1))
+    # what the bins need at least: the mean that is left beside items above it, each alone
+    rest, left = total, bins
+    for size in sorted((s for s, _ in items), reverse=True):
+        if left == 1 or size * left <= rest:
+            break
+        rest, left = rest - size, left - 1
+    low, high, best = max(-(-rest // left), 1), max(total, 1), None
     while best is None or high - low > max(1, low // 2000):
         mid = low if best is None and high > low else (low + high) // 2
         got = best_fit_decreasing(items, mid, bins)
@@ -120,10 +154,11 @@ def shard_documents(docs: DataFrame, shards: int | None = None, capacity: int |
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard and slot of every document; equal texts share a shard.
 
-    With ``shards`` the capacity is the smallest that packs into that many;
-    with ``capacity`` (bytes) the number of shards is what best fit takes.
-    Returns (doc_id, size, text_crc32, shard, slot), one row per row of
-    ``docs``.  size is the text's UTF-8 bytes plus 8; a null text has none, and
+    With ``shards`` their bytes are as near equal as whole groups allow: a
+    group above the mean of the others has a shard alone, and the rest is
+    spread evenly over the other shards.  With ``capacity`` (bytes) the number
+    of shards is what best fit takes.  Returns (doc_id, size, text_crc32,
+    shard, slot), one row per row of ``docs``.  size is the text's UTF-8 bytes plus 8; a null text has none, and
     the crc32 of no bytes (it is one group with empty texts).  Slots run from 0
     without gaps; null ids come first, equal rows in any order.  A group above
     the capacity has a shard alone.  Other columns are not looked at.

@@ -70,6 +70,44 @@ def test_law_of_equal_bytes(spark):
     assert max(total.values()) <= max(1.02 * mean, max(largest.values()))
 
 
+def loads(items, place, bins=24):
+    out = [0] * bins
+    for size, item in items:
+        out[place[item]] += size
+    return sorted(out)
+
+
+@pytest.mark.parametrize("big", [[1 / 3], [2 / 24], [0.9], [0.3, 0.2, 0.1], [1.2 / 24]])
+def test_bins_beside_groups_above_the_mean_are_near_equal(big):
+    rng = random.Random(3)
+    small = [(rng.randint(1, 50), i) for i in range(5000)]
+    rest = sum(s for s, _ in small)
+    items = small + [(int(rest / (1 - sum(big)) * b), f"big{i}") for i, b in enumerate(big)]
+    got, mean = loads(items, packed(items, 24)), rest / (24 - len(big))
+    assert got[-len(big):] == sorted(s for s, _ in items[len(small):])
+    assert 0.98 * mean <= got[0] and got[-len(big) - 1] <= 1.02 * mean
+
+
+def test_large_equal_groups_leave_no_bin_empty():
+    items = [(100, i) for i in range(30)]
+    assert loads(items, packed(items, 24)) == [100] * 18 + [200] * 6
+    assert loads([(5, "a")], packed([(5, "a")], 24)) == [0] * 23 + [5]
+
+
+def test_a_group_of_a_third_of_the_bytes_has_a_shard_alone(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    copies = docs.selectExpr("sum(octet_length(text) + 8) as b").first().b // 2 // 1008
+    hot = spark.range(copies).selectExpr("-1 - id as doc_id", "repeat('hot copies', 100) as text")
+    shards, of = defaultdict(int), set()
+    for r in shard_documents(docs.union(hot), shards=24).collect():
+        shards[r.shard] += r["size"]
+        if r.doc_id < 0:
+            of.add(r.shard)
+    assert len(of) == 1 and len(shards) == 24 and shards.pop(of.pop()) == copies * 1008
+    mean = sum(shards.values()) / 23
+    assert 0.98 * mean <= min(shards.values()) and max(shards.values()) <= 1.02 * mean
+
+
 def test_fixed_capacity_and_edge_rows(spark):
     rows = shard_documents(documents(spark), capacity=2_000_000).collect()
     assert len(rows) == 13
