@@ -1,8 +1,9 @@
 import math
 
 import numpy as np
+import pytest
 from casetriage.llm.queries import URL_RULES, op10_url_filter
-from casetriage.llm.urls import BLOCK_WORDS, SEEN, Rule, Segmenter, feature, filter_urls
+from casetriage.llm.urls import BLOCK_WORDS, SEEN, Rule, Segmenter, feature, filter_urls, split_names, word_counts, word_model
 
 from edge import SF_SMALL
 
@@ -89,6 +90,31 @@ def test_viterbi_finds_the_cheapest_split():
         assert abs(cost(s.split(t)) - min(cost(p) for p in all_splits(t))) < 1e-9
 
 
+def test_all_words_count_however_many_there_are(spark):
+    # 60,000 other words are as frequent as the two in the name, or more
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(60_000)]
+    html = [" ".join(words[i:i + 500] * 3) for i in range(0, len(words), 500)] + ["grünerwald meerblick " * 2]
+    rows = [(i, f"http://grünerwaldmeerblick.a{i}.net/x{i}", h) for i, h in enumerate(html)]
+    counts = word_counts(spark.createDataFrame(rows, "page_id long, url string, html string"), "html")
+    names = spark.createDataFrame([("grünerwaldmeerblick",), ("#4",), ("qqq",)], "name string")
+    got = {r.name: r.parts for r in split_names(names, counts).collect()}
+    assert got == {"grünerwaldmeerblick": ["grünerwald", "meerblick"], "#4": ["#4"], "qqq": got["qqq"]}
+    whole = word_model(spark.createDataFrame(rows, "page_id long, url string, html string"), "html")
+    assert {w: -math.log(2 / (60_000 * 3 + 4 + SEEN * len(BLOCK_WORDS) + 1 - sum(3 for w in BLOCK_WORDS if w in words)))
+            for w in ("grünerwald", "meerblick")}.items() <= whole.cost.items()
+    assert got["qqq"] == list(whole.split("qqq"))
+
+
+@pytest.mark.parametrize("frequent", [0, 5, 40])
+def test_joined_names_have_the_same_odds(spark, frequent):
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("page_id", "url", "html")
+    pages = pages.union(table(spark, URLS).selectExpr("-1 - page_id", "url", "html"))
+    want = {r.page_id: r for r in filter_urls(pages, URL_RULES).collect()}
+    got = filter_urls(pages, URL_RULES, frequent=frequent).collect()
+    assert len(got) == len(want) == pages.count()
+    assert all(r == want[r.page_id] for r in got)
+
+
 def test_one_kind_of_rule_or_none_and_empty_table(spark):
     t = table(spark, URLS)
     assert {r.verdict for r in filter_urls(t, [Rule("allow", "com", "/")]).collect()} == {"allow"}
