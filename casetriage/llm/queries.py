@@ -15,8 +15,10 @@ from .jaccard import jaccard_components
 from .langid import identify_languages
 from .licenses import scan_licenses
 from .lm import score_documents
+from .manifest import ABC, abc, merkle_manifest
 from .pieces import encode_documents
 from .sharding import shard_documents
+from .simhash import simhash_components
 from .topk import top_k
 from .urls import Rule, filter_urls
 from .warc_zip import round_trip
@@ -93,7 +95,20 @@ def op10_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return filter_urls(_table(spark, d, "pages"), URL_RULES)
 
 
+def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Merkle leaves, roots and proofs of all documents, checked against texts of which a third was lower-cased since."""
+    return merkle_manifest(_table(spark, d, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang",
+                           changed={"text": F.translate("text", ABC, abc)},
+                           where=F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False)))
+
+
+def op13_simhash(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of all documents over 3-word shingles, and components of those within two bits."""
+    return simhash_components(_table(spark, d, "documents"), words=3)
+
+
 QUERIES = {f.__name__: f for f in (op1_lm_score, op2_topk_search, op3_ngram_jaccard, op4_license_scan, op5_sentencepiece,
-                                   op6_warc_zip, op7_bin_packing, op8_language_id, op9_decontamination, op10_url_filter)}
+                                   op6_warc_zip, op7_bin_packing, op8_language_id, op9_decontamination, op10_url_filter,
+                                   op11_merkle_manifest, op13_simhash)}
 
 from .oracle import ORACLE  # noqa: E402,F401  (their SQL)
