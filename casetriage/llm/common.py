@@ -151,14 +151,14 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int, parts: int = 256) -> DataFrame:
-    """Left join with ``right``, which has one row a key and in ``rows`` the number of left rows that hold the key.
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, parts: int = 256) -> DataFrame:
+    """Left join with ``right``, which has one row a key and in ``weight`` what bounds the left rows that hold the key.
 
-    Keys with at least 1/``parts`` of the ``total`` left rows, of which there can be no more than ``parts``,
-    go to every task; all other keys are small and are shuffled.
+    Weights add up to ``total`` (or a small multiple).  So no more than ``parts`` keys (or that multiple) have at
+    least 1/``parts`` of it: those go to every task; all other keys are small and are shuffled.
     """
-    hot = F.broadcast(right.where(F.col(rows) * parts >= total).drop(rows))
-    rest = right.where(F.col(rows) * parts < total).drop(rows)
+    hot = F.broadcast(right.where(F.col(weight) * parts >= total).drop(weight))
+    rest = right.where(F.col(weight) * parts < total).drop(weight)
     cold = left.join(hot.select(*on), on, "left_anti").join(rest, on, "left")
     return left.join(hot, on).unionByName(cold)
 

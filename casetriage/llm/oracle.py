@@ -88,3 +88,57 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(
 FROM h JOIN l USING (hex)
 """
 
+ORACLE["op12_collocations"] = f"""
+WITH p AS (SELECT row_number() OVER () AS r, lang, s FROM
+  (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {ABC}), '[.,;:!?\\x0A-\\x0D]')) AS s FROM documents)),
+t AS (SELECT r, lang, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT r, lang, regexp_extract_all(s, '[^\\x20\\x09]+') AS w FROM p)),
+g AS (SELECT lang, w, lead(w, 1) OVER x AS w2, lead(w, 2) OVER x AS w3, lead(w, 3) OVER x AS w4, lead(w, 4) OVER x AS w5
+  FROM t WINDOW x AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT lang, 1 AS m, w AS phrase, count(*) AS a FROM g GROUP BY ALL
+  UNION ALL SELECT lang, 2, w || ' ' || w2 AS phrase, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 AS phrase, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 AS phrase, count(*) FROM g WHERE w4 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 5, w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 AS phrase, count(*) FROM g WHERE w5 IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+h AS MATERIALIZED (SELECT * FROM f WHERE a >= 100),
+c AS (SELECT * FROM h WHERE m > 1),
+k AS (SELECT c.*, k, string_split(phrase, ' ') AS w FROM c, (VALUES (1), (2), (3), (4)) t(k) WHERE k < m),
+s AS (SELECT k.lang, k.phrase, k.m, k.a, k.k, x.a AS l, y.a AS r, n.n,
+    CAST((CAST(1000 AS HUGEINT) * k.a * n.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM k JOIN h x ON x.lang = k.lang AND x.phrase = array_to_string(list_slice(k.w, 1, k.k), ' ')
+  JOIN h y ON y.lang = k.lang AND y.phrase = array_to_string(list_slice(k.w, k.k + 1, k.m), ' ') JOIN n ON n.lang = k.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS j FROM s),
+d AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c x ON x.lang = c.lang AND x.m > c.m AND x.a >= c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' ')),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN d ON d.lang = b.lang AND d.phrase = b.phrase WHERE j = 1 AND d.phrase IS NULL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
+_PART = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+_HEAD = " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || "
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+_UP = "SELECT tree, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, max(pos) OVER (PARTITION BY tree) AS last FROM {}) WHERE last > 0 GROUP BY tree, lvl, pos // 8"
+_BESIDE = "coalesce(string_agg(h, '') OVER (PARTITION BY tree, lvl, pos // 8 ORDER BY pos ROWS BETWEEN {} ), '')"
+_SIBLINGS = f"""SELECT tree, lvl, pos, {_BESIDE.format('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS before, {_BESIDE.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS after
+  FROM (SELECT *, max(pos) OVER (PARTITION BY tree, lvl) AS last FROM {{}}) WHERE last > 0"""
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS tree, sha256({_HEAD}{_PART.format('text')}) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN sha256({_HEAD}{_PART.format(f"translate(text, {ABC})")}) END AS other FROM documents),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+n(tree, lvl, pos, h) AS (SELECT tree, 0, pos, leaf FROM l UNION ALL ({_UP.format('n')})),
+s AS MATERIALIZED (SELECT tree, max_by(h, lvl) AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM n GROUP BY tree),
+u(tree, lvl, pos, h) AS (SELECT '', 0, pos, subroot FROM s UNION ALL ({_UP.format('u')})),
+b AS MATERIALIZED ({_SIBLINGS.format('n')}),
+c AS MATERIALIZED ({_SIBLINGS.format('u')}),
+p AS MATERIALIZED (SELECT r, lvl, before, after FROM l JOIN b ON b.tree = l.tree AND b.pos = l.pos // CAST(pow(8, b.lvl) AS BIGINT)
+  UNION ALL SELECT r, 1000 + c.lvl, before, after FROM l JOIN s ON s.tree = l.tree JOIN c ON c.pos = s.pos // CAST(pow(8, c.lvl) AS BIGINT)),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl) AS step FROM p),
+f(r, step, h) AS (SELECT r, 0, coalesce(other, leaf) FROM l UNION ALL SELECT f.r, f.step + 1, sha256(before || h || after) FROM f JOIN o ON o.r = f.r AND o.step = f.step + 1),
+e AS (SELECT r, max_by(h, step) AS folded_root FROM f GROUP BY r),
+q AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM o GROUP BY r),
+t AS (SELECT max_by(h, lvl) AS root FROM u)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN s ON s.tree = l.tree JOIN e ON e.r = l.r LEFT JOIN q ON q.r = l.r, t
+"""

@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import mine_phrases
 from .common import crc_of_id
 from .decontaminate import decontaminate
 from .jaccard import jaccard_components
@@ -102,6 +103,11 @@ def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
                            where=F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False)))
 
 
+def op12_collocations(spark: SparkSession, d: str) -> DataFrame:
+    """The 2,000 best phrases of 2 to 5 words of each language, of those with 100 places or more."""
+    return mine_phrases(_table(spark, d, "documents"), least=100, top=2000)
+
+
 def op13_simhash(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of all documents over 3-word shingles, and components of those within two bits."""
     return simhash_components(_table(spark, d, "documents"), words=3)
@@ -109,6 +115,6 @@ def op13_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_lm_score, op2_topk_search, op3_ngram_jaccard, op4_license_scan, op5_sentencepiece,
                                    op6_warc_zip, op7_bin_packing, op8_language_id, op9_decontamination, op10_url_filter,
-                                   op11_merkle_manifest, op13_simhash)}
+                                   op11_merkle_manifest, op12_collocations, op13_simhash)}
 
 from .oracle import ORACLE  # noqa: E402,F401  (their SQL)

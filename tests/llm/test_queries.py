@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_all_are_registered():
     names = E.queries()
-    assert [n for i in range(1, 11) for n in names if n.startswith(f"op{i}_")] == list(QUERIES) and "pipeline" in names
+    assert [n for i in range(1, 14) for n in names if n.startswith(f"op{i}_")] == list(QUERIES) and "pipeline" in names
     assert set(ORACLE) <= set(E.oracle_sql())
 
 
