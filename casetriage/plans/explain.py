@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def explain_frame(df: DataFrame, ex: L.LinearExplainer, slots: dict[str, list[in
 
 # ------------------------------------------------------------ frozen ----
 
-FROZEN_TOKENS = 20
+FROZEN_TOKENS = 500  # the vocabulary of E1: unigrams and bigrams of two documents or more
 FROZEN_BACKGROUND = 64  # power of two: every phi and sum is exact, engine-independent
 
 
@@ -98,11 +99,9 @@ def frozen_model(spark: SparkSession, sf_dir: str, groups: dict = FIXTURE_GROUPS
     # several fitting passes (tokens, categories, bins, background) re-read
     # the joined cases: keep them once (spills to disk, recomputed on loss)
     cases = view(spark, sf_dir, "cases").persist(StorageLevel.MEMORY_AND_DISK)
-    stats = FE.term_stats(cases, "case_id", "case_summary", max_n=1)
-    toks = [r["term"] for r in stats.orderBy(F.desc("tf"), "term").limit(FROZEN_TOKENS).collect()]
-    toks = sorted(toks)
+    stats = FE.select_vocabulary(FE.term_stats(cases), 2, FROZEN_TOKENS)
+    toks = sorted(r["term"] for r in stats.select("term").collect())
     cat_cols = ["channel", "case_type", "category", "plan_tier"]
-    # category sets are size-checked (HyperLogLog) before they are collected
     _, cats_row = FE.fit_modes_and_categories(cases, cat_cols, impute=False)
     edges = FE.quantile_edges(cases, FE.TENURE_COL, 5)
     names = [{"block": "text", "source_col": "case_summary", "name": t} for t in toks]
@@ -112,20 +111,18 @@ def frozen_model(spark: SparkSession, sf_dir: str, groups: dict = FIXTURE_GROUPS
               for k in range(len(edges) + 1)]
     for i, n in enumerate(names):
         n["idx"] = i
-    tok_arr = F.col("_toks")  # tokenised once per row
-    b = F.col("_bin")
-    xs = []
-    for n in names:
-        if n["block"] == "text":
-            xs.append(F.array_contains(tok_arr, n["name"]))
-        elif n["block"] == "cat":
-            xs.append(F.coalesce(F.col(n["source_col"]) == n["v"], F.lit(False)))
-        else:
-            xs.append(F.coalesce(b == n["v"], F.lit(False)))
+    # the text slots are one lookup of each gram in the vocabulary (0 / 1)
+    terms = CountVectorizerModel.from_vocabulary(toks, inputCol="_grams", outputCol="_terms").setBinary(True) if toks else None
+    tabular = [F.coalesce((F.col("_bin") if n["block"] == "tenure" else F.col(n["source_col"])) == n["v"], F.lit(False))
+               for n in names if n["block"] != "text"]
+
     def featurise(df: DataFrame) -> DataFrame:
-        return (df.withColumn("_toks", FE.tokens("case_summary"))
-                .withColumn("_bin", FE.bin_index(FE.TENURE_COL, edges))
-                .withColumn("x", F.array(*[x.cast("double") for x in xs])).drop("_toks", "_bin"))
+        df = df.withColumn("_toks", FE.tokens("case_summary")).withColumn("_grams", FE.with_ngrams(F.col("_toks")))
+        df = df.withColumn("_bin", FE.bin_index(FE.TENURE_COL, edges))
+        text = vector_to_array("_terms") if terms else F.array().cast("array<double>")
+        df = terms.transform(df) if terms else df
+        return (df.withColumn("x", F.concat(text, F.array(*[x.cast("double") for x in tabular])))
+                .drop("_toks", "_grams", "_terms", "_bin"))
     feats = featurise(cases)
     W = [[frozen_coef(n["name"], n["idx"], c) for n in names] for c in range(4)]
     bvec = [frozen_intercept(c) for c in range(4)]

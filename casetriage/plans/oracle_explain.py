@@ -1,6 +1,6 @@
 """Oracle SQL (DuckDB) for the explanation queries over the frozen model.
 
-The frozen model is restated from scratch in SQL: top-20 tokens, category
+The frozen model is restated from scratch in SQL: top-500 terms (words and word pairs), category
 and tenure-bin slots, a 64-row hashed background, coefficients
 (((len(name)*7 + 3c + slot) mod 11) - 5)/16 and intercepts (c - 1.5)/8.
 """
@@ -58,8 +58,9 @@ def explanation_expr(feature: str, value: str) -> str:
 
 FROZEN = _tenure_edges_cte() + f""",
 tok AS (SELECT case_id, regexp_extract_all(lower(coalesce(case_summary, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS toks FROM cases),
-utf AS (SELECT term, count(*) AS tf FROM (SELECT unnest(toks) AS term FROM tok) u GROUP BY term),
-vocab AS (SELECT term FROM utf ORDER BY tf DESC, term ASC LIMIT 20),
+gram AS (SELECT case_id, unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))) AS term FROM tok),
+utf AS (SELECT term, count(*) AS tf FROM gram GROUP BY term HAVING count(DISTINCT case_id) >= 2),
+vocab AS (SELECT term FROM utf ORDER BY tf DESC, term ASC LIMIT 500),
 nb AS (SELECT count(*) + 1 AS nbins FROM inner_e),
 slots0 AS (
   SELECT term AS name, 'text' AS block, 'case_summary' AS source_col, 0 AS bo, term AS v FROM vocab
@@ -70,17 +71,18 @@ slots0 AS (
   UNION ALL SELECT 'customer_tenure_months_' || CAST(k AS VARCHAR) || '.0', 'tenure', 'customer_tenure_months', 5,
     CAST(k AS VARCHAR) FROM (SELECT unnest(range(0, (SELECT nbins FROM nb))) AS k) r),
 slots AS (SELECT *, CAST(row_number() OVER (ORDER BY bo, name) - 1 AS INTEGER) AS idx FROM slots0),
-cb AS (SELECT c.*, t.toks, CASE WHEN c.customer_tenure_months IS NULL THEN NULL ELSE
+hit AS (SELECT DISTINCT g.case_id, s.idx FROM gram g JOIN slots s ON s.block = 'text' AND s.v = g.term),
+cb AS (SELECT c.*, CASE WHEN c.customer_tenure_months IS NULL THEN NULL ELSE
          (SELECT count(*) FROM inner_e WHERE inner_e.edge <= c.customer_tenure_months) END AS bin
-       FROM cases c JOIN tok t ON t.case_id = c.case_id),
+       FROM cases c),
 xv AS (SELECT cb.case_id, s.idx, s.name, s.block, s.source_col,
-  CASE WHEN s.block = 'text' THEN (CASE WHEN list_contains(cb.toks, s.v) THEN 1.0E0 ELSE 0.0E0 END)
+  CASE WHEN s.block = 'text' THEN (CASE WHEN h.idx IS NOT NULL THEN 1.0E0 ELSE 0.0E0 END)
        WHEN s.source_col = 'channel' THEN (CASE WHEN cb.channel = s.v THEN 1.0E0 ELSE 0.0E0 END)
        WHEN s.source_col = 'case_type' THEN (CASE WHEN cb.case_type = s.v THEN 1.0E0 ELSE 0.0E0 END)
        WHEN s.source_col = 'category' THEN (CASE WHEN cb.category = s.v THEN 1.0E0 ELSE 0.0E0 END)
        WHEN s.source_col = 'plan_tier' THEN (CASE WHEN cb.plan_tier = s.v THEN 1.0E0 ELSE 0.0E0 END)
        ELSE (CASE WHEN cb.bin = CAST(s.v AS BIGINT) THEN 1.0E0 ELSE 0.0E0 END) END AS x
-  FROM cb, slots s),
+  FROM cb CROSS JOIN slots s LEFT JOIN hit h ON h.case_id = cb.case_id AND h.idx = s.idx),
 bg AS (SELECT case_id FROM cases ORDER BY {HASH.format(k='case_id')}, case_id LIMIT 64),
 mu AS (SELECT x.idx, avg(x.x) AS mu FROM xv x JOIN bg ON bg.case_id = x.case_id GROUP BY x.idx),
 cls AS (SELECT unnest(range(0, 4)) AS c),
@@ -214,7 +216,7 @@ w AS (SELECT case_id, turn, generated_text, priority, list_filter([{spec},
 
 
 ORACLE["shap_linear_frozen"] = frozen_sql(
-    "SELECT case_id, explained_class, name AS feature, round(phi, 9) AS phi FROM phi")
+    "SELECT case_id, explained_class, string_agg(CAST(CAST(phi * 1024 AS BIGINT) AS VARCHAR), ',' ORDER BY idx) AS phi_1024ths FROM phi GROUP BY ALL")
 ORACLE["shap_additivity"] = frozen_sql(
     "SELECT case_id, explained_class, round(base_value, 6) AS base_value, round(margin, 6) AS margin, "
     "round(phi_sum + base_value, 6) AS reconstructed FROM base")

@@ -272,12 +272,10 @@ def _frozen(spark, d):
 
 
 def q_shap_linear_frozen(spark, d):
-    fz, e = _frozen(spark, d)
-    names = const_array([n["name"] for n in fz.names])
-    from ..operators.reshape import explode_array
-    return (explode_array(e, ["case_id", "explained_class"], "phi", "phi", "idx")
-            .select("case_id", "explained_class", names[F.col("idx")].alias("feature"),
-                    F.round("phi", 9).alias("phi")))
+    """The contributions of all slots of a case as one text, in whole 1024ths (the frozen values are exact)."""
+    _, e = _frozen(spark, d)
+    parts = F.transform("phi", lambda v: (v * 1024).cast("long").cast("string"))
+    return e.select("case_id", "explained_class", F.array_join(parts, ",").alias("phi_1024ths"))
 
 
 def q_shap_additivity(spark, d):
