@@ -1,4 +1,4 @@
-"""Explanation operators: Shapley contributions (linear, tree, sampled),
+"""Explanation operators: Shapley contributions (linear, tree, exact coalitions, sampled),
 roll-ups, semantic groups, documents and narratives."""
 
 from __future__ import annotations
@@ -13,5 +13,5 @@ def explainer_kind(model) -> str:
         return "linear"
     if isinstance(model, (DecisionTreeClassificationModel, RandomForestClassificationModel)):
         return "tree"
-    # boosted trees add up weighted margins, not class shares: the tree walk doesn't hold for them
-    return "sampled"
+    # any other classifier is a black box; boosted trees too, as they add up weighted margins, not class shares
+    return "agnostic"

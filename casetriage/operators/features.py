@@ -236,10 +236,19 @@ class FeatureSpace:
     names: list[dict] = field(default_factory=list)   # idx, block, source_col, name
     text: TextModel | None = None
     tabular: TabularModel | None = None
+    block_cols: dict = field(default_factory=dict)    # source column -> its block's vector column
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(df)
 
+    def blocks(self, df: DataFrame) -> DataFrame:
+        """Every block as a vector column of its own, not assembled yet."""
+        return PipelineModel(self.pipeline.stages[:-1]).transform(df)
+
+    def assemble(self, df: DataFrame) -> DataFrame:
+        """The feature vector from the block columns."""
+        return self.pipeline.stages[-1].transform(df)
+
     def names_df(self, spark) -> DataFrame:
         return spark.createDataFrame(
             [(n["idx"], n["block"], n["source_col"], n["name"]) for n in self.names],
@@ -327,7 +336,8 @@ def fit_features(train: DataFrame, key: str = "case_id", text_col: str | None =
     model = Pipeline(stages=stages).fit(train)
     for i, n in enumerate(names):
         n["idx"] = i
-    return FeatureSpace(model, names, text, TabularModel(modes, cats, edges))
+    sources = ([text_col] if text_col else []) + list(cat_cols) + ([tenure_col] if tenure_col else [])
+    return FeatureSpace(model, names, text, TabularModel(modes, cats, edges), dict(zip(sources, blocks)))
 
 
 def _sql_lit(v) -> str:

@@ -143,9 +143,10 @@ def frozen_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ LR ----
 
 _LR_EXPLAINERS: dict = {}
+BACKGROUND = 100  # fixed value: background rows of an explainer
 
 
-def lr_explainer(spark: SparkSession, sf_dir: str, background_n: int = 100,
+def lr_explainer(spark: SparkSession, sf_dir: str, background_n: int = BACKGROUND,
                  groups: dict = SEMANTIC_GROUPS):
     """The fitted LR with its explainer (background mean over a hash-chosen
     sample of the training rows) and semantic slot map; memoised with the
@@ -173,16 +174,16 @@ def explain_batch_lr(spark: SparkSession, sf_dir: str, which=("test", "new"),
 
 def explain_any(spark: SparkSession, t, rows: DataFrame, scratch: str) -> DataFrame:
     """I4: pick the explainer from the model class -- linear Shapley for
-    LR, Tree SHAP for trees / forests, sampled Shapley otherwise -- and
+    LR, Tree SHAP for trees / forests, exact coalitions otherwise -- and
     return (case_id, explainer, phi-sum check columns)."""
     from ..operators import models as M
     from ..operators.explain import explainer_kind
-    from ..operators.explain.sampled import shap_sampled
+    from ..operators.explain.coalition import shap_coalitions
     from ..operators.explain.tree import shap_tree
     kind = explainer_kind(t.model)
     scored = M.score(t.model, rows, t.space)
     if kind == "linear":
-        bg = R.sample_n(t.train, 100)
+        bg = R.sample_n(t.train, BACKGROUND)
         ex = L.from_lr(t.model, t.space.names, bg)
         e = L.shap_linear(scored, ex, "features", "predicted_priority")
         total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
@@ -193,8 +194,8 @@ def explain_any(spark: SparkSession, t, rows: DataFrame, scratch: str) -> DataFr
         total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
         return s.select("case_id", F.lit(kind).alias("explainer"), "base_value",
                         (F.col("base_value") + total).alias("reconstructed"), "fx")
-    bg = R.sample_n(t.data.filter(F.col("split") == "train"), 32)
-    s = shap_sampled(scored, bg, lambda df: t.model.transform(t.space.transform(df)))
+    bg = R.sample_n(t.data.filter(F.col("split") == "train"), BACKGROUND)
+    s = shap_coalitions(scored, bg, t.space, t.model)
     return (s.groupBy("case_id").agg(F.first("base_value").alias("base_value"),
                                      (F.first("base_value") + F.sum("phi")).alias("reconstructed"),
                                      F.first("fx").alias("fx"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import PRIORITY_LEVELS
 from .oracle import ORACLE, _cte, _split_sql
-from .queries import (QUERIES, SMALL_DT, SMALL_RF, SOURCE_FEATURES, _scored, _triage, q_explain_batch_lr, q_explain_dispatch, q_model_roundtrip,
-                      q_score_all, q_shap_sampled, q_shap_tree, q_stream_scored, q_tune_dt, q_variant_b_scored)
+from ..operators.tuning import DT_SPACE
+from .queries import (QUERIES, RF, SOURCE_FEATURES, TRIALS, _dt_trials, _scored, _triage, q_dt_scored, q_explain_batch_lr, q_explain_dispatch,
+                      q_model_roundtrip, q_score_all, q_shap_coalitions, q_shap_sampled, q_shap_tree, q_stream_scored, q_variant_b_scored)
 
 EPS = 1e-9
 
@@ -77,14 +78,28 @@ def q_stream_facts(spark, d):
     return q_stream_scored(spark, d).join(batch, "case_id").select("case_id", F.col("version").cast("int"), same.alias("as_batch"))
 
 
+def q_shap_coalitions_facts(spark, d):
+    s = q_shap_coalitions(spark, d).groupBy("case_id").agg(
+        F.count("*").alias("n_features"), F.sum("phi").alias("phi"), F.first("base_value").alias("b"), F.first("fx").alias("fx"))
+    own = _scored(spark, d, "lr", ("test",)).select("case_id", "confidence")
+    return s.join(own, "case_id").select("case_id", "n_features", (F.abs(F.col("b") + F.col("phi") - F.col("fx")) < EPS).alias("additive"),
+                                         (F.abs(F.col("fx") - F.col("confidence")) < EPS).alias("is_model_prob"))
+
+
 def q_tune_facts(spark, d):
-    return q_tune_dt(spark, d).select("trial", F.col("mean_macro_f1").between(0, 1).alias("f1_ok"))
+    """Every trial lies in the search ranges, no two are alike, and its score is between a constant answer's and 1."""
+    trials = _dt_trials(spark, d)
+    rows = []
+    for i, (p, f1) in enumerate(trials):
+        inside = all(p[n] in r if isinstance(r, list) else r[0] <= p[n] <= r[1] for n, r in DT_SPACE.items() if n != "weightCol")
+        rows.append((i, inside, sum(q == p for q, _ in trials) == 1, bool(0 < f1 <= 1)))
+    return spark.createDataFrame(rows, "trial int, in_ranges boolean, different boolean, f1_ok boolean")
 
 
 def q_gradient_facts(spark, d):
     """Importances: all features of the forest, none negative, with the sum of 1; coefficients: all finite."""
     from ..operators import models as M
-    lr, rf = _triage(spark, d, "lr"), _triage(spark, d, "rf", **SMALL_RF)
+    lr, rf = _triage(spark, d, "lr"), _triage(spark, d, "rf", **RF)
     imp = M.tree_importance(spark, rf.model, rf.space, None).agg(
         F.lit("importance").alias("what"), ((F.abs(F.sum("importance") - 1) < EPS) & (F.min("importance") >= 0)).alias("ok"))
     co = M.coefficients(spark, lr.model, lr.space)
@@ -96,14 +111,15 @@ def q_gradient_facts(spark, d):
 
 QUERIES.update({
     "lr_scored_facts": _scored_facts("lr"),
-    "dt_scored_facts": _scored_facts("dt", **SMALL_DT),
-    "rf_scored_facts": _scored_facts("rf", **SMALL_RF),
+    "dt_scored_facts": lambda spark, d: _probability_facts(q_dt_scored(spark, d), ["case_id", "split"]),
+    "rf_scored_facts": _scored_facts("rf", **RF),
     "variant_b_facts": q_variant_b_facts,
     "score_all_facts": q_score_all_facts,
     "explain_batch_facts": q_explain_batch_facts,
     "explain_dispatch_facts": q_explain_dispatch_facts,
     "shap_tree_facts": q_shap_tree_facts,
     "shap_sampled_facts": q_shap_sampled_facts,
+    "shap_coalitions_facts": q_shap_coalitions_facts,
     "model_roundtrip_facts": q_model_roundtrip_facts,
     "stream_facts": q_stream_facts,
     "tune_facts": q_tune_facts,
@@ -127,11 +143,13 @@ SELECT m.model, case_id, {_PROB} FROM test, (VALUES ('Logistic Regression'), ('D
 ORACLE["explain_batch_facts"] = _rows("SELECT case_id, true AS additive, true AS narrated FROM scored")
 ORACLE["explain_dispatch_facts"] = _rows("""
 SELECT m.model, case_id, m.explainer, true AS additive
-FROM test, (VALUES ('lr', 'linear'), ('dt', 'tree'), ('rf', 'tree')) m(model, explainer)""")
+FROM test, (VALUES ('lr', 'linear'), ('dt', 'tree'), ('rf', 'tree'), ('vote', 'agnostic'), ('stack', 'agnostic')) m(model, explainer)""")
 ORACLE["shap_tree_facts"] = _rows("SELECT case_id, true AS additive, true AS is_model_prob FROM test")
 ORACLE["shap_sampled_facts"] = _rows(f"SELECT case_id, {len(SOURCE_FEATURES)} AS n_features, true AS additive FROM test")
 ORACLE["model_roundtrip_facts"] = _rows("SELECT case_id, true AS same FROM test")
 ORACLE["stream_facts"] = _rows(
     "SELECT case_id, CASE WHEN channel = 'email' THEN 2 ELSE 1 END AS version, true AS as_batch FROM fresh")
-ORACLE["tune_facts"] = "SELECT CAST(i AS INTEGER) AS trial, true AS f1_ok FROM range(3) t(i)"
+ORACLE["shap_coalitions_facts"] = _rows(
+    f"SELECT case_id, {len(SOURCE_FEATURES)} AS n_features, true AS additive, true AS is_model_prob FROM test")
+ORACLE["tune_facts"] = f"SELECT CAST(i AS INTEGER) AS trial, true AS in_ranges, true AS different, true AS f1_ok FROM range({TRIALS}) t(i)"
 ORACLE["model_sums_facts"] = "SELECT * FROM (VALUES ('importance', true), ('coefficients', true)) v(what, ok)"

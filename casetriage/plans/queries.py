@@ -476,8 +476,9 @@ def _scored(spark, d, kind="lr", which=("test", "new"), **kw):
     return scored_cases(_triage(spark, d, kind, **kw), which).select(*PRED_COLS)
 
 
-SMALL_RF = {"num_trees": 20, "max_depth": 8}
-SMALL_DT = {"max_depth": 5}
+# The reference's tuned forest, and its search of 50 trials over 5 folds.
+RF = {"num_trees": 413, "max_depth": 18}
+TRIALS, FOLDS = 50, 5
 
 
 def q_lr_scored(spark, d):
@@ -501,17 +502,38 @@ def q_no_text_ablation(spark, d):
         "priority_encoded", "actual_priority"))
 
 
+_TRIALS: dict = {}
+
+
+def _dt_trials(spark, d):
+    """F4 over the training split: (params, mean macro-F1) of every trial; one search a session and folder."""
+    from ..operators import tuning as T
+    at = (id(spark), d)
+    if at not in _TRIALS:
+        folds = SP.stratified_folds(_triage(spark, d, "lr").train, k=FOLDS)
+        _TRIALS[at] = T.tune(folds, "dt", n_trials=TRIALS, k=FOLDS, parallelism=8)[1]
+    return _TRIALS[at]
+
+
+def _tuned_dt(spark, d):
+    """The decision tree (F2) with the best trial's settings."""
+    best = dict(max(_dt_trials(spark, d), key=lambda t: t[1])[0])
+    return _triage(spark, d, "dt", max_depth=best["maxDepth"], min_instances=best["minInstancesPerNode"], impurity=best["impurity"],
+                   min_info_gain=best["minInfoGain"], weight="weight" if best["weightCol"] == "weight" else None)
+
+
 def q_dt_scored(spark, d):
-    return _scored(spark, d, "dt", **SMALL_DT)
+    from .flagship import PRED_COLS, scored_cases
+    return scored_cases(_tuned_dt(spark, d)).select(*PRED_COLS)
 
 
 def q_rf_scored(spark, d):
-    return _scored(spark, d, "rf", **SMALL_RF)
+    return _scored(spark, d, "rf", **RF)
 
 
 def q_tree_importance(spark, d):
     from ..operators import models as M
-    t = _triage(spark, d, "rf", **SMALL_RF)
+    t = _triage(spark, d, "rf", **RF)
     return M.tree_importance(spark, t.model, t.space, 20)
 
 
@@ -519,8 +541,8 @@ def q_score_all(spark, d):
     from ..operators import models as M
     lr = _triage(spark, d, "lr")
     models = {"Logistic Regression": lr.model,
-              "Decision Tree": _triage(spark, d, "dt", **SMALL_DT).model,
-              "Random Forest": _triage(spark, d, "rf", **SMALL_RF).model}
+              "Decision Tree": _tuned_dt(spark, d).model,
+              "Random Forest": _triage(spark, d, "rf", **RF).model}
     test = lr.data.filter(F.col("split") == "test")
     return M.score_all(models, test, lr.space, keep=("case_id", "priority_encoded"))
 
@@ -531,11 +553,8 @@ def q_model_comparison_trained(spark, d):
 
 
 def q_tune_dt(spark, d):
-    from ..operators import tuning as T
-    t = _triage(spark, d, "lr")
-    folds = SP.stratified_folds(t.train, k=3)
-    _, trials = T.tune(folds, "dt", n_trials=3, k=3, parallelism=3)
-    rows = [(i, str(sorted(p.items())), float(s)) for i, (p, s) in enumerate(trials)]
+    """every trial of the decision tree's search."""
+    rows = [(i, str(sorted(p.items())), float(s)) for i, (p, s) in enumerate(_dt_trials(spark, d))]
     return spark.createDataFrame(rows, "trial int, params string, mean_macro_f1 double")
 
 
@@ -649,7 +668,7 @@ def q_shap_tree(spark, d):
     from ..operators.explain.tree import shap_tree
     from ..session import scratch_path
     from .flagship import scored_cases
-    t = _triage(spark, d, "rf", **SMALL_RF)
+    t = _triage(spark, d, "rf", **RF)
     scored = scored_cases(t, ("test",))
     s = shap_tree(spark, scored, t.model, scratch_path(spark, "rf-model"))
     total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
@@ -667,17 +686,52 @@ QUERIES["shap_tree"] = q_shap_tree
 def q_shap_sampled(spark, d):
     """Sampled Shapley values of the LR triage model over the six
     source features for every test case (model used as a black box)."""
-    from ..operators import models as M
     from ..operators.explain.sampled import shap_sampled
+    from .explain import BACKGROUND
     from .flagship import scored_cases
     t = _triage(spark, d, "lr")
     test = scored_cases(t, ("test",)).select("case_id", "predicted_priority", *SOURCE_FEATURES)
-    bg = R.sample_n(t.data.filter(F.col("split") == "train"), 32).select(*SOURCE_FEATURES)
+    bg = R.sample_n(t.data.filter(F.col("split") == "train"), BACKGROUND).select(*SOURCE_FEATURES)
     return shap_sampled(test, bg, lambda df: t.model.transform(t.space.transform(df)), n_perm=6)
 
 
+def q_shap_coalitions(spark, d):
+    """Exact Shapley values of the LR triage model over the six source features for every test case."""
+    from ..operators.explain.coalition import shap_coalitions
+    from .explain import BACKGROUND
+    from .flagship import scored_cases
+    t = _triage(spark, d, "lr")
+    bg = R.sample_n(t.data.filter(F.col("split") == "train"), BACKGROUND)
+    return shap_coalitions(scored_cases(t, ("test",)), bg, t.space, t.model)
+
+
+def _vote(spark, d):
+    """LR, tuned tree and forest as one soft vote over the same features."""
+    from dataclasses import replace
+    from ..operators.ensembles import Vote
+    t = _triage(spark, d, "lr")
+    return replace(t, kind="vote", model=Vote([t.model, _tuned_dt(spark, d).model, _triage(spark, d, "rf", **RF).model]))
+
+
+_STACKS: dict = {}
+
+
+def _stack(spark, d):
+    """LR over the out-of-fold probabilities of two trees of different depth."""
+    from dataclasses import replace
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+    from ..operators.ensembles import fit_stack
+    at, t = (id(spark), d), _triage(spark, d, "lr")
+    if at not in _STACKS:
+        trees = [DecisionTreeClassifier(labelCol="priority_encoded", weightCol="weight", maxDepth=m, seed=42) for m in (3, 10)]
+        final = LogisticRegression(labelCol="priority_encoded", weightCol="weight", family="multinomial", regParam=0.01)
+        _STACKS[at] = fit_stack(SP.stratified_folds(t.train, k=FOLDS), trees, final, "fold", FOLDS)
+    return replace(t, kind="stack", model=_STACKS[at])
+
+
 SOURCE_FEATURES = ["case_summary", "channel", "case_type", "category", "plan_tier", "customer_tenure_months"]
 QUERIES["shap_sampled"] = q_shap_sampled
+QUERIES["shap_coalitions"] = q_shap_coalitions
 
 
 def q_head_cases(spark, d):
@@ -693,12 +747,12 @@ def q_probs_long(spark, d):
 
 
 def q_explain_dispatch(spark, d):
-    """I4: the same call explains LR, tree and forest models."""
+    """I4, L2: the same call explains LR, tree, forest, and as black boxes a vote and a stack of models."""
     from ..session import scratch_path
     from .explain import explain_any
     out = None
-    for kind, kw in (("lr", {}), ("dt", SMALL_DT), ("rf", SMALL_RF)):
-        t = _triage(spark, d, kind, **kw)
+    for kind, t in (("lr", _triage(spark, d, "lr")), ("dt", _tuned_dt(spark, d)), ("rf", _triage(spark, d, "rf", **RF)),
+                    ("vote", _vote(spark, d)), ("stack", _stack(spark, d))):
         rows = t.data.filter(F.col("split") == "test")
         e = explain_any(spark, t, rows, scratch_path(spark, f"dispatch-{kind}")).withColumn("model", F.lit(kind))
         out = e if out is None else out.unionByName(e)
@@ -711,7 +765,7 @@ def q_importance_fallback(spark, d):
     from ..operators import models as M
     from ..operators.explain import document as D
     from .explain import explain_batch_lr
-    rf = _triage(spark, d, "rf", **SMALL_RF)
+    rf = _triage(spark, d, "rf", **RF)
     top = [(r.feature, r.importance) for r in M.tree_importance(spark, rf.model, rf.space, 10).collect()]
     e = D.with_importance_fallback(explain_batch_lr(spark, d), top)
     return e.select("case_id", F.size("positive").alias("n_positive"),
