@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of these become one space: ASCII other than letters and digits, and typographic punctuation.
 PUNCTUATION = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F ©«»‐-―‘-‟•…]+"
-#: A line that starts so, after spaces, states a copyright and isn't part of the licence's text.
-COPYRIGHT = "^[ \\t\\x0B\\f\\r#*/;!-]*(copyright|\\(c\\)|©|all rights reserved)"
+#: A line that starts so, after spaces and comment marks, states a copyright and isn't part of the licence's text.  It needs
+#: a sign, or a year: lines of a licence that happen to begin with the word, or with a clause (c), stay.
+COPYRIGHT = ("^[ \\t\\x0B\\f\\r#*/;!-]*((?i:copyright)[ \\t:,]*((?i:\\(c\\))|©|(19|20)[0-9][0-9])|(?i:\\(c\\))[ \\t:,]*(19|20)[0-9][0-9]"
+             "|\\(C\\) +[A-Z][a-z]|©|(?i:all rights reserved)[ \\t.\\r]*$)")
 
 # Spellings that count as equal (the canonical one second), on the text without punctuation.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("organisation", "organization"),
@@ -54,25 +56,23 @@ KNOWN: dict[str, list[str]] = {
 }
 
 
-def _plain(text: Column) -> Column:
-    """One line or joined text without case, punctuation and spelling variants."""
-    out = F.trim(F.regexp_replace(text, PUNCTUATION, " "))
+def _spelled(text: Column) -> Column:
     for other, usual in SPELLINGS:
-        out = F.replace(out, F.lit(other), F.lit(usual))
-    return out
+        text = F.replace(text, F.lit(other), F.lit(usual))
+    return text
 
 
 def with_canonical(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``lines`` (canonical lines that hold words, copyright lines left out) and ``canonical`` (the whole text)."""
-    low = F.split(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), "\n")
-    kept = F.array_join(F.filter(low, lambda x: ~x.rlike(COPYRIGHT)), "\n")
+    """Adds ``lines`` (canonical lines that hold words, copyright lines left out) and ``canonical`` (the whole text).
+
+    Equivalent spellings are replaced in the whole text after its line ends became spaces, so that a wrapped one counts too."""
+    kept = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: ~x.rlike(COPYRIGHT))
+    low = F.translate(F.array_join(kept, "\n"), UPPER, LOWER)
     # one pass over the whole text; a line end stays one through it
-    plain = F.regexp_replace(F.regexp_replace(kept, PUNCTUATION.replace("\\x00-\\x2F", "\\x00-\\x09\\x0B-\\x2F"), " "), " *\n[ \n]*", "\n")
+    plain = F.regexp_replace(F.regexp_replace(low, PUNCTUATION.replace("\\x00-\\x2F", "\\x00-\\x09\\x0B-\\x2F"), " "), " *\n[ \n]*", "\n")
     plain = F.trim(F.regexp_replace(plain, "^[ \n]+|[ \n]+$", ""))
-    for other, usual in SPELLINGS:
-        plain = F.replace(plain, F.lit(other), F.lit(usual))
-    return df.withColumn("plain", plain).withColumn("lines", F.filter(F.split("plain", "\n"), lambda x: x != "")).withColumn(
-        "canonical", F.replace("plain", F.lit("\n"), F.lit(" "))).drop("plain")
+    return df.withColumn("plain", plain).withColumn("lines", F.filter(F.split(_spelled(F.col("plain")), "\n"), lambda x: x != "")).withColumn(
+        "canonical", _spelled(F.replace("plain", F.lit("\n"), F.lit(" ")))).drop("plain")
 
 
 def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:

@@ -33,26 +33,34 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
 _PLAIN = f"regexp_replace(%s, '{PUNCTUATION.replace(chr(92) + 'x00-' + chr(92) + 'x2F', chr(92) + 'x00-' + chr(92) + 'x09' + chr(92) + 'x0B-' + chr(92) + 'x2F')}', ' ', 'g')"
 
 
+def _spelled(text: str) -> str:
+    for other, usual in SPELLINGS:
+        text = f"replace({text}, '{other}', '{usual}')"
+    return text
+
+
 def _canonical(text: str) -> str:
-    out = (f"array_to_string([x FOR x IN string_split(translate(coalesce({text}, ''), {ABC}), chr(10)) "
-           f"IF NOT regexp_matches(x, '{COPYRIGHT}')], chr(10))")
+    """Without case, punctuation and copyright lines, in lines; spellings are still as they were."""
+    out = (f"translate(array_to_string([x FOR x IN string_split(coalesce({text}, ''), chr(10)) "
+           f"IF NOT regexp_matches(x, '{COPYRIGHT}')], chr(10)), {ABC})")
     out = f"regexp_replace({_PLAIN % out}, ' *\\n[ \\n]*', chr(10), 'g')"
-    out = f"trim(regexp_replace({out}, '^[ \\n]+|[ \\n]+$', '', 'g'))"
-    for other, usual in SPELLINGS:
-        out = f"replace({out}, '{other}', '{usual}')"
-    return out
+    return f"trim(regexp_replace({out}, '^[ \\n]+|[ \\n]+$', '', 'g'))"
+
+
+def _whole(plain: str) -> str:
+    return _spelled(f"replace({plain}, chr(10), ' ')")
 
 
 def _known() -> str:
     rows = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, texts in KNOWN.items() for t in texts)
-    return f"SELECT k.l AS license, sha256(replace({_canonical('k.t')}, chr(10), ' ')) AS digest FROM (VALUES {rows}) k(l, t)"
+    return f"SELECT k.l AS license, sha256({_whole(_canonical('k.t'))}) AS digest FROM (VALUES {rows}) k(l, t)"
 
 
 ORACLE["op4_license_scan"] = f"""
 WITH known AS (SELECT digest, min(license) AS license FROM ({_known()}) GROUP BY digest),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_canonical('text')} AS plain FROM documents),
-w AS (SELECT d.r, d.doc_id, k.license FROM d LEFT JOIN known k ON d.plain <> '' AND k.digest = sha256(replace(d.plain, chr(10), ' '))),
-l AS (SELECT r, unnest(string_split(plain, chr(10))) AS line FROM d),
+w AS (SELECT d.r, d.doc_id, k.license FROM d LEFT JOIN known k ON d.plain <> '' AND k.digest = sha256({_whole('d.plain')})),
+l AS (SELECT r, unnest(string_split({_spelled('plain')}, chr(10))) AS line FROM d),
 f AS (SELECT l.r, k.license FROM l JOIN known k ON l.line <> '' AND k.digest = sha256(l.line)),
 n AS (SELECT r, count(*) AS n_lines FROM f GROUP BY r),
 a AS (SELECT r, string_agg(license, ',' ORDER BY license) AS licenses FROM
