@@ -20,3 +20,17 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     if small_rows is not None and small_rows <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, parts: int = 256) -> DataFrame:
+    """Left join with ``right``, which has one row a key and in ``weight``
+    what bounds the left rows that hold the key.
+
+    Weights add up to ``total``, so no more than ``parts`` keys have at
+    least 1/``parts`` of it.  Those go to every task; each of the other keys is
+    small, and they are shuffled.  No key, however frequent, meets its
+    rows in one task."""
+    hot = F.broadcast(right.where(F.col(weight) * parts >= total).drop(weight))
+    rest = right.where(F.col(weight) * parts < total).drop(weight)
+    cold = left.join(hot.select(*on), on, "left_anti").join(rest, on, "left")
+    return left.join(hot, on).unionByName(cold)

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from ..functions.scalar import PRIORITY_LEVELS
 from ..operators import features as FE
 from ..operators import ranking as R
+from ..operators import sparse as SPF
 from ..operators.explain import document as D
 from ..operators.explain import linear as L
 from ..operators.explain import rollup as RU
+from ..operators.joins import join_small
 from ..operators.explain.vocab import FIXTURE_GROUPS, SEMANTIC_GROUPS, token_groups
 from ..sources.fixtures import view
 
@@ -140,6 +142,33 @@ def frozen_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain_frame(fz.cases, fz.ex, fz.slots, features="x", pred_col=None)
 
 
+def frozen_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frozen model over all terms of two documents or more, whatever
+    their number: features and coefficients are tables, and each case's
+    contributions come from its non-zero slots."""
+    cases = view(spark, sf_dir, "cases")
+    edges = FE.quantile_edges(cases, FE.TENURE_COL, 5)
+    cases = cases.withColumn("_bin", FE.bin_index(FE.TENURE_COL, edges))
+    cat_cols = ["channel", "case_type", "category", "plan_tier"]
+    terms, values = SPF.term_dictionary(cases), SPF.category_index(cases, cat_cols)
+    n_terms, n_values = terms.count(), values.count()
+    text = SPF.term_counts(cases, terms).select("case_id", "idx", F.lit(1.0).alias("x"))
+    ones = SPF.onehot_long(cases, values, cat_cols, impute=False).withColumn("idx", F.col("idx") + n_terms)
+    bins = cases.where("_bin is not null").select("case_id", (F.col("_bin") + F.lit(n_terms + n_values)).alias("idx"), F.lit(1.0).alias("x"))
+    entries = SPF._written(text.union(ones).union(bins), "sparse-entries")
+    names = terms.select("idx", F.col("term").alias("name"), F.lit("case_summary").alias("source"), F.col("df").alias("n"))
+    names = names.union(values.select(F.col("idx") + n_terms, F.concat_ws("_", "col", "value"), F.col("col"), F.col("n")))
+    held = cases.where("_bin is not null").groupBy("_bin").agg(F.count("*").alias("n"))  # a row a bin
+    bin_name = F.concat(F.lit(f"{FE.TENURE_COL}_"), F.col("_bin").cast("string"), F.lit(".0"))
+    names = names.union(held.select((F.col("_bin") + F.lit(n_terms + n_values)).cast("long"), bin_name, F.lit(FE.TENURE_COL), F.col("n")))
+    background = R.sample_n(cases, FROZEN_BACKGROUND).select("case_id")
+    mu = join_small(entries, background, "case_id", "inner", small_rows=FROZEN_BACKGROUND).groupBy("idx").agg(
+        (F.sum("x") / FROZEN_BACKGROUND).alias("mu"))
+    w = [((F.pmod(F.length("name") * 7 + 3 * c + F.col("idx"), F.lit(11)) - 5) / 16.0).alias(f"w{c}") for c in range(4)]
+    coef = SPF._written(names.join(mu, "idx", "left").select("idx", "source", F.coalesce("mu", F.lit(0.0)).alias("mu"), "n", *w), "coefficients")
+    return SPF.linear_contributions(entries, cases.select("case_id"), coef, [frozen_intercept(c) for c in range(4)], ["case_summary", *TABULAR_SOURCES])
+
+
 # ------------------------------------------------------------ LR ----
 
 _LR_EXPLAINERS: dict = {}

@@ -356,3 +356,48 @@ SELECT CAST(row_number() OVER (ORDER BY bo, sk) - 1 AS INTEGER) AS idx, block, s
 
 
 ORACLE["feature_names"] = _feature_names_sql()
+
+
+_GRAMS = """
+tok AS (SELECT case_id, regexp_extract_all(lower(coalesce(case_summary, '')), '[\\p{L}\\p{N}_]{2,}') AS t FROM cases),
+per_doc AS (SELECT case_id, term, count(*) AS c FROM (
+  SELECT case_id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM tok) u GROUP BY case_id, term),
+st AS (SELECT term, count(*) AS df FROM per_doc GROUP BY term HAVING count(*) >= 2),
+dict AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS idx FROM st)"""
+
+ORACLE["tfidf_unlimited"] = _cte(("cases",), _GRAMS + """,
+nd AS (SELECT count(*) AS n FROM cases),
+w AS (SELECT p.case_id, d.idx, p.c * (ln(CAST(1 + nd.n AS DOUBLE) / CAST(1 + d.df AS DOUBLE)) + 1) AS raw FROM per_doc p JOIN dict d ON d.term = p.term, nd),
+nrm AS (SELECT case_id, sqrt(sum(raw * raw)) AS norm FROM w GROUP BY case_id)""", """
+SELECT w.case_id, count(*) AS n_terms, CAST(sum(idx) AS BIGINT) AS sum_idx, max(idx) AS max_idx,
+  round(sum(raw / norm), 6) AS sum_weight, round(max(raw / norm), 6) AS max_weight FROM w JOIN nrm ON nrm.case_id = w.case_id GROUP BY w.case_id""")
+
+_COLS = ["channel", "case_type", "category", "plan_tier"]
+_LONG = " UNION ALL ".join(f"SELECT case_id, {i} AS o, '{c}' AS col, {c} AS v FROM cases" for i, c in enumerate(_COLS))
+_VALUES = "vals AS (SELECT col, v, row_number() OVER (ORDER BY o, v) - 1 AS idx FROM (SELECT DISTINCT o, col, v FROM longv WHERE v IS NOT NULL) d)"
+ORACLE["onehot_long"] = _cte(("cases",), f"""
+longv AS ({_LONG}), {_VALUES},
+modes AS (SELECT col, v AS m FROM (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY count(*) DESC, v) AS r
+  FROM longv WHERE v IS NOT NULL GROUP BY col, v) t WHERE r = 1)""", """
+SELECT l.case_id, l.col, x.v AS value, x.idx, 1.0E0 AS x FROM longv l JOIN modes m ON m.col = l.col JOIN vals x ON x.col = l.col AND x.v = coalesce(l.v, m.m)""")
+
+_SOURCES = ["case_summary", *TAB]
+ORACLE["shap_sparse_frozen"] = _cte(("cases",), _tenure_edges_cte() + f""",
+{_GRAMS.strip()},
+longv AS ({_LONG}), {_VALUES},
+nt AS (SELECT (SELECT count(*) FROM dict) AS terms, (SELECT count(*) FROM vals) AS cats),
+bin AS (SELECT case_id, (SELECT count(*) FROM inner_e WHERE inner_e.edge <= customer_tenure_months) AS b FROM cases WHERE customer_tenure_months IS NOT NULL),
+nz AS (SELECT p.case_id, d.idx, p.term AS name, 'case_summary' AS source FROM per_doc p JOIN dict d ON d.term = p.term
+  UNION ALL SELECT l.case_id, x.idx + nt.terms, l.col || '_' || l.v, l.col FROM longv l JOIN vals x ON x.col = l.col AND x.v = l.v, nt
+  UNION ALL SELECT case_id, b + nt.terms + nt.cats, 'customer_tenure_months_' || b || '.0', 'customer_tenure_months' FROM bin, nt),
+bg AS (SELECT case_id FROM cases ORDER BY {HASH.format(k='case_id')}, case_id LIMIT 64),
+cls AS (SELECT unnest(range(0, 4)) AS c),
+sums AS (SELECT case_id, source, c, sum((((length(name) * 7 + 3 * c + idx) % 11) - 5) / 16.0E0) AS s FROM nz, cls GROUP BY ALL),
+zero AS (SELECT source, c, sum((((length(name) * 7 + 3 * c + idx) % 11) - 5) / 16.0E0) / 64 AS z FROM nz JOIN bg ON bg.case_id = nz.case_id, cls GROUP BY ALL),
+marg AS (SELECT k.case_id, cls.c, (cls.c - 1.5E0) / 8.0E0 + coalesce(sum(s.s), 0) AS m FROM cases k CROSS JOIN cls
+  LEFT JOIN sums s ON s.case_id = k.case_id AND s.c = cls.c GROUP BY k.case_id, cls.c),
+pred AS (SELECT case_id, c, m FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY m DESC, c) AS r FROM marg) t WHERE r = 1)""", """
+SELECT p.case_id, CAST(p.c AS INTEGER) AS explained_class, p.m AS margin,
+  (p.c - 1.5E0) / 8.0E0 + coalesce((SELECT sum(z) FROM zero WHERE zero.c = p.c), 0) AS base_value, """ + ", ".join(
+    f"coalesce((SELECT s FROM sums WHERE sums.case_id = p.case_id AND sums.c = p.c AND source = '{s}'), 0) - "
+    f"coalesce((SELECT z FROM zero WHERE zero.c = p.c AND source = '{s}'), 0) AS {s}" for s in _SOURCES) + " FROM pred p")

@@ -264,6 +264,32 @@ def q_tfidf_weights(spark, d):
     return long.select("case_id", F.col("name").alias("term"), F.round("x", 9).alias("weight"))
 
 
+def q_tfidf_unlimited(spark, d):
+    """E1 without a limit on the vocabulary (min_df 2): what each case's row of weights holds."""
+    from ..operators import sparse as SPF
+    cases = view(spark, d, "cases")
+    x = SPF.tfidf_long(cases, SPF.term_dictionary(cases))
+    return x.groupBy("case_id").agg(F.count("*").alias("n_terms"), F.sum("idx").alias("sum_idx"), F.max("idx").alias("max_idx"),
+                                    F.round(F.sum("x"), 6).alias("sum_weight"), F.round(F.max("x"), 6).alias("max_weight"))
+
+
+def q_onehot_long(spark, d):
+    """E2 + E4 with the category index as a table: the ones of every case, missing values as the mode."""
+    from ..operators import sparse as SPF
+    cases = view(spark, d, "cases")
+    cols = ["channel", "case_type", "category", "plan_tier"]
+    index = SPF.category_index(cases, cols)
+    return SPF.onehot_long(cases, index, cols).join(index, "idx").select("case_id", "col", "value", "idx", "x")
+
+
+def q_shap_sparse_frozen(spark, d):
+    """I1, I5, I6 of a linear model over all terms: contributions by source, from non-zero slots only."""
+    from . import explain as X
+    e = X.frozen_sparse(spark, d)
+    return e.select("case_id", "explained_class", "margin", "base_value",
+                    *[F.col("contributions")[s].alias(s) for s in ["case_summary", *X.TABULAR_SOURCES]])
+
+
 # ------------------------------------------------------------------ M4 ----
 
 def _frozen(spark, d):
@@ -437,6 +463,9 @@ def q_resolve_text(spark, d):
 QUERIES.update({
     "tfidf_vocab": q_tfidf_vocab,
     "tfidf_weights": q_tfidf_weights,
+    "tfidf_unlimited": q_tfidf_unlimited,
+    "onehot_long": q_onehot_long,
+    "shap_sparse_frozen": q_shap_sparse_frozen,
     "shap_linear_frozen": q_shap_linear_frozen,
     "shap_additivity": q_shap_additivity,
     "shap_rollup": q_shap_rollup,
