@@ -30,7 +30,7 @@ from .common import PIECE_BYTES, join_hot, mix, text_slices, utf8_parts, written
 #: Words of a phrase at most.
 DEPTH = 5
 #: Words of a shard, about; it ends at the next break.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 19
 #: Bits of the largest filter of frequent phrases that tasks get; a full one only lets more through.
 MOST_BITS = 27
 #: Parts of phrases with at least 1/HOT of all words go to every task: at most HOT of each length.
