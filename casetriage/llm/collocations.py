@@ -30,7 +30,9 @@ from .common import PIECE_BYTES, join_hot, mix, text_slices, utf8_parts, written
 #: Words of a phrase at most.
 DEPTH = 5
 #: Words of a shard, about; it ends at the next break.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 16
+#: Counts of the phrases of several shards that a task adds up before it passes them on.
+HELD = 1 << 20
 #: Bits of the largest filter of frequent phrases that tasks get; a full one only lets more through.
 MOST_BITS = 27
 #: Parts of phrases with at least 1/HOT of all words go to every task: at most HOT of each length.
@@ -169,19 +171,34 @@ def phrases_of(bwt: np.ndarray, word_hashes: np.ndarray, filters: list):
 
 
 def _arrays(batch: pa.RecordBatch):
-    for row in batch.select(["bwt", "hashes"]).to_pylist():
-        yield np.frombuffer(row["bwt"], np.int32), np.frombuffer(row["hashes"], np.uint64)
+    for bwt, hashes in zip(batch.column("bwt"), batch.column("hashes")):  # views, not copies
+        yield np.frombuffer(bwt.as_buffer(), np.int32), np.frombuffer(hashes.as_buffer(), np.uint64)
 
 
 def _counted(shards: DataFrame, filters: list) -> DataFrame:
     """(h, a) of the phrases that are one word longer than those of the last filter."""
     shared = shards.sparkSession.sparkContext.broadcast(filters)
 
+    def added(held: list) -> pa.RecordBatch:
+        h, a = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h)
+        first = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0]) if len(h) else np.zeros(0, np.int64)
+        a = np.add.reduceat(a[order], first) if len(h) else a
+        return pa.RecordBatch.from_arrays([pa.array(h[order[first]].view(np.int64)), pa.array(a)], names=["h", "a"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for bwt, hashes in _arrays(batch):
-                h, a, _ = list(phrases_of(bwt, hashes, shared.value))[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a)], names=["h", "a"])
+                for h, a, _ in phrases_of(bwt, hashes, shared.value):
+                    last = (h, a)
+                held.append(last)
+                n += len(last[0])
+                if n >= HELD:
+                    yield added(held)
+                    held, n = [], 0
+        if held:
+            yield added(held)
     return shards.select("bwt", "hashes").mapInArrow(run, "h long, a long").groupBy("h").agg(F.sum("a").alias("a"))
 
 
