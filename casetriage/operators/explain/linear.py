@@ -14,9 +14,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions.scalar import PRIORITY_LEVELS, const_array
@@ -120,13 +120,17 @@ def shap_all_classes_abs_mean(df: DataFrame, ex: LinearExplainer, features: str
     return d.withColumn("abs_phi", F.transform(summed, lambda v: v / k)).drop("_dx")
 
 
+def importance_table(spark: SparkSession, mean, names: list[dict]) -> DataFrame:
+    """(feature, importance) from one vector of means, most important first."""
+    rows = [(n["name"], float(mean[n["idx"]])) for n in names] if mean is not None else []
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
 def global_importance(sample: DataFrame, ex: LinearExplainer, features: str = "features",
                       key: str = "case_id") -> DataFrame:
     """Mean |phi| per feature over the sample rows and all classes,
-    most important first."""
-    names = const_array([n["name"] for n in ex.names])
-    from ..reshape import explode_array
-    rows = explode_array(shap_all_classes_abs_mean(sample, ex, features), [key], "abs_phi", "v", "idx")
-    return (rows.groupBy("idx").agg(F.avg("v").alias("importance"))
-            .select(names[F.col("idx")].alias("feature"), "importance")
-            .orderBy(F.desc("importance"), "feature"))
+    most important first.  The vectors are added up inside the tasks: one
+    vector a task is shuffled, not a row a case and slot."""
+    rows = shap_all_classes_abs_mean(sample, ex, features)
+    mean = rows.select(Summarizer.mean(array_to_vector("abs_phi")).alias("m")).first()["m"]
+    return importance_table(sample.sparkSession, mean if mean is not None and len(mean) else None, ex.names)

@@ -96,17 +96,36 @@ def word_pattern(keyword: str) -> str:
     return r"(?U)\b" + re.escape(keyword.lower()) + r"\b"
 
 
+def keyword_hits(text_col, keywords: list[str]) -> Column:
+    """All of ``keywords`` that the text has as whole words, in one pass over it.
+
+    One alternation, the longest first, is tried at every place (a
+    lookahead, so places may overlap).  What it finds there holds every
+    shorter keyword that begins at the same place and ends at a word's end."""
+    t = F.lower(F.coalesce(F.col(text_col) if isinstance(text_col, str) else text_col, F.lit("")))
+    lower = sorted({k.lower() for k in keywords}, key=lambda k: (-len(k), k))
+    if not lower:
+        return F.array().cast("array<string>")
+    found = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?U)(?=\b(" + "|".join(map(re.escape, lower)) + r")\b)"), F.lit(1)))
+    within = {k: [x for x in lower if re.match(re.escape(x) + r"\b", k)] for k in lower}
+    if all(len(v) == 1 for v in within.values()):
+        return found
+    closure = F.create_map(*[x for k, v in within.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.array_distinct(F.flatten(F.transform(found, lambda k: closure[k])))
+
+
 def extract_keywords(text_col, groups: dict = SEMANTIC_GROUPS) -> Column:
     """H1: map group -> keywords found as whole words (groups with no match
-    omitted, keyword order as declared).  One regex test per keyword, in
-    the row; no shuffle."""
-    t = F.lower(F.coalesce(F.col(text_col) if isinstance(text_col, str) else text_col, F.lit("")))
-    entries = []
-    for g, kws in groups.items():
-        hits = F.filter(F.array(*[F.when(t.rlike(word_pattern(k)), F.lit(k)) for k in kws]),
-                        lambda x: x.isNotNull())
-        entries.append(F.struct(F.lit(g).alias("key"), hits.alias("value")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
+    omitted, keyword order as declared); all groups' keywords are looked for
+    in one pass over the text; no shuffle."""
+    hits = keyword_hits(text_col, [k for kws in groups.values() for k in kws])
+    pairs = F.array(*[F.struct(F.lit(g).alias("key"), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k.lower()).alias("low")) for k in kws]).alias("kws"))
+                      for g, kws in groups.items()])
+    held = F.aggregate(F.array(hits), pairs, lambda acc, h: F.transform(acc, lambda g: F.struct(
+        g["key"].alias("key"), F.filter(g["kws"], lambda k: F.array_contains(h, k["low"])).alias("kws"))))
+    entries = F.transform(F.filter(held, lambda g: F.size(g["kws"]) > 0),
+                          lambda g: F.struct(g["key"].alias("key"), F.transform(g["kws"], lambda k: k["k"]).alias("value")))
+    return F.map_from_entries(entries)
 
 
 def token_groups(vocab: DataFrame, groups: dict = SEMANTIC_GROUPS, token_col: str = "term",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import PRIORITY_LEVELS, decode_priority
 from .features import FeatureSpace
+from .reshape import explode_array
 
 LABEL = "priority_encoded"
 
@@ -107,15 +108,20 @@ def score(model, df: DataFrame, space: FeatureSpace | None = None) -> DataFrame:
 
 def score_all(models: dict, df: DataFrame, space: FeatureSpace | None = None,
               keep: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """score every model on the same rows; one frame keyed by model."""
+    """score every model on the same rows; one frame keyed by model.
+
+    The features are computed once: all models add their columns to one frame,
+    and each of its rows becomes a row a model."""
     x = space.transform(df) if space is not None else df
-    out = None
-    for name, m in models.items():
-        s = with_probs(m.transform(x)).select(
-            F.lit(name).alias("model"), *keep, "predicted_priority", "confidence",
-            *[f"prob_{lbl}" for lbl in PRIORITY_LEVELS])
-        out = s if out is None else out.unionByName(s)
-    return out
+    for i, m in enumerate(models.values()):
+        x = m.transform(x, {m.probabilityCol: f"_p{i}", m.rawPredictionCol: f"_r{i}", m.predictionCol: f"_c{i}"})
+        x = x.withColumn(f"_a{i}", vector_to_array(f"_p{i}")).drop(f"_p{i}", f"_r{i}")
+    each = F.array(*[F.struct(F.lit(name).alias("model"), F.col(f"_c{i}").cast("int").alias("c"), F.col(f"_a{i}").alias("p"))
+                     for i, name in enumerate(models)])
+    rows = explode_array(x, list(keep), each, "m")
+    return rows.select(F.col("m.model").alias("model"), *keep, F.col("m.c").alias("predicted_priority"),
+                       F.array_max("m.p").alias("confidence"),
+                       *[F.col("m.p")[i].alias(f"prob_{lbl}") for i, lbl in enumerate(PRIORITY_LEVELS)])
 
 
 def coefficients(spark: SparkSession, model, space: FeatureSpace,

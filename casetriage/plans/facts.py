@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import PRIORITY_LEVELS
 from .oracle import ORACLE, _cte, _split_sql
 from ..operators.tuning import DT_SPACE
-from .queries import (QUERIES, RF, SOURCE_FEATURES, TRIALS, _dt_trials, _scored, _triage, q_dt_scored, q_explain_batch_lr, q_explain_dispatch,
+from .queries import (QUERIES, RF, SOURCE_FEATURES, TRIALS, _dt_trials, _scored, _triage, q_dt_scored, q_explain_batch_lr, q_explain_dispatch, q_global_importance_lr,
+                      q_global_importance_rf,
                       q_model_roundtrip, q_score_all, q_shap_coalitions, q_shap_sampled, q_shap_tree, q_stream_scored, q_variant_b_scored)
 
 EPS = 1e-9
@@ -96,6 +97,32 @@ def q_tune_facts(spark, d):
     return spark.createDataFrame(rows, "trial int, in_ranges boolean, different boolean, f1_ok boolean")
 
 
+def q_importance_facts(spark, d):
+    """Global importance of LR and forest: every feature once, none negative, and the values of a plain mean over rows."""
+    from ..operators import ranking as R
+    from ..operators.explain import linear as L
+    from ..operators.explain.tree import shap_tree
+    from ..operators.reshape import explode_array
+    from ..session import scratch_path
+    from .explain import BACKGROUND, lr_explainer
+    out = None
+    lr, ex, _ = lr_explainer(spark, d)
+    rf = _triage(spark, d, "rf", **RF)
+    rows = {"lr": L.shap_all_classes_abs_mean(R.sample_n(lr.train, BACKGROUND), ex).select("abs_phi")}
+    classes = explode_array(R.sample_n(rf.train, BACKGROUND), ["case_id", "features"], F.array(*map(F.lit, range(4))), "c")
+    rows["rf"] = shap_tree(spark, classes, rf.model, scratch_path(spark, "rf-check"), pred_col="c").select(
+        F.transform("phi", lambda v: F.abs(v)).alias("abs_phi"))
+    for name, got in (("lr", q_global_importance_lr(spark, d)), ("rf", q_global_importance_rf(spark, d))):
+        names = lr.space.names_df(spark).select("idx", F.col("name").alias("feature"))
+        plain = explode_array(rows[name], [], "abs_phi", "v", "idx").groupBy("idx").agg(F.avg("v").alias("plain"))
+        one = got.join(names, "feature").join(plain, "idx").agg(
+            F.count("*").alias("n"), F.min("importance").alias("low"), F.max(F.abs(F.col("importance") - F.col("plain"))).alias("off"))
+        one = one.select(F.lit(name).alias("model"), (F.col("n") == len(lr.space.names)).alias("all_features"), (F.col("low") >= 0).alias("none_negative"),
+                         (F.col("off") < EPS).alias("as_plain_mean"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def q_gradient_facts(spark, d):
     """Importances: all features of the forest, none negative, with the sum of 1; coefficients: all finite."""
     from ..operators import models as M
@@ -124,6 +151,7 @@ QUERIES.update({
     "stream_facts": q_stream_facts,
     "tune_facts": q_tune_facts,
     "model_sums_facts": q_gradient_facts,
+    "importance_facts": q_importance_facts,
 })
 
 
@@ -153,3 +181,5 @@ ORACLE["shap_coalitions_facts"] = _rows(
     f"SELECT case_id, {len(SOURCE_FEATURES)} AS n_features, true AS additive, true AS is_model_prob FROM test")
 ORACLE["tune_facts"] = f"SELECT CAST(i AS INTEGER) AS trial, true AS in_ranges, true AS different, true AS f1_ok FROM range({TRIALS}) t(i)"
 ORACLE["model_sums_facts"] = "SELECT * FROM (VALUES ('importance', true), ('coefficients', true)) v(what, ok)"
+ORACLE["importance_facts"] = """
+SELECT m AS model, true AS all_features, true AS none_negative, true AS as_plain_mean FROM (VALUES ('lr'), ('rf')) v(m)"""

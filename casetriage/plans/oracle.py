@@ -179,6 +179,10 @@ SELECT CAST(count(DISTINCT file_seq) AS BIGINT) AS files_loaded, count(*) AS ini
 FROM raw_cases""", "raw_cases")
 
 ORACLE["dq_summary"] = _dq_sql()
+ORACLE["dq_months_merged"] = with_views(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
+    f"round((count(*) - count({c})) * 100.0E0 / count(*), 2) AS null_pct, true AS distinct_close FROM raw_cases"
+    for c, t in DQ_COLS if c != "file_seq"), "raw_cases")
 ORACLE["corr_matrix"] = _corr_sql()
 
 ORACLE["calendar_features"] = with_views("""

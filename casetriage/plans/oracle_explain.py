@@ -8,7 +8,7 @@ and tenure-bin slots, a 64-row hashed background, coefficients
 from __future__ import annotations
 
 from ..operators.explain.narrative import EXPLANATION_PROMPT_TEMPLATE, SUMMARY_PROMPT_TEMPLATE
-from ..operators.explain.vocab import FEATURE_EXPLANATIONS, FIXTURE_GROUPS, SPECULATIVE_PHRASES
+from ..operators.explain.vocab import FEATURE_EXPLANATIONS, FIXTURE_GROUPS, SEMANTIC_GROUPS, SPECULATIVE_PHRASES
 from .oracle import HASH, ORACLE, _cte, _tenure_edges_cte
 
 LABELS = ["Low", "Medium", "High", "Urgent"]
@@ -401,3 +401,11 @@ SELECT p.case_id, CAST(p.c AS INTEGER) AS explained_class, p.m AS margin,
   (p.c - 1.5E0) / 8.0E0 + coalesce((SELECT sum(z) FROM zero WHERE zero.c = p.c), 0) AS base_value, """ + ", ".join(
     f"coalesce((SELECT s FROM sums WHERE sums.case_id = p.case_id AND sums.c = p.c AND source = '{s}'), 0) - "
     f"coalesce((SELECT z FROM zero WHERE zero.c = p.c AND source = '{s}'), 0) AS {s}" for s in _SOURCES) + " FROM pred p")
+
+_DEFAULT = _values([(g, k, i) for i, (g, k) in enumerate((g, k) for g, ks in SEMANTIC_GROUPS.items() for k in ks)], ["grp", "keyword", "ko"])
+ORACLE["keyword_groups_default"] = f"""
+WITH kw AS {_DEFAULT},
+t AS (SELECT conv_id AS case_id, turn, lower(coalesce(text, '')) AS low FROM conversations WHERE role = 'assistant')
+SELECT t.case_id, t.turn, k.grp AS "group", string_agg(k.keyword, ',' ORDER BY k.ko) AS keywords
+FROM t JOIN kw k ON contains(t.low, lower(k.keyword)) AND regexp_matches(t.low, '(^|[^\\p{{L}}\\p{{N}}_])' || lower(k.keyword) || '($|[^\\p{{L}}\\p{{N}}_])')
+GROUP BY t.case_id, t.turn, k.grp"""

@@ -425,6 +425,41 @@ def q_keyword_groups(spark, d):
         "case_id", "group", F.array_join("kw", ",").alias("keywords"))
 
 
+def q_keyword_groups_default(spark, d):
+    """H1 with the default dictionary: its keywords in the texts that generators gave for the cases."""
+    from ..operators.explain.vocab import SEMANTIC_GROUPS, extract_keywords
+    from ..operators.reshape import explode_map
+    g = view(spark, d, "generated_texts").select("case_id", "turn", extract_keywords("generated_text", SEMANTIC_GROUPS).alias("m"))
+    return explode_map(g, ["case_id", "turn"], "m", "group", "kw").select("case_id", "turn", "group", F.array_join("kw", ",").alias("keywords"))
+
+
+def q_global_importance_lr(spark, d):
+    """Mean |phi| of the fitted LR over all classes and a sample of the training rows."""
+    from ..operators.explain import linear as L
+    from .explain import BACKGROUND, lr_explainer
+    t, ex, _ = lr_explainer(spark, d)
+    return L.global_importance(R.sample_n(t.train, BACKGROUND), ex)
+
+
+def q_global_importance_rf(spark, d):
+    """Mean |phi| of the forest over all classes and a sample of the training rows."""
+    from ..operators.explain.tree import tree_global_importance
+    from ..session import scratch_path
+    from .explain import BACKGROUND
+    t = _triage(spark, d, "rf", **RF)
+    return tree_global_importance(spark, R.sample_n(t.train, BACKGROUND), t.model, scratch_path(spark, "rf-importance"), t.space.names)
+
+
+def q_dq_months_merged(spark, d):
+    """Profiles kept by file and added up, next to the exact profile of all rows."""
+    from ..operators.profiling import dq_summary, merge_profiles, profile_parts
+    raw = view(spark, d, "raw_cases")
+    exact = dq_summary(raw.drop("file_seq"), None).withColumnRenamed("distinct_count", "exact")
+    merged = merge_profiles(profile_parts(raw, "file_seq"), None).select("column", "distinct_count", F.col("null_count").alias("merged_nulls"))
+    close = F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.1 * F.col("exact"))
+    return exact.join(merged, "column").select("column", "dtype", F.col("merged_nulls").alias("null_count"), "null_pct", close.alias("distinct_close"))
+
+
 def q_token_groups(spark, d):
     from ..operators.explain.vocab import FIXTURE_GROUPS, token_groups
     vocab = FE.select_vocabulary(FE.term_stats(view(spark, d, "cases")), 2, 500)
@@ -484,6 +519,10 @@ QUERIES.update({
     "explanation_card": q_explanation_card,
     "tenure_tier_explained": q_tenure_tier_explained,
     "keyword_groups": q_keyword_groups,
+    "keyword_groups_default": q_keyword_groups_default,
+    "global_importance_lr": q_global_importance_lr,
+    "global_importance_rf": q_global_importance_rf,
+    "dq_months_merged": q_dq_months_merged,
     "token_groups": q_token_groups,
     "grounding_check": q_grounding_check,
     "resolve_text": q_resolve_text,
