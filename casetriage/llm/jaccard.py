@@ -31,6 +31,8 @@ SKETCH = 8
 BLOCK = 1024
 #: Rows of alike groups that go to one task, about.
 DEAL_ROWS = 1 << 16
+#: Names of sets, groups or pairs that a task remembers, so as not to repeat them.
+SEEN = 100_000
 #: Rows of one signature group held in a task's memory; larger groups go on in pieces with the same leader.
 RUN_ROWS = 1 << 19
 
@@ -139,7 +141,7 @@ def signature_table(docs: DataFrame, words: int, num: int, den: int) -> DataFram
                     s = signatures(u, num, den, cache)
                     got.append(s)
                     owner.append(np.full(len(s), key))
-            if len(seen) > 200_000:
+            if len(seen) > SEEN:
                 seen.clear()
             if got:
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate(got)), _long(np.concatenate(owner))], names=["sig", "key"])
@@ -172,7 +174,7 @@ def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if g not in seen:
                 seen.add(g)
                 keep[j] = True
-        if len(seen) > 500_000:
+        if len(seen) > SEEN:
             seen.clear()
         open_sig = None
         if not keep.any():
@@ -215,18 +217,19 @@ def _with_nodes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _close_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of ``members(gid, lo, deal, key, root, m)`` in one group, of different roots, that sizes and sketches allow.
+    """Distinct pairs (a, b) of ``members(gid, lo, deals, key, root, m)`` in one group, of different roots, that sizes and sketches allow.
 
     A group of m members is cut into blocks by hash, and every pair of blocks
-    is a unit of work of bounded size; only close pairs leave it, and a task
-    names a pair once.
+    is a unit of work of bounded size, dealt out on its own; only close
+    pairs leave it, and a task names a pair once.
     """
     info = nodes.select("key", "n", *[f"x{j}" for j in range(SKETCH)])
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = members.join(info, "key").withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("lo", "deal", "gid", F.least("own", "other").alias("b1"),
-                       F.greatest("own", "other").alias("b2"), "own", "key", "root", "n", *[f"x{j}" for j in range(SKETCH)])
+    rows = rows.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")})
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("gid", "b1", "b2"), F.col("deals")))
+    rows = rows.select("lo", "deal", "gid", "b1", "b2", "own", "key", "root", "n", *[f"x{j}" for j in range(SKETCH)])
     rows = rows.repartition("lo", "deal").sortWithinPartitions("lo", "deal", "gid", "b1", "b2")
 
     def pairs_of(own, key, root, n, x):
@@ -259,7 +262,7 @@ def _close_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
                                 seen.add(pair)
                                 a.append(pair[0])
                                 b.append(pair[1])
-            if len(seen) > 500_000:
+            if len(seen) > SEEN:
                 seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -309,7 +312,7 @@ def _set_arrays(spark: SparkSession, docs: DataFrame, words: int, keys: DataFram
                 if len(sets[i]) and keys_[i] not in seen:
                     seen.add(keys_[i])
                     pick.append(i)
-            if len(seen) > 200_000:
+            if len(seen) > SEEN:
                 seen.clear()
             if pick:
                 yield pa.RecordBatch.from_arrays([_long(keys_[pick]), long_lists([sets[i] for i in pick])], names=["key", "features"])
@@ -361,7 +364,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     split = named.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     # groups that hold one component are much alike: a few tasks see them, as many as their rows need
     alike = split.groupBy("lo").agg(F.ceil(F.sum(F.col("m") * F.ceil(F.col("m") / BLOCK)) / DEAL_ROWS).alias("deals"))
-    dealt = split.join(alike, "lo").select("gid", "m", "lo", F.pmod(F.xxhash64("gid"), F.col("deals")).alias("deal"))
+    dealt = split.join(alike, "lo").select("gid", "m", "lo", "deals")
     apart = named.join(dealt, "gid").where("key <> leader")
     rest = _verified(spark, docs, _close_pairs(apart, nodes, num, den), words, num, den)
     more = written(spark, rest, "links")

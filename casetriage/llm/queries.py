@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import os
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +23,6 @@ from .topk import top_k
 from .urls import Rule, filter_urls
 from .warc_zip import round_trip
 
-#: Vocabulary file of op5; a path that every executor can open.
-PIECE_VOCABULARY = os.environ.get("PIECE_VOCABULARY") or public_tokenizers.path("piece_bpe_32k.model")
 #: Shards of op7.
 SHARDS = 24
 #: Rules of op10.
@@ -33,6 +30,14 @@ URL_RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Ru
              Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
 
 
+def piece_vocabulary() -> str:
+    """Vocabulary file of op5, a path that every executor can open: PIECE_VOCABULARY, or the installed package's."""
+    if os.environ.get("PIECE_VOCABULARY"):
+        return os.environ["PIECE_VOCABULARY"]
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -64,7 +69,7 @@ def op4_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     """Ids of all documents with an end id, and the text decoded from them, as digests."""
-    return encode_documents(_table(spark, d, "documents"), PIECE_VOCABULARY, keep_ids=False)
+    return encode_documents(_table(spark, d, "documents"), piece_vocabulary(), keep_ids=False)
 
 
 def op6_warc_zip(spark: SparkSession, d: str) -> DataFrame:
