@@ -212,6 +212,14 @@ SELECT case_id, CAST(row_seq AS BIGINT) AS file_row, CASE WHEN file_seq % 3 <> 2
  CASE WHEN file_seq % 3 = 1 THEN concat('x,', CAST(row_seq AS STRING)) END AS extra, CAST(file_seq % 3 AS INTEGER) AS month, 'ok' AS record_status
 FROM raw_cases""", "raw_cases")
 
+ORACLE["monthly_load_ragged"] = with_views("""
+SELECT CAST(case_id AS VARCHAR) AS case_id, CAST(row_seq AS VARCHAR) AS file_row, 'a "quoted" word,|and row ' || row_seq AS summary,
+ coalesce(priority, '') AS priority, coalesce(channel, '') AS channel, CASE WHEN row_seq % 5 = 0 THEN '' ELSE coalesce(gender, '') END AS gender,
+ CASE WHEN row_seq % 5 <> 2 THEN '' END AS extra, CASE WHEN row_seq % 5 <> 2 THEN coalesce(age_band, '') END AS age_band,
+ CAST(file_seq % 3 AS INTEGER) AS month, row_seq % 5 = 0 AS was_repaired,
+ CASE row_seq % 5 WHEN 0 THEN 'repaired' WHEN 1 THEN 'long' WHEN 2 THEN 'short' ELSE 'ok' END AS record_status
+FROM raw_cases""", "raw_cases")
+
 ORACLE["drop_leakage"] = with_views(
     "SELECT case_id, created_at, status, case_type, category, priority, sla_target_hours, csat_score FROM case_facts",
     "case_facts")

@@ -114,6 +114,38 @@ def q_monthly_load(spark, d):
                      F.regexp_extract("source_path", "month=([0-9])", 1).cast("int").alias("month"), "record_status")
 
 
+RAGGED = ["case_id", "file_row", "summary", "priority", "channel", "gender", "extra", "age_band"]
+
+
+def q_monthly_load_ragged(spark, d):
+    """A1/A2: monthly files with quoted line ends and rows that lack a field, lack
+    two or have one more, each file read by many tasks."""
+    from ..session import scratch_path
+    from ..sources import readers as RD
+    raw = view(spark, d, "raw_cases").withColumn("kind", F.col("row_seq") % 5)
+    quoted = F.concat(F.lit('"a ""quoted"" word,\nand row '), F.col("row_seq").cast("string"), F.lit('"'))
+    text = {"case_id": F.col("case_id").cast("string"), "file_row": F.col("row_seq").cast("string"), "summary": quoted, "extra": F.lit('""')}
+    fields = {c: text.get(c, F.coalesce(F.col(c).cast("string"), F.lit("")) if c in raw.columns else F.lit("")) for c in RAGGED}
+    fields = {c: x if c in ("summary", "extra") else F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"')) for c, x in fields.items()}
+    line = (F.when(F.col("kind") == 0, F.concat_ws(",", *[x for c, x in fields.items() if c != "gender"]))
+            .when(F.col("kind") == 1, F.concat_ws(",", *fields.values(), F.lit("more")))
+            .when(F.col("kind") == 2, F.concat_ws(",", *list(fields.values())[:-2])).otherwise(F.concat_ws(",", *fields.values())))
+    rows = raw.select((F.col("file_seq") % 3).alias("month"), F.col("row_seq").alias("o"), line.alias("value"))
+    heads = spark.createDataFrame([(m, -1, ",".join(RAGGED)) for m in range(3)], "month int, o int, value string")
+    base = scratch_path(spark, "ragged-months")
+    both = rows.select(F.col("month").cast("int"), F.col("o").cast("long"), "value").union(heads)
+    both.repartition("month").sortWithinPartitions("month", "o").select("month", "value").write.partitionBy("month").text(base)
+    paths = [p for m in range(3) for p in sorted(f.path for f in _files(spark, f"{base}/month={m}"))]
+    df = RD.read_monthly(spark, paths, repair_at=RAGGED.index("gender"), many_tasks=True)
+    return df.select("case_id", "file_row", F.replace("summary", F.lit("\n"), F.lit("|")).alias("summary"), "priority", "channel", "gender", "extra",
+                     "age_band", F.regexp_extract("source_path", "month=([0-9])", 1).cast("int").alias("month"), "was_repaired", "record_status")
+
+
+def _files(spark, folder):
+    """The data files of a folder, by the cluster's file system."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path").collect()
+
+
 def q_drop_leakage(spark, d):
     return C.drop_leakage(view(spark, d, "case_facts"))
 
@@ -227,6 +259,7 @@ QUERIES = {
     "priority_filter_ordered": q_priority_filter_ordered,
     "case_validation": q_case_validation,
     "monthly_load": q_monthly_load,
+    "monthly_load_ragged": q_monthly_load_ragged,
     "drop_leakage": q_drop_leakage,
     "select_existing": q_select_existing,
     "impute_mode_onehot": q_impute_mode_onehot,

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .records import read_records
+
 CORRUPT = "_corrupt_record"
 # Quoted empty fields read as "", unquoted empty and missing ones as null.
 _MISSING = "\u0000<missing>\u0000"
@@ -73,11 +75,25 @@ def _uri(spark: SparkSession, path: str) -> str:
     return re.sub(_SLASHES, r"\1:/", fs.makeQualified(p).toUri().toString())
 
 
-def read_monthly(spark: SparkSession, paths: list[str], repair_at: int | None = GENDER_POSITION) -> DataFrame:
+def _parsed(spark: SparkSession, schema: StructType, paths: list[str]) -> DataFrame:
+    """The rows of files with one header, their records found by many tasks and parsed as ``_csv`` does."""
+    records = read_records(spark, paths).where("at > 0")  # the first record is the header
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "nullValue": _MISSING, "emptyValue": "",
+               "multiLine": "true"}
+    fields = F.from_csv(F.regexp_replace("record", "\r$", ""), schema.toDDL(), options)
+    return records.select(fields.alias("r"), F.regexp_replace("path", _SLASHES, "$1:/").alias("source_path"),
+                          F.col("at").alias("row_seq")).select("r.*", "source_path", "row_seq")
+
+
+def read_monthly(spark: SparkSession, paths: list[str], repair_at: int | None = GENDER_POSITION, many_tasks: bool = False) -> DataFrame:
     """A1 (+A2): ordered multi-file load, each file by its own header,
     stacked by name (a column that a file lacks is null); adds ``file_seq``
     (1-based position in ``paths``), ``row_seq`` (order inside the file),
-    ``source_path`` and the status columns of ``repair_shift``."""
+    ``source_path`` and the status columns of ``repair_shift``.
+
+    ``many_tasks`` cuts large files into blocks that are read at the same
+    time (``records.py``); otherwise a file is one task, as its values may hold
+    line ends."""
     if not paths:
         raise FileNotFoundError("no input files")
     by_header: dict[tuple, list[tuple[int, str]]] = {}
@@ -88,9 +104,12 @@ def read_monthly(spark: SparkSession, paths: list[str], repair_at: int | None =
         schema = StructType([StructField(c, StringType()) for c in (*cols, CORRUPT)])
         # the list of files is the caller's, one small row each
         seq = spark.createDataFrame([(_uri(spark, p), i) for i, p in files], "source_path string, file_seq int")
-        df = (_csv(spark, schema).load([p for _, p in files])
-              .withColumn("source_path", F.regexp_replace(F.col("_metadata.file_path"), _SLASHES, "$1:/"))
-              .withColumn("row_seq", F.monotonically_increasing_id()))
+        if many_tasks:
+            df = _parsed(spark, schema, [p for _, p in files])
+        else:
+            df = (_csv(spark, schema).load([p for _, p in files])
+                  .withColumn("source_path", F.regexp_replace(F.col("_metadata.file_path"), _SLASHES, "$1:/"))
+                  .withColumn("row_seq", F.monotonically_increasing_id()))
         df = repair_shift(df.join(F.broadcast(seq), "source_path").select(*df.columns, "file_seq"), list(cols), repair_at)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
