@@ -123,13 +123,15 @@ def shard_table(docs: DataFrame) -> DataFrame:
 
 
 class _Filter:
-    """A bitmap of hashes, of at most 2**MOST_BITS bits; it may let others through."""
+    """A bitmap of the first bits of hashes, of at most 2**MOST_BITS bits; it may let others through.
+
+    ``frequent(h)`` has the first 32 bits of every hash that may be frequent."""
     def __init__(self, frequent: DataFrame):
         n = max(1, frequent.count())
         size = min(MOST_BITS, max(12, (16 * n).bit_length()))
-        at = F.shiftrightunsigned("h", 64 - size)
-        got = frequent.groupBy(F.shiftrightunsigned(at, 6).cast("int").alias("w")).agg(
-            F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - size}) & 63 as int))")).alias("m")).toArrow()
+        at = F.shiftrightunsigned("h", 32 - size)
+        got = frequent.groupBy(F.shiftrightunsigned(at, 6).alias("w")).agg(
+            F.bit_or(F.expr(f"shiftleft(1L, shiftrightunsigned(h, {32 - size}) & 63)")).alias("m")).toArrow()
         bits = np.zeros(1 << (size - 6), dtype=np.uint64)
         bits[got["w"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
         self.bits, self.shift = bits, np.uint64(64 - size)
@@ -176,15 +178,19 @@ def _arrays(batch: pa.RecordBatch):
 
 
 def _counted(shards: DataFrame, filters: list) -> DataFrame:
-    """(h, a) of the phrases that are one word longer than those of the last filter."""
+    """(h, a) of the phrases that are one word longer than those of the last filter, summed by the first 32 bits of their hash.
+
+    That is never less than a phrase's own count, and half the bytes: the filter made of it needs no more, and phrases are
+    counted by their words in the end."""
     shared = shards.sparkSession.sparkContext.broadcast(filters)
 
     def added(held: list) -> pa.RecordBatch:
         h, a = (np.concatenate(x) for x in zip(*held))
+        h = (h >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(h)
         first = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0]) if len(h) else np.zeros(0, np.int64)
         a = np.add.reduceat(a[order], first) if len(h) else a
-        return pa.RecordBatch.from_arrays([pa.array(h[order[first]].view(np.int64)), pa.array(a)], names=["h", "a"])
+        return pa.RecordBatch.from_arrays([pa.array(h[order[first]].view(np.int32)), pa.array(a)], names=["h", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -199,7 +205,7 @@ def _counted(shards: DataFrame, filters: list) -> DataFrame:
                     held, n = [], 0
         if held:
             yield added(held)
-    return shards.select("bwt", "hashes").mapInArrow(run, "h long, a long").groupBy("h").agg(F.sum("a").alias("a"))
+    return shards.select("bwt", "hashes").mapInArrow(run, "h int, a long").groupBy("h").agg(F.sum("a").alias("a"))
 
 
 def _named(shards: DataFrame, filters: list) -> DataFrame:
