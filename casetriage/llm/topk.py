@@ -23,8 +23,8 @@ from .common import written
 
 #: Column blocks of a vector; query vectors of a block; cells of a score matrix in a task.
 LISTS, QUERY_BLOCK, CELLS = 2, 4096, 1 << 21
-#: Components saturate here, so that sums over 2048 components stay exact in 64 bits.
-LARGEST = 1 << 26
+#: Scores saturate here, as a long holds no more; larger components than that can't be told apart.
+LARGEST = 1 << 62
 
 
 def quantised(vec: str, scale: int) -> Column:
@@ -49,10 +49,15 @@ def _products(q: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
     width = max(q.shape[1], x.shape[1])
     q, x = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (q, x))
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(width, 1)
-    kind = np.float64 if top < 2**53 else np.int64
+    kind = np.float64 if top < 2**53 else np.int64 if top < LARGEST else object  # Python's own numbers beyond 64 bits
     return [(q[:, b].astype(kind) @ x[:, b].T.astype(kind)) for b in np.array_split(np.arange(width), LISTS)]
 
 
+def _whole(parts: list[np.ndarray]) -> np.ndarray:
+    total = sum(parts)
+    return np.clip(total, -LARGEST, LARGEST).astype(np.int64) if total.dtype == object else total.astype(np.int64)
+
+
 def _rows_of(batches, width, step):
     """(ids, matrix) of at most ``step`` rows of (cid, v) batches."""
     for batch in batches:
@@ -77,15 +82,15 @@ def _search_block(classes: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
         held = np.full((n_q, 0), 0, np.int64)
         for _, x in _rows_of(batches, width, step):
             lists = _products(shared.value, x)
-            whole = sum(lists)
+            whole = _whole(lists)
             cols = []
             for part in lists:
                 m = min(k, part.shape[1])
-                cols.append(np.argpartition(-part, m - 1, axis=1)[:, :m])
+                cols.append(np.argpartition(-part.astype(float), m - 1, axis=1)[:, :m])  # any entries make a safe cutoff
             at = np.sort(np.concatenate(cols, axis=1), axis=1)
             again = np.zeros(at.shape, bool)
             again[:, 1:] = at[:, 1:] == at[:, :-1]
-            got = np.where(again, np.iinfo(np.int64).min, np.take_along_axis(whole, at, 1).astype(np.int64))
+            got = np.where(again, np.iinfo(np.int64).min, np.take_along_axis(whole, at, 1))
             held = np.concatenate([held, got], axis=1)
             held = -np.sort(-held, axis=1)[:, :k]
         row, col = np.nonzero(held > np.iinfo(np.int64).min)
@@ -107,11 +112,11 @@ def _search_block(classes: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
         share = np.where(limit > lowest, limit / LISTS, -np.inf)[:, None]
         for ids, x in _rows_of(batches, width, step):
             lists = _products(shared.value, x)
-            passing = lists[0] >= share
+            passing = np.asarray(lists[0] >= share, bool)
             for part in lists[1:]:
-                passing |= part >= share
+                passing |= np.asarray(part >= share, bool)
             row, col = np.nonzero(passing)
-            score = sum(part[row, col].astype(np.int64) for part in lists)
+            score = _whole([part[row, col] for part in lists])
             keep = score >= limit[row]
             row, col, score = row[keep], col[keep], score[keep]
             # a query needs no more than k of one piece of rows
@@ -133,7 +138,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     id; fewer rows where there are fewer candidates.  Vectors that are null or
     hold null, NaN or infinite components, and rows without id, take no part;
     an empty vector scores 0; a shorter vector counts as ending in zeros;
-    components beyond 2**26 saturate; equal rows count once.  Equal vectors are
+    scores beyond 2**62 saturate there; equal rows count once.  Equal vectors are
     searched once and share their lists.  Other columns are not looked at.
     """
     spark = vectors.sparkSession

@@ -50,3 +50,13 @@ def test_fewer_candidates_than_k_and_empty(spark):
 def test_large_components_stay_exact(spark):
     rows = [(i, [float(2**17 + i), float(-(2**17) + 3 * i)]) for i in range(30)]
     assert run(spark, rows, 3, 10) == brute(rows, 3, 10)
+
+
+def test_components_of_any_size(spark):
+    """Components are floored whole; scores are exact as far as a long goes and saturate beyond 2^62."""
+    rows = [(0, [1.0, 1.0]), (1, [3e6, 0.0]), (2, [2e6, 0.0]), (3, [2.0**23, -7.0]), (4, [2.0**23, -6.0]), (5, [2.0**24, 2.0**21])]
+    assert run(spark, rows, 5, 5) == brute(rows, 5, 5)
+    rows += [(6, [1e30, 1.0]), (7, [-1e30, 3.0]), (10, [2.0**40, 2.0**40])]
+    want = [(q, r, c, max(-(2**62), min(2**62, s))) for q, r, c, s in brute(rows, 8, 5)]
+    got = run(spark, rows, 8, 5)
+    assert [x[3] for x in got] == [x[3] for x in want] and sorted(x[:2] + x[3:] for x in got) == sorted(x[:2] + x[3:] for x in want)
