@@ -8,10 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_hot  # noqa: F401  (the operators take it from here)
 from ..session import scratch_path
 
 #: Words are cut from the text in pieces of about this many bytes (bounds task memory).
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -151,18 +152,6 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, parts: int = 256) -> DataFrame:
-    """Left join with ``right``, which has one row a key and in ``weight`` what bounds the left rows that hold the key.
-
-    Weights add up to ``total`` (or a small multiple).  So no more than ``parts`` keys (or that multiple) have at
-    least 1/``parts`` of it: those go to every task; all other keys are small and are shuffled.
-    """
-    hot = F.broadcast(right.where(F.col(weight) * parts >= total).drop(weight))
-    rest = right.where(F.col(weight) * parts < total).drop(weight)
-    cold = left.join(hot.select(*on), on, "left_anti").join(rest, on, "left")
-    return left.join(hot, on).unionByName(cold)
-
-
 def crc_of_id(col: str):
     """crc32 of the id written as decimal text; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(0))

@@ -33,7 +33,7 @@ CUTS = (2, 8, 32, 128, 512)
 #: A centroid of one text or of less than this share of its language's sampled texts holds outliers and is dropped.
 OUTLIERS = 0.01
 #: Bytes and rows of text vectorised at a time.
-SLICE, ROWS = 1 << 20, 512
+SLICE, ROWS = 1 << 18, 128
 
 _LETTER = re.compile(r"[^\W\d_]")
 _JAVA_LETTER = r"[\p{L}\p{Nl}\p{No}]"  # the same letters
