@@ -12,11 +12,13 @@ no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.scalar import PRIORITY_LEVELS, const_array
@@ -120,17 +122,30 @@ def shap_all_classes_abs_mean(df: DataFrame, ex: LinearExplainer, features: str
     return d.withColumn("abs_phi", F.transform(summed, lambda v: v / k)).drop("_dx")
 
 
-def importance_table(spark: SparkSession, mean, names: list[dict]) -> DataFrame:
-    """(feature, importance) from one vector of means, most important first."""
-    rows = [(n["name"], float(mean[n["idx"]])) for n in names] if mean is not None else []
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of a task to their number and their sum."""
+    n, total = 0, None
+    for b in batches:
+        if b.num_rows:
+            x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1).sum(axis=0)
+            n, total = n + b.num_rows, x if total is None else total + x
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total], pa.list_(pa.float64()))], names=["n", "total"])
+
+
+def mean_importance(vectors: DataFrame, names: list[dict]) -> DataFrame:
+    """(feature, importance): the mean of the rows' only column, an array with
+    a value a feature, most important first.  The vectors are added up
+    inside the tasks: one vector a task is shuffled, not a row a case and slot."""
+    from ..reshape import explode_array
+    parts = vectors.mapInArrow(_added_up, "n long, total array<double>")
+    means = explode_array(parts, ["n"], "total", "v", "idx").groupBy("idx").agg((F.sum("v") / F.sum("n")).alias("importance"))
+    names_ = const_array([n["name"] for n in names])
+    return means.select(names_[F.col("idx")].alias("feature"), "importance").orderBy(F.desc("importance"), "feature")
 
 
 def global_importance(sample: DataFrame, ex: LinearExplainer, features: str = "features",
                       key: str = "case_id") -> DataFrame:
     """Mean |phi| per feature over the sample rows and all classes,
-    most important first.  The vectors are added up inside the tasks: one
-    vector a task is shuffled, not a row a case and slot."""
-    rows = shap_all_classes_abs_mean(sample, ex, features)
-    mean = rows.select(Summarizer.mean(array_to_vector("abs_phi")).alias("m")).first()["m"]
-    return importance_table(sample.sparkSession, mean if mean is not None and len(mean) else None, ex.names)
+    most important first."""
+    return mean_importance(shap_all_classes_abs_mean(sample, ex, features).select("abs_phi"), ex.names)
