@@ -17,7 +17,8 @@ from .oracle import ORACLE, _cte, _split_sql
 from ..operators.tuning import DT_SPACE
 from .queries import (QUERIES, RF, SOURCE_FEATURES, TRIALS, _dt_trials, _scored, _triage, q_dt_scored, q_explain_batch_lr, q_explain_dispatch, q_global_importance_lr,
                       q_global_importance_rf,
-                      q_model_roundtrip, q_score_all, q_shap_coalitions, q_shap_sampled, q_shap_tree, q_stream_scored, q_variant_b_scored)
+                      q_model_roundtrip, q_score_all, q_shap_coalitions, q_shap_sampled, q_shap_tree, q_stream_latest, q_stream_scored,
+                      q_variant_b_scored)
 
 EPS = 1e-9
 
@@ -71,12 +72,21 @@ def q_model_roundtrip_facts(spark, d):
     return q_model_roundtrip(spark, d).select("case_id", "same")
 
 
-def q_stream_facts(spark, d):
-    """The stream keeps one row of every new case, of its latest version, equal to the batch's prediction (confidences have three digits)."""
+def _stream_facts(spark, d, stream):
     batch = _scored(spark, d, "lr", ("new",)).select("case_id", F.col("predicted_priority").alias("p"), F.col("confidence").alias("c"))
     same = ~F.col("is_valid") & F.col("predicted_priority").isNull() | F.col("is_valid") & (F.col("predicted_priority") == F.col("p")) & (
         F.abs(F.col("confidence") - F.col("c")) <= 0.0005 + EPS)
-    return q_stream_scored(spark, d).join(batch, "case_id").select("case_id", F.col("version").cast("int"), same.alias("as_batch"))
+    return stream.join(batch, "case_id").select("case_id", F.col("version").cast("int"), same.alias("as_batch"))
+
+
+def q_stream_facts(spark, d):
+    """The stream keeps one row of every new case, of its latest version, equal to the batch's prediction (confidences have three digits)."""
+    return _stream_facts(spark, d, q_stream_scored(spark, d))
+
+
+def q_stream_latest_facts(spark, d):
+    """The same of the rows kept in the stream's state."""
+    return _stream_facts(spark, d, q_stream_latest(spark, d))
 
 
 def q_shap_coalitions_facts(spark, d):
@@ -149,6 +159,7 @@ QUERIES.update({
     "shap_coalitions_facts": q_shap_coalitions_facts,
     "model_roundtrip_facts": q_model_roundtrip_facts,
     "stream_facts": q_stream_facts,
+    "stream_latest_facts": q_stream_latest_facts,
     "tune_facts": q_tune_facts,
     "model_sums_facts": q_gradient_facts,
     "importance_facts": q_importance_facts,
@@ -175,7 +186,7 @@ FROM test, (VALUES ('lr', 'linear'), ('dt', 'tree'), ('rf', 'tree'), ('vote', 'a
 ORACLE["shap_tree_facts"] = _rows("SELECT case_id, true AS additive, true AS is_model_prob FROM test")
 ORACLE["shap_sampled_facts"] = _rows(f"SELECT case_id, {len(SOURCE_FEATURES)} AS n_features, true AS additive FROM test")
 ORACLE["model_roundtrip_facts"] = _rows("SELECT case_id, true AS same FROM test")
-ORACLE["stream_facts"] = _rows(
+ORACLE["stream_facts"] = ORACLE["stream_latest_facts"] = _rows(
     "SELECT case_id, CASE WHEN channel = 'email' THEN 2 ELSE 1 END AS version, true AS as_batch FROM fresh")
 ORACLE["shap_coalitions_facts"] = _rows(
     f"SELECT case_id, {len(SOURCE_FEATURES)} AS n_features, true AS additive, true AS is_model_prob FROM test")

@@ -723,12 +723,10 @@ QUERIES.update({
 
 # ------------------------------------------------------------ streaming ----
 
-def q_stream_scored(spark, d):
-    """J1 + J2: the unlabelled cases arrive as small files (plus a later
-    re-send of some of them); the stream scores and explains them and the
-    read side keeps the latest version of every case."""
+def _scored_stream(spark, d, stateful):
+    """Run the stream over the unlabelled cases and a re-send; (out folder, checkpoint)."""
     from ..session import scratch_path
-    from ..streaming.scoring import latest_scores, score_stream
+    from ..streaming.scoring import score_stream
     from .explain import lr_explainer
     from .flagship import FEATURE_COLS
     t, ex, slots = lr_explainer(spark, d)
@@ -741,8 +739,23 @@ def q_stream_scored(spark, d):
     resent.coalesce(1).write.mode("append").parquet(f"{base}/in")
     schema = new.withColumn("version", F.lit(1)).schema
     score_stream(spark, f"{base}/in", schema, t.space, t.model, ex, slots,
-                 f"{base}/out", f"{base}/ckpt", max_files_per_trigger=2)
-    return latest_scores(spark, f"{base}/out")
+                 f"{base}/out", f"{base}/ckpt", max_files_per_trigger=2, stateful=stateful)
+    return f"{base}/out", f"{base}/ckpt"
+
+
+def q_stream_scored(spark, d):
+    """J1 + J2: the unlabelled cases arrive as small files (plus a later
+    re-send of some of them); the stream scores and explains them and the
+    read side keeps the latest version of every case."""
+    from ..streaming.scoring import latest_scores
+    return latest_scores(spark, _scored_stream(spark, d, False)[0])
+
+
+def q_stream_latest(spark, d):
+    """J1 + J2: the same stream with the latest version of every case kept
+    in its state, and read from there."""
+    from ..streaming.scoring import latest_state
+    return latest_state(spark, _scored_stream(spark, d, True)[1])
 
 
 def q_export_roundtrip(spark, d):
@@ -758,6 +771,7 @@ def q_export_roundtrip(spark, d):
 
 QUERIES.update({
     "stream_scored": q_stream_scored,
+    "stream_latest": q_stream_latest,
     "export_roundtrip": q_export_roundtrip,
 })
 
