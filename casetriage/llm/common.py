@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,6 +18,10 @@ from ..session import scratch_path
 #: Words are cut from the text in pieces of about this many bytes (bounds task memory).
 PIECE_BYTES = 1 << 19
 
+#: Bytes of a batch that Spark hands to a Python worker, at most, but for one longer row.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -145,6 +153,25 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, size: int) -> list[np.ndar
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on an Arrow batch to BATCH_BYTES: ten thousand whole texts at a time take too much memory."""
+    now = spark.conf.get(_BATCH).strip().lower()
+    if not now.removesuffix("b").isdigit() or int(now.removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same function of batches, which at a task's end gives freed memory back; Spark keeps its worker for other tasks."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+    return task
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a table in the shared folder (survives lost executors)."""
     path = scratch_path(spark, name)

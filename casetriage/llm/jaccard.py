@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_lists, mix, shingle_hashes, text_slices, word_hashes, written
+from .common import frugal, long_lists, mix, shingle_hashes, small_batches, text_slices, word_hashes, written
 from .components import connected_components
 
 #: Cells of a first-level partition; a signature leaves out one of them.
@@ -126,7 +126,7 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
             cols += [_long(sketch[:, j]) for j in range(SKETCH)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n"] + [f"x{j}" for j in range(SKETCH)])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, key long, n long, " + ", ".join(f"x{j} long" for j in range(SKETCH)))
+    return docs.mapInArrow(frugal(run), f"doc_id {kind}, key long, n long, " + ", ".join(f"x{j} long" for j in range(SKETCH)))
 
 
 def signature_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -145,7 +145,7 @@ def signature_table(docs: DataFrame, words: int, num: int, den: int) -> DataFram
                 seen.clear()
             if got:
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate(got)), _long(np.concatenate(owner))], names=["sig", "key"])
-    return docs.mapInArrow(run, "sig long, key long")
+    return docs.mapInArrow(frugal(run), "sig long, key long")
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +277,7 @@ def _close_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
         if held is not None:
             yield out(held)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def _member_test(bits: np.ndarray, shift: int):
@@ -317,7 +317,7 @@ def _set_arrays(spark: SparkSession, docs: DataFrame, words: int, keys: DataFram
             if pick:
                 yield pa.RecordBatch.from_arrays([_long(keys_[pick]), long_lists([sets[i] for i in pick])], names=["key", "features"])
 
-    return docs.mapInArrow(run, "key long, features array<long>").groupBy("key").agg(F.first("features").alias("features"))
+    return docs.mapInArrow(frugal(run), "key long, features array<long>").groupBy("key").agg(F.first("features").alias("features"))
 
 
 def _verified(spark, docs, pairs, words, num, den) -> DataFrame:
@@ -345,12 +345,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     compared by 64-bit hashes, every candidate pair by its whole sets.
     """
     spark, (num, den) = docs.sparkSession, threshold
+    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = written(spark, set_table(docs, words), "sets")
     nodes = table.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
                                                    *[F.first(f"x{j}").alias(f"x{j}") for j in range(SKETCH)])
     sigs = signature_table(docs, words, num, den).repartition("sig").sortWithinPartitions("sig", "key")
-    groups = written(spark, sigs.mapInArrow(_shared_runs, "gid long, leader long, key long"), "groups")
+    groups = written(spark, sigs.mapInArrow(frugal(_shared_runs), "gid long, leader long, key long"), "groups")
 
     # First every member against the leader of its groups: linear in the rows.
     led = groups.where("leader <> key").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()

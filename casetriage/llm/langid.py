@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_slices, utf8_parts
+from .common import frugal, small_batches, text_slices, utf8_parts, written
 
 #: Hashed features, centroids and sampled texts per language (the bound of the fit).
 FEATURES, CENTROIDS, SAMPLE = 4096, 4, 1000
@@ -109,8 +109,27 @@ def _cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c[(held >= min(held.max(), max(2, OUTLIERS * len(vectors))))]
 
 
+def sampled_texts(docs: DataFrame, sample: int) -> DataFrame:
+    """(lang, text): of every language the ``sample`` different texts with the smallest hashes, or all if there are fewer.
+
+    Ids have no part in it and equal texts count once, so the bound holds for
+    any rows.  The cut lies in one of 65,536 buckets of hashes, found by their
+    counts; only that bucket's hashes are ranked.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("lang", "text", F.shiftrightunsigned(F.xxhash64("text", F.lit("sample")), 1).alias("h"))
+    hashes = written(spark, rows.select("lang", "h", F.shiftright("h", 47).alias("bucket")).distinct(), "text-hashes")
+    before = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashes.groupBy("lang", "bucket").agg(F.count("*").alias("n")).withColumn("held", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    cut = counts.where(F.col("held") < sample).groupBy("lang").agg(F.max("bucket").alias("bucket"), F.max("held").alias("held"))
+    # one row a language, as the model itself has: small enough for every task
+    ranked = hashes.join(F.broadcast(cut), ["lang", "bucket"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    last = ranked.where(F.col("r") <= sample - F.col("held")).groupBy("lang").agg(F.max("h").alias("last"))
+    return rows.join(F.broadcast(last), "lang").where("h <= last").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
-    """Centroids of every language in ``docs(doc_id, text, lang)``; ``sample`` bounds the texts clustered for each."""
+    """Centroids of every language in ``docs(text, lang)``; ``sample`` bounds the texts clustered for each."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(_JAVA_LETTER))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,18 +141,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Ce
                 n += hi - lo
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(np.append(df, n))], names=["i", "x"])
 
-    got = docs.select("text").mapInArrow(frequencies, "i long, x long").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    got = docs.select("text").mapInArrow(frugal(frequencies), "i long, x long").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
     df = np.zeros(FEATURES + 1)
     df[got["i"].to_numpy()] = got["x"].to_numpy()
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
-    # the texts of the smallest id hashes of each language; only the hash that bounds them is gathered
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    first = Window.partitionBy("lang").orderBy("h")
-    bound = (docs.select("lang", order.alias("h")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample)
-             .groupBy("lang").agg(F.max("h").alias("last")))
-    # one row a language, as the model itself has: small enough for every task
-    picked = docs.withColumn("h", order).join(F.broadcast(bound), "lang").where("h <= last").select("lang", "text")
+    picked = written(docs.sparkSession, sampled_texts(docs, sample).repartition(32), "language-sample")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +161,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Ce
         rows = rows[np.lexsort(rows[:, :8].T)]
         return pd.DataFrame({"lang": frame["lang"].iloc[0], "v": list(_cluster(rows, centroids))})
 
-    found = (picked.mapInArrow(vectors, "lang string, v array<float>").groupBy("lang")
+    found = (picked.mapInArrow(frugal(vectors), "lang string, v array<float>").groupBy("lang")
              .applyInPandas(clustered, "lang string, v array<float>").toPandas())
     found = found.assign(key=[tuple(v[:16]) for v in found["v"]]).sort_values(["lang", "key"]) if len(found) else found
     vecs = np.stack(found["v"].to_numpy()).astype(np.float32) if len(found) else np.zeros((0, FEATURES), np.float32)
@@ -173,7 +186,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Ce
     floor = np.full((len(vecs), _CLASSES), np.nan)
     if len(vecs):
         # at most CUTS + 1 numbers a sampled text
-        low = (picked.mapInArrow(own_cosines, "centroid long, class long, cosine double").groupBy("centroid", "class")
+        low = (picked.mapInArrow(frugal(own_cosines), "centroid long, class long, cosine double").groupBy("centroid", "class")
                .agg(F.percentile("cosine", F.lit(QUANTILE)).alias("q")).collect())
         for r in low:
             floor[r["centroid"], r["class"]] = r["q"]
@@ -193,10 +206,12 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     score, rejected) and the columns in ``keep``, one row per row of ``docs``;
     score is the cosine, 0 to 1.  lang_pred is ``und`` with score 0 for null
     texts, texts without a letter, and when nothing could be learned; such rows
-    are rejected, as are texts far from every centroid.  Ids only choose the
-    sample; repeated rows are rows of their own.
+    are rejected, as are texts far from every centroid.  Ids, null and repeated
+    ones too, have no part in the fit, and equal texts of a language count once
+    in its sample; repeated rows are rows of their own.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     extra = [F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)]
     docs = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"),
@@ -225,5 +240,5 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = f"doc_id {kinds['doc_id']}, held_out boolean, lang_pred string, score double, rejected boolean"
     schema += "".join(f", keep{i} {kinds[f'keep{i}']}" for i in range(len(keep)))
-    got = docs.mapInArrow(run, schema)
+    got = docs.mapInArrow(frugal(run), schema)
     return got.select("doc_id", "held_out", "lang_pred", "score", "rejected", *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])

@@ -1,8 +1,10 @@
 import base64
+import math
 import zlib
 
-from casetriage.llm.langid import identify_languages, term_counts
+from casetriage.llm.langid import FEATURES, fit, identify_languages, sampled_texts, term_counts
 from casetriage.llm.queries import op8_language_id
+from pyspark.sql import functions as F
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +80,42 @@ def test_foreign_scripts_and_junk_are_rejected_at_any_size(spark, sf_dir):
     assert sum(got[-101 - i] for i in range(len(short))) <= 2
     assert got[-1001] and got[-1002]
     assert sum(v for k, v in got.items() if k >= 0) < 0.01 * docs.count()
+
+
+def test_the_sample_is_bounded_for_any_ids(spark):
+    rows = [(None, f"wort{i} und mehr", "de") for i in range(600)] + [(1, f"word{i} and more", "en") for i in range(300)]
+    rows += [(None, "always the same", "en")] * 500 + [(7, f"mot{i}", "fr") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = sampled_texts(docs, 50).collect()
+    assert len(set(got)) == len(got)
+    assert {k: sum(r.lang == k for r in got) for k in ("de", "en", "fr")} == {"de": 50, "en": 50, "fr": 40}
+    assert sorted(got) == sorted(sampled_texts(docs.repartition(2).withColumn("doc_id", F.lit(3)), 50).collect())
+    assert len(sampled_texts(docs, 1).collect()) == 3 and sampled_texts(docs.limit(0), 5).collect() == []
+
+
+def plain_counts(text):
+    """Hashed byte 1- to 3-grams by a plain loop."""
+    raw = bytes(48 if chr(b).isdigit() and b < 128 else b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    out = {}
+    for size in (1, 2, 3):
+        for i in range(len(raw) - size + 1):
+            code = size
+            for b in raw[i:i + size]:
+                code = (code * 0x01000193 & 0xFFFFFFFF) ^ b
+            code = (code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - FEATURES.bit_length() + 1)
+            out[code] = out.get(code, 0) + 1
+    return out
+
+
+def test_prediction_is_the_plain_nearest_centroid(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where("octet_length(text) < 4000")
+    model = fit(docs.select("text", "lang"))
+    got = {r.doc_id: r for r in identify_languages(docs).collect()}
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        if got[r.doc_id].lang_pred == "und":
+            continue
+        v = {i: math.log1p(n) * float(model.idf[i]) for i, n in plain_counts(r.text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosine = [sum(x * float(c[i]) for i, x in v.items()) / norm for c in model.vectors]
+        assert abs(got[r.doc_id].score - max(cosine)) < 1e-4
+        assert max(c for c, k in zip(cosine, model.langs) if k == got[r.doc_id].lang_pred) > max(cosine) - 1e-5
