@@ -100,3 +100,20 @@ def test_const_array_equals_lit(spark):
     assert all(same(x, y) for x, y in zip(r.a, r.b)) and len(r.a) == len(r.b)
     assert all(same(x, y) for u, v in zip(r.c, r.d) for x, y in zip(u, v))
     assert r.e == r.f and r.g == [True, False] and r.i == [1, 3000000000]
+
+
+def test_trees_are_trained_by_all_cores(spark):
+    """Rows of a tree trainer reach every core, if each gets a thousand; an LR's stay together, as its jobs are short."""
+    from casetriage.operators import models as M
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(0, cores * 1000, 1, 2 * cores)
+    assert M.persist_training(df, cores * 1000).rdd.getNumPartitions() == 1
+    assert M.persist_training(df, cores * 1000, trees=True).rdd.getNumPartitions() == cores
+    assert M.persist_training(df.coalesce(1), cores * 1000, trees=True).rdd.getNumPartitions() == cores
+    assert M.persist_training(df, 900, trees=True).rdd.getNumPartitions() == 1
+
+
+def test_classifiers_share_one_feature_fit(spark):
+    from casetriage.plans.flagship import fit_triage
+    a, b = (fit_triage(spark, "/root/testdata/sf0.001", kind) for kind in ("lr", "dt"))
+    assert a.space is b.space and a.data is b.data
