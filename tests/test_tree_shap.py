@@ -113,3 +113,15 @@ def test_sampled_shapley_is_efficient(spark):
     for r in per:
         assert r.k == 6
         assert abs(r.t - (r.fx - r.b)) < 1e-9
+
+
+def test_rows_of_one_partition_reach_all_cores(spark, tmp_path):
+    """A sample of a few rows comes in one partition; every row meets every leaf, so the rows are dealt out."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, Vectors.dense(r), float(i % 3)) for i, r in enumerate(rng.random((60, 4)))], ["case_id", "features", "label"])
+    m = DecisionTreeClassifier(maxDepth=4).fit(df)
+    scored = m.transform(df.coalesce(1)).withColumnRenamed("prediction", "predicted_priority")
+    out = shap_tree(spark, scored, m, str(tmp_path / "dealt"))
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    for r in out.collect():
+        assert abs(r.base_value + sum(r.phi) - r.fx) < 1e-10
