@@ -117,3 +117,21 @@ def test_classifiers_share_one_feature_fit(spark):
     from casetriage.plans.flagship import fit_triage
     a, b = (fit_triage(spark, "/root/testdata/sf0.001", kind) for kind in ("lr", "dt"))
     assert a.space is b.space and a.data is b.data
+
+
+@pytest.mark.parametrize("n", [1, 3, 8, 20, 200])
+def test_frequent_terms_are_those_of_all_counts(spark, n, monkeypatch):
+    """Equal counts, words of one text, repeated pairs, null and empty texts; and pairs of rare words are never counted."""
+    texts = ["aa bb aa bb cc", "aa bb dd ee", "cc cc cc", "xx xx xx xx xx xx", "dd ee dd ee ff gg", "hh ii", "hh ii jj kk", None, "", "Aa_1 ll"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "case_id int, case_summary string").repartition(3)
+    for least in (1, 2):
+        want = FE.select_vocabulary(FE.term_stats(df), least, n).collect()
+        assert FE.frequent_terms(df, least, n).collect() == want
+        with monkeypatch.context() as m:
+            m.setattr(FE, "MAX_FREQUENT", 1)
+            assert FE.frequent_terms(df, least, n).collect() == want
+    counted = []
+    inner = FE._gram_stats
+    monkeypatch.setattr(FE, "_gram_stats", lambda g: counted.append(inner(g)) or counted[-1])
+    FE.frequent_terms(df, 2, 3).collect()
+    assert "hh ii" not in {r.term for part in counted for r in part.collect()}
