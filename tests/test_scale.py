@@ -135,3 +135,26 @@ def test_frequent_terms_are_those_of_all_counts(spark, n, monkeypatch):
     monkeypatch.setattr(FE, "_gram_stats", lambda g: counted.append(inner(g)) or counted[-1])
     FE.frequent_terms(df, 2, 3).collect()
     assert "hh ii" not in {r.term for part in counted for r in part.collect()}
+
+
+def test_forest_is_grown_by_several_fits_at_a_time(spark, monkeypatch):
+    """Fits with few rows share the cores; their trees make one forest, which a saved copy equals."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+    from casetriage.operators import models as M
+    cores = spark.sparkContext.defaultParallelism
+    assert M.tree_fits(spark.range(1), 16_478) == (1, cores)
+    assert M.tree_fits(spark.range(1), M.ROWS_PER_TRAINING_PARTITION * cores) == (cores, 1)
+    monkeypatch.setattr(M, "ROWS_PER_TREE_PARTITION", 100)
+    rows = spark.range(300).select(
+        array_to_vector(F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double"))).alias("features"),
+        (F.col("id") % 7 > 3).cast("int").alias("priority_encoded"), F.lit(1.0).alias("weight"))
+    whole = []
+    monkeypatch.setattr(M, "_fit_forests", lambda *a, f=M._fit_forests: whole.append(a[2:]) or f(*a))
+    m = M.train_rf(rows, num_trees=11, max_depth=3)
+    assert whole == [(min(3, cores), 1)]
+    assert m.getNumTrees == len(m.trees) == 11 and m.numFeatures == 2 and m.numClasses == 2 and m.getMaxDepth() == 3
+    assert m.totalNumNodes == sum(t.numNodes for t in m.trees)
+    assert abs(sum(m.featureImportances.toArray()) - 1) < 1e-9
+    assert m.transform(rows).where("prediction = priority_encoded").count() == 300
+    assert len({t.toDebugString for t in m.trees}) > 1
