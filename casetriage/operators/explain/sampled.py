@@ -8,6 +8,10 @@ class's probability at each step is that feature's marginal contribution,
 and phi is its mean over the permutations (Strumbelj & Kononenko 2014).
 By construction sum(phi) = f(x) - base, base = mean f(z).
 
+With a feature space, cases and background rows are featurised once and a
+synthetic row only picks, source by source, the block of the one or the
+other; without one, ``predict`` gets the sources themselves.
+
 Cost is a constant n_perm * (k+1) rows per case (no pairing of cases); the
 background is a bounded sample, broadcast only below a proven row count.
 """
@@ -21,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..features import FeatureSpace
 from ..joins import join_small
 from ..reshape import explode_array
 
@@ -30,20 +35,24 @@ SOURCES = ["case_summary", "channel", "case_type", "category", "plan_tier", "cus
 def shap_sampled(cases: DataFrame, background: DataFrame, predict: Callable[[DataFrame], DataFrame],
                  n_perm: int = 8, seed: int = 42, key: str = "case_id",
                  pred_col: str = "predicted_priority", sources: list[str] = SOURCES,
-                 max_background: int | None = None) -> DataFrame:
+                 max_background: int | None = None, space: FeatureSpace | None = None) -> DataFrame:
     """Returns (key, feature, phi, base_value, fx) rows; ``background`` is a
-    sample whose size the caller chose."""
+    sample whose size the caller chose.  With ``space``, ``predict`` gets its feature vector."""
     k = len(sources)
     n_bg = background.count()
     if n_bg == 0 or max_background is not None and n_bg > max_background:
         raise ValueError(f"background must hold 1..{max_background} rows, has {n_bg}")
     bg = background.select(*sources).withColumn("_h", F.md5(F.to_json(F.struct(*sources))))
     bg = bg.withColumn("_z", F.row_number().over(Window.orderBy("_h", *sources)) - 1).drop("_h")
-    zcols = [F.col(s).alias(f"_z_{s}") for s in sources]
-    bgz = bg.select("_z", *zcols)
-
     x = cases.select(key, F.col(pred_col).cast("int").alias("_c"), *sources)
-    perms = explode_array(x, [key, "_c", *sources], F.sequence(F.lit(0), F.lit(n_perm - 1)), "_p")
+    cols, kept = list(sources), [None] * k
+    if space is not None:
+        bg, x = space.blocks(bg), space.blocks(x)
+        cols = [space.block_cols[s] for s in sources]
+        kept = [x.schema[c].metadata for c in cols]  # the assembler takes the blocks' lengths from it
+    bgz = bg.select("_z", *[F.col(c).alias(f"_z_{c}") for c in cols])
+    x = x.select(key, "_c", *cols)
+    perms = explode_array(x, x.columns, F.sequence(F.lit(0), F.lit(n_perm - 1)), "_p")
     seed_s = F.lit(str(seed))
     perms = perms.withColumn(
         "_z", F.pmod(F.xxhash64(seed_s, F.col(key).cast("string"), F.col("_p")), F.lit(n_bg)))
@@ -57,10 +66,10 @@ def shap_sampled(cases: DataFrame, background: DataFrame, predict: Callable[[Dat
         perms = perms.withColumn(f"_r{i}", F.size(F.filter("_hs", smaller_than(i))))
     steps = explode_array(perms, perms.columns, F.sequence(F.lit(0), F.lit(k)), "_s")
     synth = steps.select(key, "_c", "_p", "_s", *[
-        F.when(F.col(f"_r{i}") < F.col("_s"), F.col(s)).otherwise(F.col(f"_z_{s}")).alias(s)
-        for i, s in enumerate(sources)],
+        F.when(F.col(f"_r{i}") < F.col("_s"), F.col(c)).otherwise(F.col(f"_z_{c}")).alias(c, metadata=kept[i])
+        for i, c in enumerate(cols)],
         F.array(*[F.col(f"_r{i}") for i in range(k)]).alias("_ranks"))
-    scored = predict(synth)
+    scored = predict(space.assemble(synth) if space is not None else synth)
     out = scored.select(key, "_c", "_p", "_s", "_ranks",
                         vector_to_array(F.col("probability"))[F.col("_c")].alias("_o"))
     # one small group per (case, permutation): k+1 outputs in step order
