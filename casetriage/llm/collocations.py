@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, join_hot, mix, text_slices, utf8_parts, written
+from .common import PIECE_BYTES, frugal, join_hot, mix, small_batches, text_slices, utf8_parts, written
 
 #: Words of a phrase at most.
 DEPTH = 5
@@ -119,7 +119,7 @@ def shard_table(docs: DataFrame) -> DataFrame:
                             shard = _Shard()
         if shard.size:
             yield shard.row()
-    return docs.mapInArrow(run, _SHARDS)
+    return docs.mapInArrow(frugal(run), _SHARDS)
 
 
 class _Filter:
@@ -205,7 +205,7 @@ def _counted(shards: DataFrame, filters: list) -> DataFrame:
                     held, n = [], 0
         if held:
             yield added(held)
-    return shards.select("bwt", "hashes").mapInArrow(run, "h int, a long").groupBy("h").agg(F.sum("a").alias("a"))
+    return shards.select("bwt", "hashes").mapInArrow(frugal(run), "h int, a long").groupBy("h").agg(F.sum("a").alias("a"))
 
 
 def _named(shards: DataFrame, filters: list) -> DataFrame:
@@ -230,7 +230,7 @@ def _named(shards: DataFrame, filters: list) -> DataFrame:
                     w, a = w[keep], a[keep]
                     text = pc.binary_join_element_wise(*[words.take(pa.array(w[:, j] - 1)) for j in range(m)], " ")
                     yield rows(language[w[:, 0] - 1], m, text, a)
-    return shards.mapInArrow(run, "lang string, m int, phrase string, a long")
+    return shards.mapInArrow(frugal(run), "lang string, m int, phrase string, a long")
 
 
 def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -267,6 +267,7 @@ def mine_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     rows; other columns are not looked at.  Counts are by the exact words.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     phrases, totals = frequent_phrases(docs, least)
     words = totals.agg(F.sum("n")).first()[0] or 0

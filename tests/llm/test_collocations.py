@@ -100,3 +100,17 @@ def test_edge_rows(spark):
 def test_empty_table_and_no_candidates(spark):
     assert mine_phrases(documents(spark, [])).collect() == []
     assert mine_phrases(spark.createDataFrame([("en", "one two three")], "lang string, text string")).collect() == []
+
+
+def test_tasks_get_small_batches(spark):
+    """Ten thousand whole texts or shards in one batch take too much of an executor's memory."""
+    from casetriage.llm.common import BATCH_BYTES
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(64 * BATCH_BYTES))
+    try:
+        docs = spark.createDataFrame([("en", "a b c")], "lang string, text string")
+        assert mine_phrases(docs, least=1).count() == 1
+        assert int(spark.conf.get(name).lower().removesuffix("b")) <= BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
