@@ -33,6 +33,8 @@ BLOCK = 1024
 DEAL_ROWS = 1 << 16
 #: Names of sets, groups or pairs that a task remembers, so as not to repeat them.
 SEEN = 100_000
+#: Rounds in which groups are compared with their member of most links, before all that is left apart is; a second one found few links more.
+HUB_ROUNDS = 1
 #: Rows of one signature group held in a task's memory; larger groups go on in pieces with the same leader.
 RUN_ROWS = 1 << 19
 
@@ -280,6 +282,14 @@ def _close_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
     return rows.mapInArrow(frugal(run), "a long, b long").distinct()
 
 
+def _apart(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """(gid, leader, key, root) of the groups whose members lie in several components."""
+    named = (groups.select("gid", "leader", "key").join(comp.withColumnRenamed("node", "key"), "key", "left")
+             .withColumn("root", F.coalesce("root", "key")))
+    split = named.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid")
+    return written(groups.sparkSession, named.join(split, "gid").select("gid", "leader", "key", "root"), "apart")
+
+
 def _member_test(bits: np.ndarray, shift: int):
     def test(keys: np.ndarray) -> np.ndarray:
         at = keys >> np.uint64(shift)
@@ -359,15 +369,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = written(spark, _verified(spark, docs, led, words, num, den), "links")
     comp = connected_components(spark, links)
 
-    # Then what that left apart: members of one group in different components.
-    named = (groups.select("gid", "leader", "key").join(comp.withColumnRenamed("node", "key"), "key", "left")
-             .withColumn("root", F.coalesce("root", "key")))
-    split = named.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    # Then what that left apart against hubs, linear again: a group's member with most links so far may hold the others together.
+    for _ in range(HUB_ROUNDS):
+        apart = _apart(groups, comp)
+        degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+        named = apart.join(degree, "key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        hubs = named.groupBy("gid").agg(F.max(F.struct("degree", "key", "root")).alias("hub"))
+        led = named.join(hubs, "gid").where(F.col("root") != F.col("hub.root")).select(F.col("hub.key").alias("a"), F.col("key").alias("b"))
+        led = _with_nodes(led.distinct(), nodes).where(_close(num, den)).select("a", "b")
+        more = written(spark, _verified(spark, docs, led, words, num, den), "links")
+        if not more.limit(1).count():
+            break
+        links = written(spark, links.union(more), "links")
+        comp = connected_components(spark, links)
+
+    # Then members of one group that are still in different components.
+    apart = _apart(groups, comp)
+    size = apart.groupBy("gid").agg(F.min("root").alias("lo"), F.count("*").alias("m"))
     # groups that hold one component are much alike: a few tasks see them, as many as their rows need
-    alike = split.groupBy("lo").agg(F.ceil(F.sum(F.col("m") * F.ceil(F.col("m") / BLOCK)) / DEAL_ROWS).alias("deals"))
-    dealt = split.join(alike, "lo").select("gid", "m", "lo", "deals")
-    apart = named.join(dealt, "gid").where("key <> leader")
-    rest = _verified(spark, docs, _close_pairs(apart, nodes, num, den), words, num, den)
+    alike = size.groupBy("lo").agg(F.ceil(F.sum(F.col("m") * F.ceil(F.col("m") / BLOCK)) / DEAL_ROWS).alias("deals"))
+    dealt = size.join(alike, "lo").select("gid", "m", "lo", "deals")
+    rest = _verified(spark, docs, _close_pairs(apart.join(dealt, "gid").where("key <> leader"), nodes, num, den), words, num, den)
     more = written(spark, rest, "links")
     if more.limit(1).count():
         comp = connected_components(spark, links.union(more))

@@ -105,3 +105,27 @@ def test_edge_rows(spark):
 
 def test_empty_table(spark):
     assert jaccard_components(documents(spark, [])).collect() == []
+
+
+def test_hubs_spare_pairs(spark, monkeypatch):
+    """What the leaders leave apart is compared with the members of most links before all pairs are."""
+    import casetriage.llm.jaccard as J
+    rng = random.Random(11)
+    base = [f"h{i}" for i in range(150)]
+    rows = []
+    for i in range(250):
+        t = list(base)
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    docs, seen, close = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {}, J._close_pairs
+
+    def counted(*a):
+        seen[J.HUB_ROUNDS] = seen.get(J.HUB_ROUNDS, 0) + (pairs := close(*a)).count()
+        return pairs
+    monkeypatch.setattr(J, "_close_pairs", counted)
+    monkeypatch.setattr(J, "HUB_ROUNDS", 1)
+    want = got(jaccard_components(docs, words=5, threshold=(80, 100)))
+    monkeypatch.setattr(J, "HUB_ROUNDS", 0)
+    assert got(jaccard_components(docs, words=5, threshold=(80, 100))) == want == brute(dict(rows), 5, 80, 100)
+    assert 2 * seen[1] < seen[0], seen
