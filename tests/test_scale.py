@@ -158,3 +158,50 @@ def test_forest_is_grown_by_several_fits_at_a_time(spark, monkeypatch):
     assert abs(sum(m.featureImportances.toArray()) - 1) < 1e-9
     assert m.transform(rows).where("prediction = priority_encoded").count() == 300
     assert len({t.toDebugString for t in m.trees}) > 1
+
+
+def test_case_texts_are_shuffled_once(spark):
+    """Orders meet their customers before the texts come in, whatever the tables' sizes; the rows are those of the SQL text."""
+    from casetriage.sources import fixtures as X
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        cases = X.view(spark, SF_MID_DIR, "cases")
+        exchanges = [x for x in _plan(cases).splitlines() if "Exchange" in x and "hashpartitioning" in x]
+        by_customer = [x for x in exchanges if "custkey" in x]
+        assert len(by_customer) == 2 and sum("doc_id" in x for x in exchanges) == 2, exchanges  # texts and labels by doc_id
+        want = spark.sql(X.CASES)
+        assert cases.schema == want.schema
+        assert cases.exceptAll(want).count() == 0 and want.exceptAll(cases).count() == 0
+        text = _plan(cases)
+        assert text.index("o_orderkey") < text.index("custkey")  # the customer's join is inside the order's side
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+
+def test_joins_of_cases_keep_repeated_and_missing_keys(spark):
+    from casetriage.sources import fixtures as X
+    spark.createDataFrame([(1, " A ", "s"), (1, "b", "s"), (2, "c", "t"), (None, "d", "t"), (9, None, "u")],
+                          "doc_id long, text string, source string").createOrReplaceTempView("documents")
+    spark.createDataFrame([(1, 7, "O"), (1, 8, "F"), (2, None, "P"), (None, 7, "O")],
+                          "o_orderkey long, o_custkey long, o_orderstatus string").selectExpr(
+        "*", "DATE'1995-01-01' AS o_orderdate").createOrReplaceTempView("orders")
+    spark.createDataFrame([(7, "BUILDING", 120.0), (7, "HOUSEHOLD", -5.0), (None, "MACHINERY", 1.0)],
+                          "c_custkey long, c_mktsegment string, c_acctbal double").createOrReplaceTempView("customer")
+    spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1)], "doc_id long, toxic int, quality int").createOrReplaceTempView("labels")
+    rows = [sorted(map(str, spark.sql(q).collect())) for q in (X.CASES, X.spark_sql("cases"))]
+    assert rows[0] == rows[1] and len(rows[0]) == 15  # two texts x (two customers of one order + one) x two labels, and three
+
+
+def test_a_sample_never_sorts_all_rows(spark):
+    """Columns computed of the sample, each used more than once, don't make the sample a sort of the whole table."""
+    from casetriage.operators import ranking as R
+    df = spark.range(2000).select(F.col("id").alias("case_id"), F.concat(F.lit("a b "), "id").alias("t"))
+    s = R.sample_n(df, 16).withColumn("w", F.regexp_extract_all("t", F.lit("[a-z0-9]+"), 0))
+    s = s.withColumn("g", F.concat("w", F.slice("w", 1, 1), F.slice("w", 2, 1))).select("case_id", F.size("g").alias("n"))
+    assert "TakeOrderedAndProject" in _plan(s) and "rangepartitioning" not in _plan(s)
+    want = [r.case_id for r in df.orderBy(R.hash_order("case_id", 42), "case_id").limit(16).collect()]
+    assert sorted(r.case_id for r in s.collect()) == sorted(want)
