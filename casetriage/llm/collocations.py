@@ -42,7 +42,17 @@ RANK_PARTS = 256
 
 _BREAK = b"."
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10 + b" ")
-_SHARDS = "bwt binary, hashes binary, words array<string>, language binary, languages array<string>"
+_SHARDS = "bwt binary, hashes binary, words binary, language binary, languages array<string>"
+
+
+def _packed(data: bytes) -> bytes:
+    """Bytes compressed behind their number; the tables of shards are most of what the operator writes."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(cell: pa.Scalar) -> pa.Buffer:
+    held = cell.as_buffer()
+    return pa.decompress(held.slice(8), int.from_bytes(held.slice(0, 8).to_pybytes(), "little"), codec="zstd")
 
 
 class _Numbers(dict):
@@ -75,10 +85,10 @@ class _Shard:
         x = np.concatenate(self.runs)
         x = x[np.r_[True, (x[1:] != 0) | (x[:-1] != 0)]]  # one break is enough
         langs = list(self.numbers)
-        hashes = [xxhash.xxh64_intdigest(langs[j].encode() + b"\0" + w) for w, j in self.names]
-        cols = [pa.array([transform(x).astype(np.int32).tobytes()]), pa.array([np.array(hashes, np.uint64).tobytes()]),
-                pa.array([[w.decode() for w, _ in self.names]], pa.list_(pa.string())),
-                pa.array([np.array([j for _, j in self.names], np.int32).tobytes()]), pa.array([langs], pa.list_(pa.string()))]
+        hashes = [xxhash.xxh64_intdigest(langs[j].encode() + b"\0" + w) >> 32 for w, j in self.names]
+        parts = [transform(x).astype(np.int32).tobytes(), np.array(hashes, np.uint32).tobytes(), b"\n".join(w for w, _ in self.names),
+                 np.array([j for _, j in self.names], np.int32).tobytes()]  # a word has no line end
+        cols = [pa.array([_packed(p)]) for p in parts] + [pa.array([langs], pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(cols, names=["bwt", "hashes", "words", "language", "languages"])
 
 
@@ -99,7 +109,9 @@ def transform(x: np.ndarray) -> np.ndarray:
 
 
 def shard_table(docs: DataFrame) -> DataFrame:
-    """One row a shard of ``docs(lang, text)``: its transform, its words, their languages and 64-bit hashes."""
+    """One row a shard of ``docs(lang, text)``: its transform, its words, their languages and 32-bit hashes.
+
+    Words of equal hashes are counted together before the last pass, which lets more through; that one is by the words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard()
         for batch in batches:
@@ -173,8 +185,8 @@ def phrases_of(bwt: np.ndarray, word_hashes: np.ndarray, filters: list):
 
 
 def _arrays(batch: pa.RecordBatch):
-    for bwt, hashes in zip(batch.column("bwt"), batch.column("hashes")):  # views, not copies
-        yield np.frombuffer(bwt.as_buffer(), np.int32), np.frombuffer(hashes.as_buffer(), np.uint64)
+    for bwt, hashes in zip(batch.column("bwt"), batch.column("hashes")):  # one shard at a time
+        yield np.frombuffer(_unpacked(bwt), np.int32), mix(np.frombuffer(_unpacked(hashes), np.uint32).astype(np.uint64))
 
 
 def _counted(shards: DataFrame, filters: list) -> DataFrame:
@@ -215,9 +227,9 @@ def _named(shards: DataFrame, filters: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (bwt, hashes) in enumerate(_arrays(batch)):
-                words = pa.array(batch.column("words")[i].values)
+                words = pa.array(_unpacked(batch.column("words")[i]).to_pybytes().decode().split("\n"), pa.string())
                 langs = pa.array(batch.column("languages")[i].values)
-                language = np.frombuffer(batch.column("language")[i].as_py(), np.int32)
+                language = np.frombuffer(_unpacked(batch.column("language")[i]), np.int32)
 
                 def rows(lang, m, phrase, a):
                     return pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), pa.array(np.full(len(a), m, np.int32)), phrase, pa.array(a)],

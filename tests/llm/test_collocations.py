@@ -114,3 +114,23 @@ def test_tasks_get_small_batches(spark):
         assert int(spark.conf.get(name).lower().removesuffix("b")) <= BATCH_BYTES
     finally:
         spark.conf.set(name, before)
+
+
+def test_shards_take_little_disk(spark):
+    """Four bytes a word of its list for hashes, and less than that for every place of the text, whatever codec the table has."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    rows = [("en", " ".join(words[min(int(rng.expovariate(0.004)), 2999)] for _ in range(4000))) for _ in range(10)]
+    shards = m.shard_table(spark.createDataFrame(rows, "lang string, text string").coalesce(1))
+    got = shards.agg(F.sum(F.octet_length("bwt")).alias("bwt"), F.sum(F.octet_length("hashes")).alias("hashes")).first()
+    known = len({w for _, t in rows for w in t.split()})
+    assert got.hashes <= 4.1 * known + 64 and got.bwt < 2 * 40_000
+
+
+def test_words_of_equal_hashes_are_told_apart(spark, monkeypatch):
+    """With one hash for all words everything passes the filters, and the counts are still those of the words."""
+    rows = texts(3, 120)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    real = m._arrays
+    monkeypatch.setattr(m, "_arrays", lambda b: ((x, h & np.uint64(0xFF)) for x, h in real(b)))
+    assert got(mine_phrases(docs, least=4)) == brute(rows, 4, 2000)
