@@ -68,6 +68,26 @@ def test_search_equals_cross_validator(spark, monkeypatch):
     assert a == b
 
 
+def test_forest_is_a_table(spark, tmp_path, monkeypatch):
+    """All trees, whatever the partitioning; a copy saved for Spark has the same probabilities and importances."""
+    monkeypatch.setattr(M, "ROWS_PER_TREE_PARTITION", 100)
+    df = made(spark, 600).persist()
+    m = M.train_rf(df, num_trees=37, max_depth=8)
+    assert isinstance(m, G.TableForest) and explainer_kind(m) == "tree" and m.getNumTrees == m.table().count() == 37
+    M.save_model(m, str(tmp_path / "saved"))
+    copy = M.load_model(str(tmp_path / "saved"), "rf")
+    assert isinstance(copy, RandomForestClassificationModel) and copy.getNumTrees == 37 and copy.numClasses == 4
+    assert len({t.toDebugString for t in copy.trees}) == 37 and all(isinstance(t, DecisionTreeClassificationModel) for t in copy.trees)
+    a, b, c = (np.array([r.probability.toArray() for r in x.transform(df).orderBy("case_id").collect()])
+               for x in (m, copy, M.train_rf(df.repartition(5, "case_id"), num_trees=37, max_depth=8)))
+    assert np.allclose(a, b, atol=1e-12) and np.array_equal(a, c)
+    assert np.allclose(m.featureImportances.toArray(), copy.featureImportances.toArray(), atol=1e-12)
+    scored = M.with_probs(m.transform(df))
+    assert scored.where("predicted_priority = priority_encoded").count() > 480
+    other = m.transform(df, {m.probabilityCol: "_p", m.rawPredictionCol: "_r", m.predictionCol: "_c"})
+    assert {"_p", "_r", "_c"} <= set(other.columns) and "probability" not in other.columns
+
+
 def test_other_rows_are_left_to_sparks_trainer(spark, monkeypatch):
     """Two classes, weights that differ within a class, categories of three values, too many cells."""
     facts = lambda d, w="weight": G.training_facts(d, "features", "priority_encoded", w)
