@@ -88,6 +88,23 @@ def test_forest_is_a_table(spark, tmp_path, monkeypatch):
     assert {"_p", "_r", "_c"} <= set(other.columns) and "probability" not in other.columns
 
 
+def test_tree_shap_of_a_table_forest(spark, tmp_path, monkeypatch):
+    """The values of the saved copy's leaf paths."""
+    monkeypatch.setattr(M, "ROWS_PER_TREE_PARTITION", 100)
+    df = made(spark, 500)
+    m = M.train_rf(df, num_trees=19, max_depth=9)
+    m.write().overwrite().save(str(tmp_path / "saved"))
+    copy = M.load_model(str(tmp_path / "saved"), "rf")
+    scored = M.with_probs(m.transform(df)).where("case_id < 40")
+    a, b = ({r.case_id: r for r in shap_tree(spark, scored, x, str(tmp_path / f"paths{i}")).collect()} for i, x in enumerate((m, copy)))
+    assert len(a) == len(b) == 40
+    for r in scored.collect():
+        x, y = a[r.case_id], b[r.case_id]
+        assert x.explained_class == y.explained_class == r.predicted_priority
+        assert np.allclose(x.phi, y.phi, atol=1e-10) and abs(x.base_value - y.base_value) < 1e-10
+        assert abs(x.fx - r.confidence) < 1e-10 and abs(x.base_value + sum(x.phi) - x.fx) < 1e-10
+
+
 def test_other_rows_are_left_to_sparks_trainer(spark, monkeypatch):
     """Two classes, weights that differ within a class, categories of three values, too many cells."""
     facts = lambda d, w="weight": G.training_facts(d, "features", "priority_encoded", w)
